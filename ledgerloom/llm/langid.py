@@ -50,6 +50,29 @@ def trigram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     return found, counts[found]
 
 
+class _Fit:
+    """Expectation-maximisation for several documents at once."""
+
+    def __init__(self, p: np.ndarray, docs: list[tuple[np.ndarray, np.ndarray]]):
+        sizes = np.array([len(b) for b, _ in docs])
+        self.starts = np.r_[0, np.cumsum(sizes)[:-1]]
+        self.owner = np.repeat(np.arange(len(docs)), sizes)
+        self.p = p[np.concatenate([b for b, _ in docs])]
+        self.c = np.concatenate([n for _, n in docs]).astype(np.float64)
+        self.total = np.add.reduceat(self.c, self.starts)[:, None]
+
+    def run(self, pi: np.ndarray, rounds: int) -> np.ndarray:
+        for _ in range(rounds):
+            r = self.p * pi[self.owner]
+            r *= (self.c / r.sum(axis=1))[:, None]
+            pi = np.add.reduceat(r, self.starts, axis=0) / self.total
+        return pi
+
+    def fitness(self, pi: np.ndarray) -> np.ndarray:
+        """Log-likelihood, trigrams' overlap taken out."""
+        return np.add.reduceat(self.c * np.log(np.maximum((self.p * pi[self.owner]).sum(axis=1), 1e-300)), self.starts) / _OVERLAP
+
+
 class Model:
     """languages: names; p: (BUCKETS, languages) trigram probabilities."""
 
@@ -60,35 +83,22 @@ class Model:
     def mixtures(self, docs: list[tuple[np.ndarray, np.ndarray]], rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
         """(proportions, number of languages) of documents that have trigrams."""
         k = len(self.languages)
-        sizes = np.array([len(b) for b, _ in docs])
-        starts = np.r_[0, np.cumsum(sizes)[:-1]]
-        owner = np.repeat(np.arange(len(docs)), sizes)
-        p = self.p[np.concatenate([b for b, _ in docs])]
-        c = np.concatenate([n for _, n in docs]).astype(np.float64)
-        total = np.add.reduceat(c, starts)[:, None]
-
-        def fit(pi, n):
-            for _ in range(n):
-                r = p * pi[owner]
-                r *= (c / r.sum(axis=1))[:, None]
-                pi = np.add.reduceat(r, starts, axis=0) / total
-            return pi
-
-        def fitness(pi):
-            return np.add.reduceat(c * np.log(np.maximum((p * pi[owner]).sum(axis=1), 1e-300)), starts) / _OVERLAP
-
-        full = fit(np.full((len(docs), k), 1 / k), rounds)
-        rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1)
-        best, value, chosen = None, None, np.ones(len(docs), np.int64)
+        full = _Fit(self.p, docs).run(np.full((len(docs), k), 1 / k), rounds)
+        order = np.argsort(-full, axis=1, kind="stable")
+        best, value, chosen = np.zeros_like(full), np.full(len(docs), -np.inf), np.ones(len(docs), np.int64)
+        open_ = np.arange(len(docs))  # documents for which one more language is tried
         for m in range(1, k + 1):
-            pi = np.where(rank < m, np.maximum(full, 1e-9), 0)
-            pi = fit(pi / pi.sum(axis=1, keepdims=True), 6 if m > 1 else 0)
-            v = fitness(pi) - 0.5 * (2 * m - 1) * np.log(np.maximum(total[:, 0] / _OVERLAP, 2))
-            if m == 1:
-                best, value = pi, v
-            else:
-                better = v > value
-                best[better], value[better], chosen[better] = pi[better], v[better], m
+            open_ = open_[full[open_, order[open_, m - 1]] > (0.01 if m > 1 else -1)]
+            if not len(open_):
+                break
+            pi = np.zeros((len(open_), k))
+            strongest = order[open_, :m]
+            np.put_along_axis(pi, strongest, np.maximum(np.take_along_axis(full[open_], strongest, 1), 1e-9), 1)
+            fit = _Fit(self.p, [docs[i] for i in open_])
+            pi = fit.run(pi / pi.sum(axis=1, keepdims=True), 6 if m > 1 else 0)
+            v = fit.fitness(pi) - 0.5 * (2 * m - 1) * np.log(np.maximum(fit.total[:, 0] / _OVERLAP, 2))
+            better = open_[v > value[open_]]
+            best[better], chosen[better], value[better] = pi[v > value[open_]], m, v[v > value[open_]]
         return best, chosen
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, int]]:

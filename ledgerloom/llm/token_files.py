@@ -15,14 +15,15 @@ runs all checkpoints of a block side by side.
 from __future__ import annotations
 
 import zlib
-from operator import ne
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import cut, documents_of, longs, new_path, partitions, pieces, strings
+from ledgerloom.llm.common import cut, documents_of, longs, new_path, partitions, pieces
+from ledgerloom.llm.units import Units, buffers
 
 STEP = 256
 BLOCK_TOKENS = 1 << 18
@@ -33,7 +34,7 @@ LIMIT = 18
 
 
 class WordTokens:
-    """Ids of whole texts, as little-endian unsigned 32-bit integers, with a cache by blank-separated unit.
+    """Ids of whole texts by the tokenizers library.
 
     A byte-level BPE whose splitting pattern starts a new piece at every single blank between two characters that are
     not white space gives the same ids unit by unit as for the whole text. Texts with other white space beside a
@@ -41,7 +42,7 @@ class WordTokens:
     token that starts with a blank starts a unit there.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -49,57 +50,33 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.limit = limit
-        self.units: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}  # the generation before: what is still used moves on, the rest goes
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        special = tuple(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values())
         described = self.tokenizer.to_str()
-        self.unit_safe = '"use_regex":true' in described and '"normalizer":null' in described
+        safe = '"use_regex":true' in described and '"normalizer":null' in described
+        self.units = Units(self._learn, self._whole, special if safe else (b"",))
         self.starts = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.starts[[i for token, i in self.tokenizer.get_vocab().items() if token[0] == "\u0120"]] = True  # the byte-level sign for a blank
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> list:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, units: list[str]) -> None:
+    def _learn(self, units: list[str], first: bool) -> tuple[np.ndarray, np.ndarray]:
+        if first:
+            found = self._whole(units)
+            return np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64)
+        ids, sizes = [], []
         for k in range(0, len(units), 20_000):
             block = units[k : k + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(block)], add_special_tokens=False)[0].ids, "<u4")
-            first = np.flatnonzero(self.starts[ids])
-            if len(first) != len(block):
+            ids.append(np.array(self._whole([" " + " ".join(block)])[0], np.uint32))
+            at = np.flatnonzero(self.starts[ids[-1]])
+            if len(at) != len(block):
                 raise ValueError("the vocabulary does not start each unit with a blank")
-            flat, ends = ids.tobytes(), [*(4 * first[1:]).tolist(), 4 * len(ids)]
-            self.units.update((u, flat[a:b]) for u, a, b in zip(block, (4 * first).tolist(), ends, strict=True))
-
-    def texts(self, texts: list[str]) -> list[bytes]:
-        if len(self.units) > self.limit:
-            self.older, self.units = self.units, {}
-        known, older = self.units.get, self.older.get
-        parts, firsts, odd, new = {}, [], [], {}
-        for i, text in enumerate(texts):
-            if not self.unit_safe or any(t in text for t in self.special):
-                odd.append(i)
-                continue
-            first, *rest = text.split(" ")
-            found = list(map(known, rest))
-            missing = {u for u, v in zip(rest, found, strict=True) if v is None} if None in found else ()
-            if missing and ("" in missing or any(map(ne, missing, map(str.strip, missing)))) or rest and (not first or first[-1].isspace()):
-                odd.append(i)
-                continue
-            for u in missing:
-                if (ids := older(u)) is None:
-                    new[u] = None
-                else:
-                    self.units[u] = ids
-            parts[i] = rest if missing else found
-            firsts.append(first)
-        self.learn(list(new))
-        out: list = [b""] * len(texts)
-        for (i, rest), first in zip(parts.items(), self.whole(firsts), strict=True):
-            out[i] = first + b"".join(rest if rest and isinstance(rest[0], bytes) else map(self.units.__getitem__, rest))
-        for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
-            out[i] = ids
-        return out
+            sizes.append(np.diff(np.r_[at, len(ids[-1])]))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def texts(self, texts: list[str | None]) -> list[np.ndarray]:
+        ids, ends = self.units.encode(*buffers(pa.array(texts, pa.string())))
+        return np.split(ids, ends[:-1]) if texts else []
 
 
 # ---------------------------------------------------------------- canonical, length-limited Huffman codes
@@ -204,37 +181,46 @@ class Decoder:
 
 
 def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(doc_id, v, n, z): token ids with the end id, zlib-compressed, of whole texts."""
+    """(doc_id, v, n, w, z): token ids with the end id as w-byte numbers, compressed, of whole texts. One more row for each
+    task, with n = -1, has the counts of its ids."""
 
     def rows(batches):
-        words = WordTokens(path)
-        end = np.array([end_id], "<u4").tobytes()
-        for batch in pieces(batches, limit=8 << 20):
-            ids = [x + end for x in words.texts([t or "" for t in strings(batch)])]
-            wide = [np.frombuffer(x, "<u4") for x in ids]
-            small = [(x.astype("<u2") if x.max() < 65536 else x).tobytes() for x in wide]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), longs([len(x) for x in wide]), pa.array(small, pa.binary())], names=["doc_id", "v", "n", "z"])
-
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("v")).mapInArrow(rows, "doc_id long, v long, n long, z binary")
-
-
-def _ids(z: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(z, "<u2" if len(z) == 2 * n else "<u4").astype(np.int64)
+        units = WordTokens(path).units
+        total = np.zeros(0, np.int64)
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in pieces(batches, limit=2 << 20):
+            ids, ends = units.encode(*buffers(batch.column(1)))
+            starts = np.r_[0, ends[:-1]]
+            end = np.uint32(end_id)
+            wide = np.insert(ids, ends, end)
+            counts = np.bincount(wide, minlength=len(total))
+            counts[: len(total)] += total
+            total = counts
+            small = wide.astype("<u2") if wide.max(initial=0) < 65536 else wide.astype("<u4")
+            raw, w, n = memoryview(small.tobytes()), small.itemsize, len(ends)
+            cuts = zip((w * (starts + np.arange(n))).tolist(), (w * (ends + np.arange(1, n + 1))).tolist(), strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), longs(ends - starts + 1), pa.array(np.full(n, w, np.int32)), pa.array([pack(raw[a:b]) for a, b in cuts], pa.binary())], names=["doc_id", "v", "n", "w", "z"])
+        yield pa.RecordBatch.from_arrays([longs([None]), longs([None]), longs([-1]), pa.array([8], pa.int32()), pa.array([pack(total.astype("<i8").tobytes())], pa.binary())], names=["doc_id", "v", "n", "w", "z"])
+
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("v")).mapInArrow(rows, "doc_id long, v long, n long, w int, z binary")
+
+
+def _ids(z: bytes, w: int) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(z), f"<u{w}").astype(np.int64)
 
 
 def global_counts(encoded: DataFrame, vocabulary: int) -> np.ndarray:
-    """How often each id occurs in all documents; what reaches the driver is one row an id at most."""
+    """How often each id occurs in all documents: the tasks' counts are added up by id; a row an id reaches the driver."""
 
-    def count(batches):
-        total = np.zeros(vocabulary, np.int64)
+    def spread(batches):
         for batch in batches:
-            for n, z in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total += np.bincount(_ids(z, n), minlength=vocabulary)
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([longs(found), longs(total[found])], names=["id", "n"])
+            for w, z in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                total = _ids(z, w)
+                found = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([longs(found), longs(total[found])], names=["id", "n"])
 
     out = np.zeros(vocabulary, np.int64)
-    for i, n in encoded.select("n", "z").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n")).collect():
+    for i, n in encoded.where("n = -1").select("w", "z").mapInArrow(spread, "id long, n long").groupBy("id").agg(F.sum("n")).collect():
         out[i] = n
     return out
 
@@ -261,10 +247,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([docs_], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), longs([total]), pa.array([payload], pa.large_binary()).cast(pa.binary()), pa.array([checkpoints], pa.binary())], names=["part", "block", "doc_ids", "doc_lengths", "n_tokens", "payload", "checkpoints"])
 
         for batch in batches:
-            for doc, n, z in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for doc, n, w, z in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 docs_.append(doc)
                 sizes.append(n)
-                held.append(_ids(z, n))
+                held.append(_ids(z, w))
                 total += n
                 if total >= BLOCK_TOKENS:
                     yield out()
@@ -273,7 +259,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
         if total:
             yield out()
 
-    ordered = encoded.repartitionByRange(partitions(spark), "doc_id", "v").sortWithinPartitions("doc_id", "v").select("doc_id", "n", "z")
+    ordered = encoded.where("n >= 0").repartitionByRange(partitions(spark), "doc_id", "v").sortWithinPartitions("doc_id", "v").select("doc_id", "n", "w", "z")
     ordered.mapInArrow(blocks, "part int, block int, doc_ids array<long>, doc_lengths array<long>, n_tokens long, payload binary, checkpoints binary").write.parquet(f"{folder}/blocks")
 
 

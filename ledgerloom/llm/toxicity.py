@@ -1,7 +1,7 @@
 """Toxicity by maximum-scoring segments.
 
 Tokens score by their log-odds between labelled toxic and other documents, with an informative Dirichlet prior; words
-whose log-odds are not significant score nothing. A small cost for each token makes clean text drift downwards, so that
+whose log-odds are not significant among that many words score nothing. A small cost for each token makes clean text drift downwards, so that
 Ruzzo and Tompa's linear scan finds all maximal segments. Extreme-value theory (Karlin and Altschul) says how high the
 best segment of clean text of that length would score; the segments' excess over that, not raw scores, is aggregated
 and mapped to a probability by a logistic curve that is fitted to the training documents.
@@ -28,6 +28,11 @@ def tokens(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def forms(word: str) -> list[str]:
+    """The word and its beginnings, so that inflected and compound words are recognised."""
+    return [word, *(f"{word[:n]}*" for n in range(4, min(len(word), 8) + 1))]
+
+
 def log_odds(n1: np.ndarray, n0: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
     """Log-odds ratios and their z scores; the prior is the pooled distribution with `prior` pseudo-counts in all."""
     both = n1 + n0
@@ -57,19 +62,35 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(s, e, b - a) for s, e, a, b, _ in stack]
 
 
+class TokenScores(dict):
+    """Scores of the words seen lately: that of the word's most significant form, less the cost of a token."""
+
+    def __init__(self, table: dict[str, tuple[float, float]]):
+        self.table = table
+
+    def __missing__(self, word: str) -> float:
+        if len(self) > 300_000:
+            self.clear()
+        found = [self.table[f] for f in forms(word) if f in self.table]
+        score = self[word] = (max(found)[1] if found else 0.0) - COST
+        return score
+
+
 class Scorer:
-    """words: token scores; lam, k: extreme-value parameters; weights: of the logistic curve."""
+    """words: (|z|, log-odds) by form; lam, k: extreme-value parameters; weights: of the logistic curve."""
 
-    def __init__(self, words: dict[str, float], lam: float = 1.0, k: float = 1.0, weights: tuple = (0.0, 0.0, 0.0, 0.0)):
+    def __init__(self, words: dict[str, tuple[float, float]], lam: float = 1.0, k: float = 1.0, weights: tuple = (0.0, 0.0, 0.0, 0.0)):
         self.words, self.lam, self.k, self.weights = words, lam, k, weights
+        self.scores = TokenScores(words)
+
+    def __reduce__(self):
+        return Scorer, (self.words, self.lam, self.k, self.weights)
 
     def scan(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
         found = tokens(text)
         if not found or not self.words:
             return len(found), []
-        known = self.words.get
-        scores = np.array([known(w, 0.0) for w in found]) - COST
-        return len(found), segments(scores)
+        return len(found), segments(np.fromiter(map(self.scores.__getitem__, found), np.float64, len(found)))
 
     def features(self, text: str) -> tuple[float, float, float]:
         """Excess of the best segment over clean text of that length; sum and number of all significant excesses."""
@@ -133,12 +154,10 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int =
 
     def count(batches):
         total: dict[str, list[int]] = {}
-        sizes = [0, 0]
         for batch in batches:
             for text, toxic in zip(strings(batch), batch.column(1).to_pylist(), strict=True):
-                for w in tokens(text or ""):
+                for w in {f for t in set(tokens(text or "")) for f in forms(t)}:  # once a document: one long rant doesn't make a word toxic
                     total.setdefault(w, [0, 0])[toxic > 0] += 1
-                    sizes[toxic > 0] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), longs([v[0] for v in total.values()]), longs([v[1] for v in total.values()])], names=["word", "n0", "n1"])
 
     counts = sample.mapInArrow(count, "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
@@ -146,16 +165,26 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int =
     if not sums[0] or not sums[1]:
         return Scorer({})
     n0_all, n1_all = sums[0], sums[1]
-    prior = 1000.0
+    prior = 0.01 * (n0_all + n1_all)
     a = F.lit(prior) * (F.col("n0") + F.col("n1")) / F.lit(n0_all + n1_all)
     delta = F.log((F.col("n1") + a) / (n1_all + prior - F.col("n1") - a)) - F.log((F.col("n0") + a) / (n0_all + prior - F.col("n0") - a))
     z = delta / F.sqrt(1 / (F.col("n1") + a) + 1 / (F.col("n0") + a))
-    table = counts.select("word", "n0", delta.alias("delta"), z.alias("z")).where("abs(z) > 3").orderBy(F.desc(F.abs("z")), "word").limit(max_words).collect()
-    words = {r["word"]: max(-3.0, min(6.0, r["delta"])) for r in table}
-    clean = sum(r["n0"] for r in table)
-    scores = np.array([*[words[r["word"]] - COST for r in table], -COST])
-    share = np.array([*[r["n0"] + 0.5 for r in table], max(0.5, n0_all - clean)], np.float64)
-    lam = karlin_lambda(scores, share / share.sum())
+    table = counts.select("word", "n0", delta.alias("delta"), z.alias("z")).where(F.abs("z") > math.sqrt(2 * math.log(max(2, sums[2])))).orderBy(F.desc(F.abs("z")), "word").limit(max_words).collect()
+    words = {r["word"]: (abs(r["z"]), max(-3.0, min(8.0, r["delta"]))) for r in table}
+    found = np.zeros((1 << 12) + 1, np.int64)  # how often clean text has each token score, in steps
+
+    def scored(batches):
+        scores, total = TokenScores(words), np.zeros(len(found), np.int64)
+        for batch in batches:
+            for text, toxic in zip(strings(batch), batch.column(1).to_pylist(), strict=True):
+                if not toxic:
+                    x = np.fromiter(map(scores.__getitem__, tokens(text or "")), np.float64)
+                    total += np.bincount(np.clip(np.rint((x + 4) * 256), 0, len(found) - 1).astype(np.int64), minlength=len(found))
+        yield pa.RecordBatch.from_arrays([pa.array([total.astype("<i8").tobytes()], pa.binary())], names=["n"])
+
+    for (part,) in sample.mapInArrow(scored, "n binary").toLocalIterator():
+        found += np.frombuffer(bytes(part), "<i8")
+    lam = karlin_lambda(np.arange(len(found)) / 256 - 4, found / max(1, found.sum()))
     # k from clean documents: the expected number of segments above their best is about one half
     raw = Scorer(words, lam, 1.0)
 
