@@ -80,6 +80,17 @@ def original_spans(text: str, hit: np.ndarray) -> list[dict]:
     return out
 
 
+def sent_items(docs: DataFrame, benchmark: DataFrame, max_chars: int):
+    """The distinct items as a broadcast, whose size is checked."""
+    block, held = [], 0
+    for item, text in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("text is not null").dropDuplicates().toLocalIterator():
+        block.append((item, text))
+        held += len(text)
+        if held > max_chars:
+            raise ValueError(f"the benchmark has more than {max_chars} characters; pass it in parts")
+    return docs.sparkSession.sparkContext.broadcast(block)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, one_in: int = 20, max_chars: int = 50_000_000) -> DataFrame:
     """Finds benchmark passages in whole texts.
 
@@ -93,14 +104,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, one_in:
     Returns a row per input row: doc_id, n_words, n_hit, items (ids as strings, sorted), contaminated, spans (offsets
     of the hit passages in the original text).
     """
-    spark = docs.sparkSession
-    block, held = [], 0
-    for item, text in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("text is not null").dropDuplicates().toLocalIterator():
-        block.append((item, text))
-        held += len(text)
-        if held > max_chars:
-            raise ValueError(f"the benchmark has more than {max_chars} characters; pass it in parts")
-    items_sent = spark.sparkContext.broadcast(block)
+    items_sent = sent_items(docs, benchmark, max_chars)
 
     def scan(batches):
         machine = automaton(items_sent.value, size)
@@ -123,3 +127,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, one_in:
 def contamination_digest(docs: DataFrame, benchmark: DataFrame, size: int = 13, one_in: int = 20) -> DataFrame:
     found = decontaminate(docs, benchmark, size, one_in)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 13, one_in: int = 20, max_chars: int = 50_000_000) -> DataFrame:
+    """The rows of docs, all columns, that decontaminate() does not call contaminated."""
+    items_sent = sent_items(docs, benchmark, max_chars)
+
+    def rows(batches):
+        machine = automaton(items_sent.value, size)
+        for batch in pieces(batches):
+            keep = []
+            for words in map(normal_words, utf8(batch)):
+                n = int(hits(machine, words)[0].sum())
+                keep.append(not (n and one_in * n >= len(words)))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(rows, docs.schema)

@@ -183,3 +183,19 @@ def identify_held_out(docs: DataFrame, modulus: int = 3, remainder: int = 1, per
     marked = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"), held_out(modulus, remainder).alias("held_out"))
     model = train(marked.where(~F.col("held_out") & F.col("doc_id").isNotNull()), per_language)
     return identify(marked, model, "held_out").select("doc_id", "held_out", "lang_pred", "score", "n_langs")
+
+
+def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, all columns, whose text has a language: those that identify() calls `und` go."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def rows(batches):
+        for batch in pieces(batches):
+            yield batch.filter(pa.array([f[0] != UNDETERMINED for f in sent.value.predict(strings(batch))]))
+
+    return docs.mapInArrow(rows, docs.schema)
+
+
+def learned_from(docs: DataFrame, per_language: int = 1500) -> Model:
+    """A model from all documents with a language."""
+    return train(docs.select("text", F.col("lang").cast("string").alias("lang")), per_language)

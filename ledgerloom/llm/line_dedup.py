@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import BLANKS, cut, documents_of, partitions, pieces, utf8
+from ledgerloom.llm.common import BLANKS, cut, documents_of, partitions, pieces, strings, utf8
 
 _STRIP = BLANKS.encode()
 
@@ -149,5 +149,32 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataF
     return joined.mapInArrow(apply, "doc_id long, n_lines long, n_dropped long, keep binary, kept_text string")
 
 
+def without_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
+    """The rows of docs, all columns, their text without the lines that line_dedup() drops; n_chars follows the text.
+
+    A null text stays null."""
+    v = F.xxhash64(F.col("text").cast("string"))
+    given = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), v.alias("hash"))
+    drops = common_lines(line_rows(documents_of(docs).withColumn("v", F.xxhash64("text")), min_chars), min_docs)
+    drops = drops.groupBy("doc_id", "v").agg(F.collect_set("at").alias("drops"))
+    joined = given.join(drops, F.expr("id <=> doc_id AND hash = v"), "left").select("row.*", F.col("drops").alias("__drops"))
+
+    def rows(batches):
+        for batch in pieces(batches):
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+            texts = []
+            for raw, text, ats in zip(utf8(batch), strings(batch), columns.pop("__drops").to_pylist(), strict=True):
+                if ats:
+                    gone = set(np.frombuffer(b"".join(ats), "<u4").tolist())
+                    text = b"\n".join([x for i, x in enumerate(raw.split(b"\n")) if i not in gone]).decode()
+                texts.append(text)
+            columns["text"] = pa.array(texts, pa.string())
+            if "n_chars" in columns:
+                columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return joined.mapInArrow(rows, docs.schema)
+
+
 def line_digest(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     return line_dedup(docs, min_docs, min_chars).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))

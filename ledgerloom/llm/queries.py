@@ -8,11 +8,15 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm.decontaminate import contamination_digest
+from ledgerloom.llm.embedding_dedup import embedding_groups
+from ledgerloom.llm.langid import identify_held_out
 from ledgerloom.llm.line_dedup import line_digest
+from ledgerloom.llm.secrets import secret_digest
 from ledgerloom.llm.sentencepiece_ops import piece_digest
 from ledgerloom.llm.simhash import simhash_digest
 from ledgerloom.llm.substring_dedup import substring_dedup
 from ledgerloom.llm.token_files import token_round_trip
+from ledgerloom.llm.toxicity import toxicity_held_out
 
 
 def vocabulary(name: str) -> str:
@@ -31,6 +35,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_near_dedup(spark, sf_dir):
+    return embedding_groups(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
+def op2_language_id(spark, sf_dir):
+    return identify_held_out(table(spark, sf_dir, "documents"), modulus=3, remainder=1)
+
+
 def op3_line_dedup(spark, sf_dir):
     return line_digest(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
 
@@ -39,6 +51,10 @@ def op4_simhash_near_dedup(spark, sf_dir):
     return simhash_digest(table(spark, sf_dir, "documents"), size=3, radius=2, seed=42)
 
 
+def op5_toxicity(spark, sf_dir):
+    return toxicity_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_substring_dedup(spark, sf_dir):
     return substring_dedup(table(spark, sf_dir, "documents"), size=13)
 
@@ -47,6 +63,10 @@ def op7_decontamination(spark, sf_dir):
     return contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=13, one_in=20)
 
 
+def op8_secret_scan(spark, sf_dir):
+    return secret_digest(table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark, sf_dir):
     return token_round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
 
@@ -55,7 +75,21 @@ def op10_sentencepiece(spark, sf_dir):
     return piece_digest(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_simhash_near_dedup, op6_substring_dedup, op7_decontamination, op9_token_files, op10_sentencepiece)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_embedding_near_dedup,
+        op2_language_id,
+        op3_line_dedup,
+        op4_simhash_near_dedup,
+        op5_toxicity,
+        op6_substring_dedup,
+        op7_decontamination,
+        op8_secret_scan,
+        op9_token_files,
+        op10_sentencepiece,
+    )
+}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TRIM = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -66,6 +100,15 @@ keyed AS (SELECT *, translate(trim(line, {_TRIM}), '{_UPPER}', '{_LOWER}') AS k
 common AS (SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10)"""
 
 ORACLES = {
+    "op1_embedding_near_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+          WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON pairs.a = reach.b),
+n AS (SELECT a, count(*) AS n FROM pairs GROUP BY a),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id""",
     "op3_line_dedup": f"""
 WITH {LINES_SQL.format(docs="documents")},
 marked AS (SELECT keyed.*, common.k IS NOT NULL AS dropped FROM keyed LEFT JOIN common USING (k))

@@ -139,3 +139,15 @@ def simhash_groups(docs: DataFrame, size: int = 3, radius: int = 2, seed: int =
 
 def simhash_digest(docs: DataFrame, size: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
     return simhash_groups(docs, size, radius, seed).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each_group(docs: DataFrame, size: int = 5, radius: int = 8, seed: int = 42) -> DataFrame:
+    """The rows of docs, all columns, that stand for their group: the smallest doc_id, of several texts with that id
+    the one with the smallest hash. Rows that repeat both are one document and stay together; a group without any
+    doc_id keeps the text with the smallest hash."""
+    groups = simhash_groups(docs, size, radius, seed)
+    # every row knows its group's component; a group of null ids is told by its fingerprint
+    best = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("of")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "v")).alias("b"))
+    kept = best.select(F.col("b.doc_id").alias("kept_id"), F.col("b.v").alias("kept_v"))
+    given = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("hash"))
+    return given.join(kept, F.expr("id <=> kept_id AND hash = kept_v"), "left_semi").select("row.*")
