@@ -4,7 +4,7 @@ Method: a count-min prefilter. Each window of 13 words is counted in a cell chos
 hash among its 6-word grams, so that neighbouring windows share cells, equal windows always share one, and a cell's
 count is never below the count of any of its windows. Each task keeps a sketch of its documents (sparse: only touched
 cells, counts capped at "more than one document"); sketches are merged by ranges of cells. Only windows in cells that
-more than one document touches are counted exactly, by their 128-bit hash, in a second pass; no repeated window is lost.
+more than one document touches are counted exactly, by a 96-bit hash, in a second pass; no repeated window is lost.
 
 Whole copies are put aside first: only the copy with the smallest id is searched (windows of the others start in it,
 too). Texts are moved between machines once, compressed, and written to the shared folder dealt by document, so that
@@ -49,7 +49,7 @@ def window_cells(words: list[bytes], size: int, hashes: WordHashes) -> np.ndarra
     g = np.zeros(n - gram + 1, np.uint64)
     for k in range(gram):
         g = g * _BASE + h[k : n - gram + 1 + k]
-    g = mix(g)
+    g = mix(g) >> np.uint64(16)  # cells are 48-bit numbers
     cells = g[: n - size + 1].copy()
     for k in range(1, size - gram + 1):
         np.minimum(cells, g[k : n - size + 1 + k], out=cells)
@@ -57,31 +57,36 @@ def window_cells(words: list[bytes], size: int, hashes: WordHashes) -> np.ndarra
 
 
 def _store(docs: DataFrame) -> DataFrame:
-    """(doc_id, dg, n_words, sha, z): each row's words, blank-joined and compressed, dealt by (doc_id, dg)."""
+    """(doc_id, v, dg, n_words, sha, z): each row's words, blank-joined and compressed, dealt by (doc_id, v); dg is the
+    128-bit hash of the words, v its first half."""
 
     def rows(batches):
-        pack = zstandard.ZstdCompressor(level=1).compress
+        pack = zstandard.ZstdCompressor(level=3).compress
         for batch in pieces(batches):
             lines = [b" ".join(t.split()) for t in utf8(batch)]
+            dgs = [xxhash.xxh3_128_digest(x) for x in lines]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([xxhash.xxh3_128_digest(x) for x in lines], pa.binary()), longs([x.count(b" ") + 1 if x else 0 for x in lines]), pa.array([hashlib.sha256(x).hexdigest() for x in lines]), pa.array([pack(x) for x in lines], pa.binary())],
-                names=["doc_id", "dg", "n_words", "sha", "z"],
+                [batch.column(0), longs(np.frombuffer(b"".join(dgs), "<i8")[::2]), pa.array(dgs, pa.binary()), longs([x.count(b" ") + 1 if x else 0 for x in lines]), pa.array([hashlib.sha256(x).hexdigest() for x in lines]), pa.array([pack(x) for x in lines], pa.binary())],
+                names=["doc_id", "v", "dg", "n_words", "sha", "z"],
             )
 
-    made = docs.mapInArrow(rows, "doc_id long, dg binary, n_words long, sha string, z binary")
-    return cut(made.repartition(partitions(docs.sparkSession), "doc_id", "dg"))
+    made = docs.mapInArrow(rows, "doc_id long, v long, dg binary, n_words long, sha string, z binary")
+    return cut(made.repartition(partitions(docs.sparkSession), "doc_id", "v").sortWithinPartitions("doc_id"))
 
 
 def _words(z: bytes) -> list[bytes]:
     return zstandard.ZstdDecompressor().decompress(z).split(b" ")
 
 
-# Blobs: numpy arrays of one chunk and one shard; `row` numbers the documents of the chunk.
-_BLOB = "shard long, ids array<long>, dgs array<binary>, row binary, hash binary, at binary"
+# Blobs: arrays of one chunk and one shard. ids, vs: its documents; row: their number in it, for each hash.
+_BLOB = "shard long, ids array<long>, vs array<long>, row binary, hash binary, at binary"
+_CELL, _EXACT = 6, 12  # bytes of a cell and of a window's exact hash
+_CHUNK_DOCS = 60_000  # row is a 16-bit number
 
 
-def _blobs(shards: int, ids, dgs, row, hashes, at):
-    """Rows of _BLOB from arrays sorted in any order; hashes: (n, words) array; the shard is taken from the first word."""
+def _blobs(shards: int, width: int, ids, vs, row, hashes, at):
+    """Rows of _BLOB; hashes: (n, k) array of 64-bit words, of which width bytes count; the first word gives the shard."""
+    ids, vs = np.array(ids, np.int64), np.array(vs, np.int64)
     shard = (hashes[:, 0] % np.uint64(shards)).astype(np.int64)
     order = np.argsort(shard, kind="stable")
     shard, row, hashes, at = shard[order], row[order], hashes[order], at[order]
@@ -89,28 +94,32 @@ def _blobs(shards: int, ids, dgs, row, hashes, at):
     cols: list[list] = [[], [], [], [], [], []]
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(shard)], strict=True):
         docs, number = np.unique(row[a:b], return_inverse=True)
-        by_hash = np.lexsort(tuple(hashes[a:b].T[::-1]))  # sorted hashes compress better
-        for c, x in zip(cols, (int(shard[a]), [ids[d] for d in docs], [dgs[d] for d in docs], number[by_hash].astype("<u4").tobytes(), hashes[a:b][by_hash].astype("<u8").tobytes(), at[a:b][by_hash].astype("<u4").tobytes()), strict=True):
+        raw = np.ascontiguousarray(hashes[a:b], "<u8").view(np.uint8).reshape(b - a, -1)[:, :width]
+        for c, x in zip(cols, (int(shard[a]), ids[docs], vs[docs], number.astype("<u2").tobytes(), raw.tobytes(), at[a:b].astype("<u4").tobytes()), strict=True):
             c.append(x)
-    return pa.RecordBatch.from_arrays([longs(cols[0]), pa.array(cols[1], pa.list_(pa.int64())), pa.array(cols[2], pa.list_(pa.binary())), *[pa.array(c, pa.binary()) for c in cols[3:]]], names=["shard", "ids", "dgs", "row", "hash", "at"])
+    return pa.RecordBatch.from_arrays([longs(cols[0]), pa.array(cols[1], pa.list_(pa.int64())), pa.array(cols[2], pa.list_(pa.int64())), *[pa.array(c, pa.binary()) for c in cols[3:]]], names=["shard", "ids", "vs", "row", "hash", "at"])
 
 
-def _by_shard(blobs: DataFrame, work, schema: str) -> DataFrame:
-    """work(ids, dgs, row, hashes, at) for all of a shard, whose size is bounded by the number of shards."""
+def _unpacked(raw: bytes, n: int, width: int) -> np.ndarray:
+    out = np.zeros((n, -(-width // 8) * 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(n, width)
+    return out.view("<u8")
+
+
+def _by_shard(blobs: DataFrame, width: int, work, schema: str) -> DataFrame:
+    """work(ids, vs, row, hashes, at) for all of a shard, whose size is bounded by the number of shards."""
 
     def stream(batches):
         now, held = None, []
 
         def flush():
-            ids, dgs, rows, base = [], [], [], 0
+            rows, base = [], 0
             for b in held:
-                rows.append(np.frombuffer(b["row"], "<u4").astype(np.int64) + base)
-                ids += b["ids"]
-                dgs += b["dgs"]
+                rows.append(np.frombuffer(b["row"], "<u2").astype(np.int64) + base)
                 base += len(b["ids"])
             row = np.concatenate(rows)
-            hashes = np.concatenate([np.frombuffer(b["hash"], "<u8") for b in held]).reshape(len(row), -1)
-            return work(np.array(ids, np.int64), dgs, row, hashes, np.concatenate([np.frombuffer(b["at"], "<u4") for b in held]))
+            ids, vs = (np.concatenate([np.array(b[c], np.int64) for b in held]) for c in ("ids", "vs"))
+            return work(ids, vs, row, _unpacked(b"".join(b["hash"] for b in held), len(row), width), np.concatenate([np.frombuffer(b["at"], "<u4") for b in held]))
 
         for batch in batches:
             for k in range(batch.num_rows):
@@ -133,53 +142,52 @@ def _groups(ids, row, hashes):
     return order, np.flatnonzero(np.r_[True, (h[1:] != h[:-1]).any(axis=1)])
 
 
-def _per_document(ids, dgs, row, values, name: str):
+def _per_document(ids, vs, row, values, name: str):
     """One row a document: its values as a binary."""
     order = np.argsort(row, kind="stable")
     row, values = row[order], values[order]
     cuts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.empty(0, np.int64)
     ends = np.r_[cuts[1:], len(row)] if len(row) else cuts
-    return pa.RecordBatch.from_arrays([longs(ids[row[cuts]]), pa.array([dgs[d] for d in row[cuts].tolist()], pa.binary()), pa.array([values[a:b].tobytes() for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)], pa.binary())], names=["doc_id", "dg", name])
+    return pa.RecordBatch.from_arrays([longs(ids[row[cuts]]), longs(vs[row[cuts]]), pa.array([values[a:b].tobytes() for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)], pa.binary())], names=["doc_id", "v", name])
 
 
 def _sketch(size: int, shards: int):
-    """The sketch of a chunk: each touched cell with one document; cells that several documents of the chunk touch
-    come with all of them (at = 1)."""
+    """The sketch of a chunk: the cells that each of its documents touches."""
 
     def rows(batches):
         hashes = WordHashes()
-        ids, dgs, row, cells, held = [], [], [], [], 0
+        ids, vs, row, cells, held = [], [], [], [], 0
 
         def out():
-            r, c = np.concatenate(row), np.concatenate(cells)
-            return _blobs(shards, ids, dgs, r, c[:, None], np.zeros(len(c), np.uint32))
+            c = np.concatenate(cells)
+            return _blobs(shards, _CELL, ids, vs, np.concatenate(row), c[:, None], np.zeros(len(c), np.uint32))
 
         for batch in pieces(batches, "z", 4 << 20):
-            for doc, dg, z in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, v, z in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found = np.unique(window_cells(_words(z), size, hashes))
                 if len(found):
                     row.append(np.full(len(found), len(ids)))
                     cells.append(found)
                     ids.append(doc)
-                    dgs.append(dg)
+                    vs.append(v)
                     held += len(found)
-                if held >= _CHUNK // 2:
+                if held >= _CHUNK or len(ids) >= _CHUNK_DOCS:
                     yield out()
-                    ids, dgs, row, cells, held = [], [], [], [], 0
+                    ids, vs, row, cells, held = [], [], [], [], 0
         if held:
             yield out()
 
     return rows
 
 
-def _merge_cells(ids, dgs, row, hashes, at):
+def _merge_cells(ids, vs, row, hashes, at):
     """Cells that two document ids or more touch, for each document that touches them."""
     order, starts = _groups(ids, row, hashes)
     doc = ids[row[order]]
     size = np.diff(np.r_[starts, len(order)])
     several = doc[starts] != doc[starts + size - 1]
     chosen = order[np.repeat(several, size)]
-    return _per_document(ids, dgs, row[chosen], hashes[chosen, 0].astype("<u8"), "cells")
+    return _per_document(ids, vs, row[chosen], hashes[chosen, 0].astype("<u8"), "cells")
 
 
 def _candidates(size: int, shards: int):
@@ -188,7 +196,7 @@ def _candidates(size: int, shards: int):
 
     def rows(batches):
         hashes = WordHashes()
-        ids, dgs, row, exact, at, held = [], [], [], [], [], 0
+        ids, vs, row, exact, at, held = [], [], [], [], [], 0
 
         def out():
             r, h, a = np.concatenate(row), np.concatenate(exact), np.concatenate(at)
@@ -197,10 +205,10 @@ def _candidates(size: int, shards: int):
             lost = doc != np.repeat(doc[starts], np.diff(np.r_[starts, len(order)]))
             a = a[order]
             a[lost] |= np.uint32(1 << 31)
-            return _blobs(shards, ids, dgs, r[order], h[order], a)
+            return _blobs(shards, _EXACT, ids, vs, r[order], h[order], a)
 
         for batch in pieces(batches, "z", 4 << 20):
-            for doc, dg, z, cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, v, z, cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 line = zstandard.ZstdDecompressor().decompress(z)
                 words = line.split(b" ")
                 found = np.flatnonzero(np.isin(window_cells(words, size, hashes), np.frombuffer(b"".join(cells), "<u8")))
@@ -208,29 +216,28 @@ def _candidates(size: int, shards: int):
                     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
                     starts = np.r_[0, ends[:-1] + 1]
                     digest = xxhash.xxh3_128_digest
-                    raw = b"".join([digest(line[a:b]) for a, b in zip(starts[found].tolist(), ends[found + size - 1].tolist(), strict=True)])
-                    exact.append(np.frombuffer(raw, "<u8").reshape(-1, 2))
+                    exact.append(_unpacked(b"".join([digest(line[a:b])[:_EXACT] for a, b in zip(starts[found].tolist(), ends[found + size - 1].tolist(), strict=True)]), len(found), _EXACT))
                     row.append(np.full(len(found), len(ids)))
                     at.append(found.astype(np.uint32))
                     ids.append(doc)
-                    dgs.append(dg)
+                    vs.append(v)
                     held += len(found)
-                if held >= _CHUNK:
+                if held >= _CHUNK or len(ids) >= _CHUNK_DOCS:
                     yield out()
-                    ids, dgs, row, exact, at, held = [], [], [], [], [], 0
+                    ids, vs, row, exact, at, held = [], [], [], [], [], 0
         if held:
             yield out()
 
     return rows
 
 
-def _merge_windows(ids, dgs, row, hashes, at):
+def _merge_windows(ids, vs, row, hashes, at):
     """The windows (by first word) that start in a document with a smaller id, for each document."""
     order, starts = _groups(ids, row, hashes)
     doc, size = ids[row[order]], np.diff(np.r_[starts, len(order)])
     lost = (doc != np.repeat(doc[starts], size)) | (at[order] >> 31 > 0)
     chosen = order[lost]
-    return _per_document(ids, dgs, row[chosen], (at[chosen] & np.uint32(0x7FFFFFFF)).astype("<u4"), "lost")
+    return _per_document(ids, vs, row[chosen], (at[chosen] & np.uint32(0x7FFFFFFF)).astype("<u4"), "lost")
 
 
 def _strip(size: int):
@@ -269,15 +276,16 @@ def substring_dedup(docs: DataFrame, size: int = 13, shard_words: int = 8_000_00
     Returns doc_id, n_words, n_removed, kept_sha256 (kept words joined by one blank).
     """
     stored = _store(documents_of(docs))
-    firsts = cut(stored.where("doc_id is not null").groupBy("dg").agg(F.min("doc_id").alias("doc_id"), F.max("n_words").alias("n")))
+    firsts = cut(stored.where("doc_id is not null").groupBy("dg").agg(F.min("doc_id").alias("doc_id"), F.first("v").alias("v"), F.max("n_words").alias("n")))
     total = firsts.agg(F.sum("n")).first()[0] or 0
     shards = max(8, -(-total // shard_words))
-    searched = stored.join(firsts.where(F.col("n") >= size).select("doc_id", "dg"), ["doc_id", "dg"], "left_semi")
-    cells = _by_shard(searched.select("doc_id", "dg", "z").mapInArrow(_sketch(size, shards), _BLOB), _merge_cells, "doc_id long, dg binary, cells binary")
-    cells = cells.groupBy("doc_id", "dg").agg(F.collect_list("cells").alias("cells"))
-    windows = stored.join(cells, ["doc_id", "dg"]).select("doc_id", "dg", "z", "cells").mapInArrow(_candidates(size, shards), _BLOB)
-    lost = _by_shard(windows, _merge_windows, "doc_id long, dg binary, lost binary").groupBy("doc_id", "dg").agg(F.collect_list("lost").alias("lost"))
-    copies = firsts.select("doc_id", "dg", F.lit(False).alias("copy"))
-    on = lambda right: (F.col("s.doc_id") == F.col(f"{right}.doc_id")) & (F.col("s.dg") == F.col(f"{right}.dg"))
+    searched = stored.join(firsts.where(F.col("n") >= size).select("doc_id", "v"), ["doc_id", "v"], "left_semi")
+    sketches = searched.select("doc_id", "v", "z").mapInArrow(_sketch(size, shards), _BLOB)
+    cells = _by_shard(sketches, _CELL, _merge_cells, "doc_id long, v long, cells binary")
+    cells = cells.groupBy("doc_id", "v").agg(F.collect_list("cells").alias("cells"))
+    windows = stored.join(cells, ["doc_id", "v"]).select("doc_id", "v", "z", "cells").mapInArrow(_candidates(size, shards), _BLOB)
+    lost = _by_shard(windows, _EXACT, _merge_windows, "doc_id long, v long, lost binary").groupBy("doc_id", "v").agg(F.collect_list("lost").alias("lost"))
+    copies = firsts.select("doc_id", "v", F.lit(False).alias("copy"))
+    on = lambda right: (F.col("s.doc_id") == F.col(f"{right}.doc_id")) & (F.col("s.v") == F.col(f"{right}.v"))
     out = stored.alias("s").join(copies.alias("c"), on("c"), "left").join(lost.alias("l"), on("l"), "left")
-    return out.select("s.doc_id", "s.dg", "s.n_words", "s.sha", "s.z", F.expr("c.copy is null and s.doc_id is not null").alias("copy"), "l.lost").mapInArrow(_strip(size), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return out.select("s.doc_id", "s.v", "s.n_words", "s.sha", "s.z", F.expr("c.copy is null and s.doc_id is not null").alias("copy"), "l.lost").mapInArrow(_strip(size), "doc_id long, n_words long, n_removed long, kept_sha256 string")
