@@ -13,8 +13,6 @@ from ledgerloom.functions.text import clean_udf, signal_udf, split_names_udf, st
 from ledgerloom.operators.collect import TABLE
 from ledgerloom.operators.matching import match_awards
 
-#: Order of everything that a row gives rise to: workbook, sheet, table, row, position in the row.
-ORD = F.struct("book", "sheet_idx", "table_idx", "row", "idx")
 ISSUE = ["group_id", "code", "message", "phase", "ord", "scope", "standalone", "field", "source_row", "source_cell", "extra"]
 
 
@@ -28,6 +26,11 @@ class Finished:
     issues: DataFrame
 
 
+def mention_order() -> Column:
+    """Order of everything that a row gives rise to: workbook, sheet, table, row, position in the row."""
+    return F.struct("book", "sheet_idx", "table_idx", "row", "idx")
+
+
 def json_list(*parts: Column) -> Column:
     return F.concat(F.lit("["), F.concat_ws(",", *[F.coalesce(p, F.lit("null")) for p in parts]), F.lit("]"))
 
@@ -84,9 +87,9 @@ def mentions(business: DataFrame) -> DataFrame:
 def participants(named: DataFrame) -> DataFrame:
     """One record for each name in a group: the first mention gives id and spelling, all mentions are kept in order."""
     key = F.when(F.col("key") != "", F.col("key")).otherwise(F.col("record_id"))
-    occurrence = F.struct(ORD.alias("ord"), "row", "idx", "raw", "company_role", "single", "places", "values", "raws", "evidence", "clean_bidder_price", "clean_bidder_legal_person", "clean_rank", "clean_award_status", "changes")
+    occurrence = F.struct(mention_order().alias("ord"), "row", "idx", "raw", "company_role", "single", "places", "values", "raws", "evidence", "clean_bidder_price", "clean_bidder_legal_person", "clean_rank", "clean_award_status", "changes")
     first = F.struct("record_id", "name", "key", "context_record", "project_id", "table_idx")
-    out = named.groupBy("group_id", key.alias("dedup_key")).agg(F.min_by(first, ORD).alias("f"), F.min(ORD).alias("ord"), F.array_sort(F.collect_list(occurrence), in_order).alias("occurrences"))
+    out = named.groupBy("group_id", key.alias("dedup_key")).agg(F.min_by(first, mention_order()).alias("f"), F.min(mention_order()).alias("ord"), F.array_sort(F.collect_list(occurrence), in_order).alias("occurrences"))
     filled = lambda c: F.filter(F.transform("occurrences", lambda o: o[f"clean_{c}"]), lambda x: x != "")
     out = out.select("group_id", "f.*", "ord", "occurrences", *[F.array_distinct(filled(c)).alias(f"{c}s") for c in ("bidder_price", "bidder_legal_person", "rank", "award_status")])
     canon = F.transform("award_statuss", lambda s: status_column(s))
@@ -105,7 +108,7 @@ def awards_of(business: DataFrame) -> DataFrame:
     listed = business.withColumn("n_prizes", F.size("prizes.names")).withColumn("t", F.explode("prizes.names")).select("*", "t.*").drop("t")
     listed = listed.withColumn("cell", F.col("places")["award_name"])
     what = F.struct("raw", "name", "changes", F.coalesce(F.col("values")["award_legal_person"], F.lit("")).alias("legal_person"), F.coalesce(F.col("values")["award_price"], F.lit("")).alias("price"), "award_row", F.array_contains("merged", "award_name").alias("merged"), (F.col("n_prizes") == 1).alias("single_name"))
-    out = listed.groupBy("group_id", "key", "cell").agg(F.min_by(what, ORD).alias("a"), F.min(ORD).alias("ord"))
+    out = listed.groupBy("group_id", "key", "cell").agg(F.min_by(what, mention_order()).alias("a"), F.min(mention_order()).alias("ord"))
     return out.select("group_id", "key", "cell", "ord", "a.*")
 
 
