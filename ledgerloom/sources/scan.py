@@ -79,4 +79,4 @@ def read_workbooks(spark: SparkSession, paths: list[str]) -> tuple[Workbooks, li
 def _typed(rows: DataFrame, ddl: str) -> DataFrame:
     """Columns after sha from the array b, cast as the schema says."""
     kinds = [c.split() for c in ddl.split(", ")]
-    return rows.select("sha", *[F.get("b", F.lit(k)).cast(kind).alias(name) for k, (name, kind) in enumerate(kinds[1:])])
+    return rows.select("sha", *[F.get("b", F.lit(k)).try_cast(kind).alias(name) for k, (name, kind) in enumerate(kinds[1:])])
