@@ -14,10 +14,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import longs, pieces, strings
+from ledgerloom.llm.common import cut, longs, pieces, strings
 from ledgerloom.llm.langid import held_out
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -33,15 +34,6 @@ def forms(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in range(4, min(len(word), 8) + 1))]
 
 
-def log_odds(n1: np.ndarray, n0: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds ratios and their z scores; the prior is the pooled distribution with `prior` pseudo-counts in all."""
-    both = n1 + n0
-    a = prior * both / both.sum()
-    t1, t0 = n1.sum() + prior, n0.sum() + prior
-    delta = np.log((n1 + a) / (t1 - n1 - a)) - np.log((n0 + a) / (t0 - n0 - a))
-    return delta, delta / np.sqrt(1 / (n1 + a) + 1 / (n0 + a))
-
-
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (start, end, score), in linear time; runs between positive scores are skipped."""
     at = np.flatnonzero(scores > 0)
@@ -77,14 +69,15 @@ class TokenScores(dict):
 
 
 class Scorer:
-    """words: (|z|, log-odds) by form; lam, k: extreme-value parameters; weights: of the logistic curve."""
+    """words: (|z|, log-odds) by form; lam, k: extreme-value parameters; rate: significant segments a token of clean
+    text; weights: of the logistic curve."""
 
-    def __init__(self, words: dict[str, tuple[float, float]], lam: float = 1.0, k: float = 1.0, weights: tuple = (0.0, 0.0, 0.0, 0.0)):
-        self.words, self.lam, self.k, self.weights = words, lam, k, weights
+    def __init__(self, words: dict[str, tuple[float, float]], lam: float = 1.0, k: float = 1.0, rate: float = 1e-4, weights: tuple = (0.0,) * 5):
+        self.words, self.lam, self.k, self.rate, self.weights = words, lam, k, rate, weights
         self.scores = TokenScores(words)
 
     def __reduce__(self):
-        return Scorer, (self.words, self.lam, self.k, self.weights)
+        return Scorer, (self.words, self.lam, self.k, self.rate, self.weights)
 
     def scan(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
         found = tokens(text)
@@ -92,14 +85,19 @@ class Scorer:
             return len(found), []
         return len(found), segments(np.fromiter(map(self.scores.__getitem__, found), np.float64, len(found)))
 
-    def features(self, text: str) -> tuple[float, float, float]:
-        """Excess of the best segment over clean text of that length; sum and number of all significant excesses."""
+    def excesses(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
+        """(tokens, segments with their excess over the best of clean text of that length)."""
         n, found = self.scan(text)
-        if not found:
-            return -math.log(self.k * max(n, 1)) if n else 0.0, 0.0, 0.0
-        excess = [self.lam * s - math.log(self.k * n) for _, _, s in found]
-        good = [e for e in excess if e > 0]
-        return max(excess), math.log1p(sum(good)), float(len(good))
+        limit = math.log(self.k * max(n, 1))
+        return n, [(a, b, self.lam * s - limit) for a, b, s in found]
+
+    def features(self, n: int, found: list[tuple[int, int, float]]) -> list[float]:
+        """The best excess; sum and number of the significant ones; how unlikely their number is in clean text."""
+        best = max((e for *_, e in found), default=-math.log(self.k * n) if n else -20.0)
+        good = [e for *_, e in found if e > 0]
+        expected = max(self.rate * n, 1e-9)
+        surprise = len(good) * math.log(len(good) / expected) - len(good) + expected if len(good) > expected else 0.0
+        return [min(60.0, max(-20.0, best)), math.log1p(sum(good)), float(len(good)), min(60.0, surprise)]
 
     def score(self, features) -> float:
         z = self.weights[0] + sum(w * f for w, f in zip(self.weights[1:], features, strict=True))
@@ -134,14 +132,40 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
+def _rising(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Logistic weights none of which is negative: features that would count against toxicity are left out in turn."""
+    use = list(range(x.shape[1]))
+    while use:
+        w = _logistic(x[:, use], y)
+        if (w[1:] >= 0).all():
+            break
+        use.pop(int(np.argmin(w[1:])))
+    out = np.zeros(x.shape[1] + 1)
+    out[0] = w[0] if use else _logistic(x[:, :0], y)[0]
+    out[[u + 1 for u in use]] = w[1:] if use else 0
+    return out
+
+
 def _sample(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int, per_class: int) -> DataFrame:
-    """(text, toxic) of the training documents: per_class of each class on average, by a hash of the id."""
+    """(text, toxic) of the training documents: per_class of each class on average, by a hash of the id, copies once."""
     marks = labels.where("toxic is not null and doc_id is not null").where(~held_out(modulus, remainder)).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     rate = {r[0]: min(1.0, per_class / r[1]) for r in marks.groupBy("toxic").count().collect()}
     draw = F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1_000_000)) / 1_000_000
     wanted = marks.where(draw < F.coalesce(*[F.when(F.col("toxic") == k, F.lit(v)) for k, v in rate.items()], F.lit(0.0)))
     # the sample's ids are bounded by per_class, so they are sent to the texts instead of moving all texts
-    return docs.join(F.broadcast(wanted), docs.doc_id == wanted.id).select("text", "toxic")
+    drawn = docs.join(F.broadcast(wanted), docs.doc_id == wanted.id).select("text", "toxic")
+
+    def signed(batches):
+        """With the smallest hash of five-word shingles: copies and near copies share it and count once."""
+        for batch in batches:
+            signs = []
+            for text in strings(batch):
+                w = (text or "").split()
+                signs.append(min((xxhash.xxh3_64_intdigest(" ".join(w[i : i + 5])) >> 1 for i in range(max(1, len(w) - 4))), default=0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, longs(signs)], names=["text", "toxic", "sign"])
+
+    marked = drawn.mapInArrow(signed, "text string, toxic int, sign long")
+    return cut(marked.groupBy("sign", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"))
 
 
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0, per_class: int = 4000, max_words: int = 200_000) -> Scorer:
@@ -168,7 +192,10 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int =
     prior = 0.01 * (n0_all + n1_all)
     a = F.lit(prior) * (F.col("n0") + F.col("n1")) / F.lit(n0_all + n1_all)
     delta = F.log((F.col("n1") + a) / (n1_all + prior - F.col("n1") - a)) - F.log((F.col("n0") + a) / (n0_all + prior - F.col("n0") - a))
-    z = delta / F.sqrt(1 / (F.col("n1") + a) + 1 / (F.col("n0") + a))
+    # significance: the signed root of the likelihood ratio, which holds for words that one class lacks
+    share = n1_all / (n0_all + n1_all)
+    n, part = F.col("n0") + F.col("n1"), lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / ((F.col("n0") + F.col("n1")) * p))).otherwise(0.0)
+    z = F.when(F.col("n1") > n * share, 1).otherwise(-1) * F.sqrt(F.greatest(F.lit(0.0), 2 * (part("n1", share) + part("n0", 1 - share))))
     table = counts.select("word", "n0", delta.alias("delta"), z.alias("z")).where(F.abs("z") > math.sqrt(2 * math.log(max(2, sums[2])))).orderBy(F.desc(F.abs("z")), "word").limit(max_words).collect()
     words = {r["word"]: (abs(r["z"]), max(-3.0, min(8.0, r["delta"]))) for r in table}
     found = np.zeros((1 << 12) + 1, np.int64)  # how often clean text has each token score, in steps
@@ -185,23 +212,25 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int =
     for (part,) in sample.mapInArrow(scored, "n binary").toLocalIterator():
         found += np.frombuffer(bytes(part), "<i8")
     lam = karlin_lambda(np.arange(len(found)) / 256 - 4, found / max(1, found.sum()))
-    # k from clean documents: the expected number of segments above their best is about one half
-    raw = Scorer(words, lam, 1.0)
+    def measure(scorer: Scorer) -> np.ndarray:
+        """Tokens, features and label of each training document."""
 
-    def measure(scorer: Scorer):
         def rows(batches):
             for batch in batches:
-                f = [scorer.features(t or "") for t in strings(batch)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in f], pa.float64()) for i in range(3)] + [longs(batch.column(1).to_pylist())], names=["a", "b", "c", "toxic"])
+                f = [(float(n), *scorer.features(n, found)) for n, found in (scorer.excesses(t or "") for t in strings(batch))]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in f], pa.float64()) for i in range(5)] + [pa.array([float(x > 0) for x in batch.column(1).to_pylist()], pa.float64())], names=["n", "a", "b", "c", "d", "toxic"])
 
-        return np.array([tuple(r) for r in sample.mapInArrow(rows, "a double, b double, c double, toxic long").collect()])  # bounded by the sample
+        return np.array([tuple(r) for r in sample.mapInArrow(rows, "n double, a double, b double, c double, d double, toxic double").collect()])  # bounded by the sample
 
-    first = measure(raw)
-    best = first[first[:, 3] == 0, 0]
+    # k from clean documents: in half of them the best segment stays below it
+    first = measure(Scorer(words, lam))
+    best = first[first[:, 5] == 0, 1]
     k = float(np.clip(np.exp(np.median(best) + math.log(math.log(2))), 1e-6, 1e6)) if len(best) else 1.0
-    scorer = Scorer(words, lam, k)
+    second = measure(Scorer(words, lam, k))
+    clean = second[second[:, 5] == 0]
+    scorer = Scorer(words, lam, k, (clean[:, 3].sum() + 0.5) / (clean[:, 0].sum() + 1))
     seen = measure(scorer)
-    scorer.weights = tuple(_logistic(np.clip(seen[:, :3], -20, 60), (seen[:, 3] > 0).astype(float)).tolist())
+    scorer.weights = tuple(_rising(seen[:, 1:5], seen[:, 5]).tolist())
     return scorer
 
 
@@ -219,12 +248,9 @@ def toxicity(docs: DataFrame, scorer: Scorer, modulus: int = 5, remainder: int =
         for batch in pieces(batches):
             scores, spans = [], []
             for text in strings(batch):
-                n, found = s.scan(text or "")
-                excess = [(a, b, s.lam * v - math.log(s.k * n)) for a, b, v in found]
-                good = [x for x in excess if x[2] > 0]
-                f = (max(x[2] for x in excess) if excess else -math.log(s.k * max(n, 1)) if n else 0.0, math.log1p(sum(x[2] for x in good)), float(len(good)))
-                scores.append(s.score([min(60.0, max(-20.0, x)) for x in f]) if n else s.score((-20.0, 0.0, 0.0)))
-                spans.append([{"start": a, "end": b, "excess": e} for a, b, e in good])
+                n, found = s.excesses(text or "")
+                scores.append(s.score(s.features(n, found)))
+                spans.append([{"start": a, "end": b, "excess": e} for a, b, e in found if e > 0])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(scores, pa.float64()), pa.array([int(x >= 0.5) for x in scores], pa.int32()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("excess", pa.float64())])))], names=["doc_id", "held_out", "score", "predicted", "spans"])
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(modulus, remainder).alias("held_out"))
