@@ -188,7 +188,7 @@ def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         units = WordTokens(path).units
         total = np.zeros(0, np.int64)
         pack = zstandard.ZstdCompressor(level=1).compress
-        for batch in pieces(batches, limit=2 << 20):
+        for batch in pieces(batches, limit=1 << 20):
             ids, ends = units.encode(*buffers(batch.column(1)))
             starts = np.r_[0, ends[:-1]]
             end = np.uint32(end_id)
@@ -263,8 +263,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     ordered.mapInArrow(blocks, "part int, block int, doc_ids array<long>, doc_lengths array<long>, n_tokens long, payload binary, checkpoints binary").write.parquet(f"{folder}/blocks")
 
 
-def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, start, ids): the ids of each document and how many ids all documents before it have."""
+def read_token_files(spark: SparkSession, folder: str, digest: bool = False) -> DataFrame:
+    """(doc_id, start, ids): the ids of each document and how many ids all documents before it have; with digest,
+    n_tokens and ids_crc32 instead of the ids."""
     header = spark.read.parquet(f"{folder}/header").first()
     lengths, bits = np.frombuffer(bytes(header["code_lengths"]), np.uint8), header["bits"]
     blocks = spark.read.parquet(f"{folder}/blocks")
@@ -280,17 +281,21 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     def documents(batches):
         decoder = Decoder(lengths, bits)
         for batch in batches:
-            for part, inside, ids, sizes, n, payload, checkpoints in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                tokens = decoder.block(payload, checkpoints, n).astype("<u4")
+            for k in range(batch.num_rows):
+                part, inside, ids, sizes, n, payload, checkpoints = (c.to_pylist()[0] for c in batch.slice(k, 1).columns)
+                tokens = memoryview(decoder.block(payload, checkpoints, n).astype("<u4").tobytes())
                 ends = np.cumsum(sizes)
                 first = np.r_[0, ends[:-1]]
-                for k in range(0, len(ids), 4096):
-                    cuts = list(zip(first[k : k + 4096].tolist(), ends[k : k + 4096].tolist(), strict=True))
-                    yield pa.RecordBatch.from_arrays([longs(ids[k : k + 4096]), longs(first[k : k + 4096] + before[part] + inside), pa.array([tokens[a:b].tobytes() for a, b in cuts], pa.binary())], names=["doc_id", "start", "ids"])
+                for a in range(0, len(ids), 512):
+                    at = slice(a, a + 512)
+                    raw = [tokens[4 * x : 4 * y] for x, y in zip(first[at].tolist(), ends[at].tolist(), strict=True)]
+                    found = [longs([zlib.crc32(x) for x in raw])] if digest else [pa.array([bytes(x) for x in raw], pa.binary())]
+                    yield pa.RecordBatch.from_arrays([longs(ids[at]), longs(first[at] + before[part] + inside), *([longs(sizes[at])] if digest else []), *found], names=names)
 
+    names = ["doc_id", "start", "n_tokens", "ids_crc32"] if digest else ["doc_id", "start", "ids"]
     # the payload stays out of the window's shuffle: a block's place is a few numbers
     placed = blocks.join(starts, ["part", "block"]).select("part", "inside", "doc_ids", "doc_lengths", "n_tokens", "payload", "checkpoints")
-    return placed.mapInArrow(documents, "doc_id long, start long, ids binary")
+    return placed.mapInArrow(documents, ", ".join(f"{x} {'binary' if x == 'ids' else 'long'}" for x in names))
 
 
 def token_round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None) -> DataFrame:
@@ -303,10 +308,4 @@ def token_round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: s
     spark = docs.sparkSession
     folder = folder or new_path(spark, "token-files")
     write_token_files(docs, folder, tokenizer, end_id)
-
-    def digest(batches):
-        for batch in batches:
-            ids = batch.column(2).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), longs([len(x) // 4 for x in ids]), longs([zlib.crc32(x) for x in ids])], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return read_token_files(spark, folder).mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_token_files(spark, folder, digest=True)

@@ -49,7 +49,7 @@ class Units:
     before them. whole(texts): ids of whole texts, for texts with white
     space beside a blank and for those that hold something of avoid."""
 
-    def __init__(self, learn: Callable, whole: Callable, avoid: tuple[bytes, ...] = (), limit: int = 1_500_000):
+    def __init__(self, learn: Callable, whole: Callable, avoid: tuple[bytes, ...] = (), limit: int = 700_000):
         self.learn, self.whole, self.avoid, self.limit = learn, whole, avoid, limit
         self.powers = Powers()
         self._clear()
