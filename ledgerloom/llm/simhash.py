@@ -24,7 +24,7 @@ from ledgerloom.llm.blocks import grouped, pair_blocks
 from ledgerloom.llm.common import Local, cut, documents_of, longs, mix, pieces, utf8
 from ledgerloom.llm.components import components
 
-PIVOTS = mix(np.arange(1, 25, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+PIVOTS = mix(np.arange(1, 97, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(24, 4)
 _PAIRS = 1 << 20  # pairs compared at a time
 
 
@@ -84,9 +84,12 @@ def _compare(radius: int):
     return work
 
 
-def near(group: np.ndarray, radius: int):
-    """Chunks (x, y) of positions in group with radius differing bits or fewer, each pair once."""
-    table = np.bitwise_count(group[:, None] ^ PIVOTS[None, :]).astype(np.int8)
+def near(group: np.ndarray, radius: int, pivots: int = len(PIVOTS)):
+    """Chunks (x, y) of positions in group with radius differing bits or fewer, each pair once.
+
+    group: fingerprints as 64-bit words, or rows of several words."""
+    group = group.reshape(len(group), -1)
+    table = np.stack([np.bitwise_count(group ^ p[: group.shape[1]]).sum(axis=1, dtype=np.int16) for p in PIVOTS[:pivots]], axis=1)
     order = np.argsort(table[:, 0], kind="stable")
     table, sorted_group = table[order], group[order]
     until = np.searchsorted(table[:, 0], table[:, 0] + radius, "right")
@@ -97,12 +100,12 @@ def near(group: np.ndarray, radius: int):
         b = max(a + 1, int(np.searchsorted(total, total[a] + _PAIRS, "right")) - 1)
         x = np.repeat(np.arange(a, b), widths[a:b])
         y = np.arange(total[b] - total[a]) - np.repeat(total[a:b] - total[a], widths[a:b]) + x + 1
-        for p in range(1, len(PIVOTS)):
+        for p in range(1, pivots):
             if not len(x):
                 break
             close = np.abs(table[x, p] - table[y, p]) <= radius
             x, y = x[close], y[close]
-        close = np.bitwise_count(sorted_group[x] ^ sorted_group[y]) <= radius
+        close = np.bitwise_count(sorted_group[x] ^ sorted_group[y]).sum(axis=1, dtype=np.int16) <= radius
         yield order[x[close]], order[y[close]]
         a = b
 
@@ -141,11 +144,106 @@ def simhash_digest(docs: DataFrame, size: int = 3, radius: int = 2, seed: int =
     return simhash_groups(docs, size, radius, seed).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each_group(docs: DataFrame, size: int = 5, radius: int = 8, seed: int = 42) -> DataFrame:
-    """The rows of docs, all columns, that stand for their group: the smallest doc_id, of several texts with that id
-    the one with the smallest hash. Rows that repeat both are one document and stay together; a group without any
-    doc_id keeps the text with the smallest hash."""
-    groups = simhash_groups(docs, size, radius, seed)
+# ---------------------------------------------------------------- wide fingerprints, for a similarity well below 1
+
+WORDS = 4  # 64-bit words of a wide fingerprint
+
+
+def wide_fingerprint(text: bytes, size: int, seed: int = 42) -> bytes:
+    """Four fingerprints in a row: of the shingle hashes and of three scramblings of them."""
+    hashes = shingle_hashes(text, size, seed)
+    if not len(hashes):
+        return bytes(8 * WORDS)
+    counts = np.zeros(64 * WORDS, np.int64)
+    for k in range(0, len(hashes), 1 << 14):
+        part = hashes[k : k + (1 << 14)]
+        wide = np.stack([part, *[mix(part + np.uint64(w * 0x9E3779B97F4A7C15 % 2**64)) for w in range(1, WORDS)]], axis=1)
+        counts += np.unpackbits(np.ascontiguousarray(wide, "<u8").view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").tobytes()
+
+
+def differing_bits(similarity: float) -> float:
+    """Expected share of differing bits at a Jaccard similarity of shingle sets of one size."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+class Bands:
+    """Keys of `bits` random places of a wide fingerprint: as many tables as the recall at the limit needs; the keys
+    grow with the number of fingerprints, so that strangers seldom share one."""
+
+    def __init__(self, similarity: float, n: int, recall: float):
+        self.bits = max(16, int(np.ceil(np.log2(max(2, n)))) - 2)
+        meet = (1 - differing_bits(similarity)) ** self.bits
+        self.tables = int(np.ceil(np.log(1 - recall) / np.log(1 - meet)))
+        rng = np.random.Generator(np.random.PCG64(7))
+        self.places = [rng.choice(64 * WORDS, self.bits, replace=False) for _ in range(self.tables)]
+
+    def keys(self, bits: np.ndarray):
+        """(table, keys) for fingerprints as rows of bits."""
+        weights = np.left_shift(np.int64(1), np.arange(self.bits, dtype=np.int64))
+        for t, places in enumerate(self.places):
+            yield t, bits[:, places].astype(np.int64) @ weights
+
+
+def _compare_wide(radius: int):
+    def work(arrays, starts, ends):
+        left, right = [], []
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+            group = np.frombuffer(b"".join(arrays["fp"][a:b]), "<u8").reshape(b - a, WORDS)
+            node, sub, same = arrays["node"][a:b], arrays["sub"][a:b], arrays["i"][a] == arrays["j"][a]
+            local = Local(len(group))
+            for x, y in near(group, radius, pivots=4):
+                if not same:
+                    x, y = x[sub[x] != sub[y]], y[sub[x] != sub[y]]
+                local.add(x, y)
+            linked = np.flatnonzero(local.root != np.arange(len(group)))
+            left.append(node[linked])
+            right.append(node[local.root[linked]])
+        yield pa.RecordBatch.from_arrays([longs(np.concatenate(left)), longs(np.concatenate(right))], names=["a", "b"])
+
+    return work
+
+
+def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, recall: float = 0.97, slack: float = 0.03, limit: int = 4096) -> DataFrame:
+    """Groups documents whose 256-bit fingerprints are as near as those of shingle sets with the given similarity.
+
+    A pair is linked if its differing bits are no more than a similarity of `similarity - slack` makes expect. Pairs
+    meet in tables of random bit places; at the similarity asked for a pair meets with probability `recall`, nearer
+    ones more surely. The pivot table, the bound on blocks, nulls, empty texts, repeated rows and empty tables are as
+    in simhash_groups(). Returns doc_id, v, fp (binary), component_id.
+    """
+
+    def rows(batches):
+        for batch in pieces(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([wide_fingerprint(t, size) for t in utf8(batch)], pa.binary())], names=["doc_id", "v", "fp"])
+
+    marked = cut(documents_of(docs).withColumn("v", F.xxhash64("text")).mapInArrow(rows, "doc_id long, v long, fp binary"))
+    classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("node", F.monotonically_increasing_id()))
+    bands = Bands(similarity, classes.count(), recall)
+    radius = round(64 * WORDS * differing_bits(similarity - slack))
+
+    def keyed(batches):
+        for batch in batches:
+            if batch.num_rows:
+                bits = np.unpackbits(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1), axis=1, bitorder="little")
+                for t, keys in bands.keys(bits):
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.full(batch.num_rows, t, np.int32)), longs(keys)], names=["node", "fp", "t", "key"])
+
+    tables = classes.select("node", "fp").mapInArrow(keyed, "node long, fp binary, t int, key long")
+    dealt = pair_blocks(tables, ["t", "key"], "node", limit)
+    edges = grouped(dealt, ["t", "key", "i", "j"], _compare_wide(radius), "a long, b long", ["t", "key", "i", "j", "sub", "node", "fp"])
+    linked = components(edges).withColumnRenamed("node", "n")
+    rooted = classes.join(linked, classes.node == linked.n, "left").select("fp", "first", F.coalesce("component", "node").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    of_class = rooted.join(smallest, "root").select(F.col("fp").alias("f"), "component_id")
+    return marked.join(of_class, marked.fp == of_class.f).select("doc_id", "v", "fp", "component_id")
+
+
+def one_of_each_group(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs, all columns, that stand for their group in similar_groups(): the smallest doc_id, of several
+    texts with that id the one with the smallest hash. Rows that repeat both are one document and stay together; a
+    group without any doc_id keeps the text with the smallest hash."""
+    groups = similar_groups(docs, size, similarity)
     # every row knows its group's component; a group of null ids is told by its fingerprint
     best = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("of")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "v")).alias("b"))
     kept = best.select(F.col("b.doc_id").alias("kept_id"), F.col("b.v").alias("kept_v"))

@@ -124,8 +124,37 @@ def test_near_copies_in_large_blocks(spark):
     assert [top(k) for k in range(len(fps))] == [root(k) for k in range(len(fps))]
 
 
+def test_similar_groups(spark, none):
+    """Near copies at a Jaccard similarity of 0.85 or more are found, unrelated documents and halves stay apart."""
+    import random
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows, truth = [], {}
+    for g in range(60):
+        base = [word() for _ in range(rng.randrange(120, 500))]
+        truth[len(rows)] = None
+        rows.append((len(rows), " ".join(base)))
+        for changes in (0, 1, 2):
+            copy = list(base)
+            for _ in range(changes):
+                copy[rng.randrange(len(copy))] = word()
+            shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+            a, b = shingles(base), shingles(copy)
+            truth[len(rows)] = (4 * g + g, len(a & b) / len(a | b))
+            rows.append((len(rows), " ".join(copy)))
+        truth[len(rows)] = None
+        rows.append((len(rows), " ".join([*base[: len(base) // 2], *[word() for _ in range(len(base) // 2)]])))
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, fp int").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    near = [(i, t[0]) for i, t in truth.items() if t and t[1] >= 0.85]
+    assert sum(got[i] == base for i, base in near) >= 0.95 * len(near) and len(near) > 150
+    assert all(got[i] == i for i, t in truth.items() if t is None)
+    assert simhash.similar_groups(none).count() == 0
+
+
 def test_one_of_each_group_stays(docs):
-    kept = simhash.one_of_each_group(docs, 5, 3)
+    kept = simhash.one_of_each_group(docs)
     ids = sorted(r.doc_id for r in kept.select("doc_id").where("doc_id is not null").collect())
     assert 1 in ids and 2 not in ids and 10 in ids and 11 not in ids and kept.columns == docs.columns
 
