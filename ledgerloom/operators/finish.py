@@ -143,7 +143,7 @@ def finish(rows: DataFrame, tables: DataFrame, sources: DataFrame, sheets: DataF
 
     whole = lambda c: F.col(c).rlike(r"^[0-9]+(\.0+)?$")
     place = F.struct("book", "sheet_idx", "table_idx", "row")
-    head = F.struct("source_id", "file_name", "sha", "sheet_idx", "table_idx", "project_id", "anchor_row", "lot_name", "lot_code", "scope_type", "company_role", "award_mode", "group_mode", "project_mode", "status", "basis_type", "basis", "context", "context_places")
+    head = F.struct("source_id", "file_name", "sha", "sheet_idx", "table_idx", "project_id", "anchor_row", "lot_name", "lot_code", "scope_type", "company_role", "award_mode", "group_mode", "project_mode", "status", "basis_type", "basis", "context", "context_places", "price_units")
     groups = business.groupBy("group_id").agg(
         F.min_by(head, place).alias("h"), F.min(place).alias("place"), F.collect_set("signal").alias("signals"), F.sort_array(F.collect_list("row")).alias("source_rows"),
         F.sort_array(F.collect_set(F.when(whole("count_text"), F.col("count_text").cast("double").cast("long")))).alias("counts"),

@@ -8,6 +8,7 @@ from ledgerloom.functions.errors import LedgerError
 from ledgerloom.operators.collect import assign, refuse_revisions
 from ledgerloom.operators.emit import Results, emit
 from ledgerloom.operators.finish import finish
+from ledgerloom.plans.mapping import refuse_aliases
 from ledgerloom.sources.cells import Workbooks
 
 
@@ -15,8 +16,9 @@ def now() -> str:
     return datetime.now(timezone(timedelta(hours=8))).isoformat(timespec="seconds")
 
 
-def build(books: Workbooks, plan: dict, generated_at: str | None = None, failures: list[dict] | None = None, resolutions: dict[str, dict] | None = None) -> Results:
+def build(books: Workbooks, plan: dict, generated_at: str | None = None, failures: list[dict] | None = None, resolutions: dict[str, dict] | None = None, aliases: dict | None = None) -> Results:
     """Results of a validated plan. Raises PlanRevision where the rows contradict the plan."""
+    refuse_aliases(aliases)
     timestamp = generated_at or now()
     try:
         aware = datetime.fromisoformat(timestamp).utcoffset() is not None

@@ -12,7 +12,7 @@ TIME = "2026-09-20T12:00:00+08:00"
 COMPLETE = {"status": "complete", "basis_type": "structural", "basis": "测试夹具"}
 ROLE = {
     "项目名称": "project_name", "项目编号": "project_code", "标段": "lot_name", "投标单位名称": "bidder_name", "投标企业名单": "bidder_name", "公司名称": "bidder_name", "投标单位数量": "bidder_count", "中标单位": "award_name",
-    "备注": "notes", "投标报价": "bidder_price", "中标与否": "award_status", "投标排名": "rank", "代理公司": "agent",
+    "备注": "notes", "投标报价": "bidder_price", "投标报价(万元)": "bidder_price", "中标与否": "award_status", "投标排名": "rank", "代理公司": "agent",
 }
 
 

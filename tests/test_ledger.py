@@ -27,7 +27,7 @@ SCENARIOS = {
     "formula": fixture("formula", [["投标单位名称", "中标单位"], ["甲公司", "=A2"], ["乙公司", None]], project_mode="none", group_mode="source"),
     "merged_award": fixture("merged_award", [BIDS, ["项目甲", "甲公司", 3, "丙公司"], [None, "乙公司"], [None, "丙公司"]], ["A2:A4", "D2:D4"], **ANCHOR),
     "lists": fixture("lists", [["项目名称", "标段", "投标企业名单", "中标单位"], ["甲项目", "一标", "甲公司、甲公司、乙公司", "甲公司"], ["甲项目", "二标", "甲公司、乙公司", "乙公司"]], group_mode="row", bidder_separator="delimited", **REPEATED),
-    "prices": fixture("prices", [["项目名称", "投标单位名称", "中标单位", "投标报价"], ["甲项目", "甲公司", "甲公司", 1], ["甲项目", "甲公司", "甲公司", 2]], **REPEATED),
+    "prices": fixture("prices", [["项目名称", "投标单位名称", "中标单位", "投标报价(万元)"], ["甲项目", "甲公司", "甲公司", 1], ["甲项目", "甲公司", "甲公司", 2]], **REPEATED),
     "same_name": fixture("same_name", [BIDS, ["同名项目", "甲公司", 2, "甲公司"], [None, "乙公司"], ["同名项目", "甲公司", 2, "甲公司"], [None, "丙公司"]], ["A2:A3", "A4:A5"], **ANCHOR),
     "blocks": fixture("blocks", [BIDS, ["甲项目", "甲公司", 2, "甲公司"], [None, "乙公司"]], project_mode="blocks", **ANCHOR),
     "roster": fixture("roster", [["序号", "公司名称"], [1, "甲 公司"], [2, "甲公司"], [3, "乙公司"]], project_mode="none", group_mode="source"),
@@ -110,6 +110,7 @@ def test_names_projects_and_evidence(final, batch):
     assert column(final["context"], "公司名称") == ["", ""]
     assert final["lists"][0]["置信度"] == "1" and final["lists"][1]["置信度"] == "0.9"
     assert len(final["prices"]) == 1 and final["prices"][0]["置信度"] == "0.6"
+    assert {tuple(g.price_units.items()) for g in batch[2].groups.where("price_units is not null").select("price_units").collect()} == {(("bidder_price", "万元"),)}
     groups = {(g.file_name, g.group_id) for g in batch[2].groups.select("file_name", "group_id").collect()}
     assert sum(f == "summary.xlsx" for f, _ in groups) == 3
     codes = {r.code for r in batch[2].issues.select("code").collect()}
@@ -188,6 +189,13 @@ def test_inspect_and_validate(spark):
     assert source_of(book, rows)["sha256"] == book.sha
 
 
+def test_aliases_are_refused():
+    mapping.refuse_aliases({"schema_version": 1, "aliases": []})
+    for bad in ({"schema_version": 2, "aliases": []}, {"schema_version": 1, "aliases": [{"from": "甲", "to": "乙"}]}, {"schema_version": 1, "aliases": [{"from": "甲", "to": "乙", "basis": "x"}]}, {"schema_version": 1, "aliases": [{"from": "甲", "to": " 甲", "basis": "x"}]}):
+        with pytest.raises(LedgerError):
+            mapping.refuse_aliases(bad)
+
+
 def test_suggests_review_for_mixed_layouts(spark):
     rows = [["项目名称", "投标单位名称", "中标单位"], *[["项目甲", "甲公司", "甲公司"]] * 13, ["项目甲", "甲公司、乙公司", "甲公司"]]
     found = mapping.inspect(workbooks(spark, [book_of([sheet_of("台账", rows)])]))
