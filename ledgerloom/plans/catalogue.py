@@ -39,10 +39,11 @@ LINE = ("l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice")
 
 
 def bids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items with their company; suppliers are joined by key, and sent out only where Catalyst sees that they are few."""
+    """Line items with their company, dealt by order: what follows per order or per company of an order needs no other
+    exchange. Suppliers are joined by key, and sent out only where Catalyst sees that they are few."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", *LINE, "l_quantity", "l_returnflag")
     names = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("bidder"))
-    return lines.join(names, "l_suppkey").withColumn("bidder_key", ascii_key("bidder"))
+    return lines.join(names, "l_suppkey").withColumn("bidder_key", ascii_key("bidder")).repartition("l_orderkey")
 
 
 BIDS = """bids AS (SELECT l.*, s_name AS bidder, lower(regexp_replace(s_name, '\\s+', '', 'g')) AS bidder_key
@@ -93,10 +94,15 @@ def count_mismatch(spark, sf_dir):
     return sizes(spark, sf_dir).where("declared <> actual")
 
 
+def awards(spark, sf_dir) -> DataFrame:
+    """The company of each order's cheapest bid."""
+    return bids(spark, sf_dir).groupBy("l_orderkey").agg(F.min_by(F.col("bidder_key"), F.struct("l_extendedprice", *LINE[:3])).alias("bidder_key"), F.min("l_extendedprice").alias("award_price"))
+
+
 def matched(spark, sf_dir) -> DataFrame:
-    """The company of the cheapest bid, found among the participants by its exact key."""
-    awards = bids(spark, sf_dir).groupBy("l_orderkey").agg(F.min_by(F.col("bidder_key"), F.struct("l_extendedprice", *LINE[:3])).alias("bidder_key"), F.min("l_extendedprice").alias("award_price"))
-    return records(spark, sf_dir).join(awards, ["l_orderkey", "bidder_key"])
+    """Awards, found among the participants of their order by the exact key."""
+    named = awards(spark, sf_dir).withColumnRenamed("bidder_key", "award_key")  # one for each order: joined where the order is
+    return records(spark, sf_dir).join(named, "l_orderkey").where("award_key <= bidder_key and award_key >= bidder_key")  # as an equality it would be dealt by both keys again
 
 
 AWARDS = """awards AS (SELECT l_orderkey, first(bidder_key ORDER BY l_extendedprice, l_linenumber, l_suppkey, l_partkey) AS bidder_key, min(l_extendedprice) AS award_price FROM bids GROUP BY l_orderkey)"""
@@ -110,9 +116,9 @@ def award_exact_match(spark, sf_dir):
 
 def statuses(spark, sf_dir) -> DataFrame:
     """Award status: winners by match; losers only where the order is complete (status F); stated values override blanks."""
-    won = matched(spark, sf_dir).select("l_orderkey", "bidder_key", F.lit(True).alias("won"))
+    won = awards(spark, sf_dir).select("l_orderkey", F.col("bidder_key").alias("award_key"))
     complete = table(spark, sf_dir, "orders").groupBy(F.col("o_orderkey").alias("l_orderkey")).agg(F.max(F.col("o_orderstatus") == "F").alias("complete"))
-    out = records(spark, sf_dir).join(won, ["l_orderkey", "bidder_key"], "left").join(complete, "l_orderkey", "left").withColumns({"won": F.coalesce("won", F.lit(False)), "complete": F.coalesce("complete", F.lit(False))})
+    out = records(spark, sf_dir).join(won, "l_orderkey", "left").join(complete, "l_orderkey", "left").withColumns({"won": F.coalesce(F.col("award_key") == F.col("bidder_key"), F.lit(False)), "complete": F.coalesce("complete", F.lit(False))})
     out = out.withColumn("derived", F.when(F.col("won"), V.YES).when(F.col("complete"), V.NO).otherwise(""))
     clash = (F.col("stated") != "") & (F.col("derived") != "") & (F.col("stated") != F.col("derived"))
     return out.withColumns({"clash": clash, "award_status": F.when(clash | F.col("status_conflict"), "").when(F.col("stated") != "", F.col("stated")).otherwise(F.col("derived"))})
