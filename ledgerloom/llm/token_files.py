@@ -15,6 +15,7 @@ runs all checkpoints of a block side by side.
 from __future__ import annotations
 
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +80,12 @@ class WordTokens:
         return np.split(ids, ends[:-1]) if texts else []
 
 
+@lru_cache(maxsize=1)
+def remembered(path: str) -> WordTokens:
+    """One per worker process: its units serve all tasks that the process runs."""
+    return WordTokens(path)
+
+
 # ---------------------------------------------------------------- canonical, length-limited Huffman codes
 
 
@@ -185,10 +192,10 @@ def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     task, with n = -1, has the counts of its ids."""
 
     def rows(batches):
-        units = WordTokens(path).units
+        units = remembered(path).units
         total = np.zeros(0, np.int64)
         pack = zstandard.ZstdCompressor(level=1).compress
-        for batch in pieces(batches, limit=1 << 20):
+        for batch in pieces(batches, limit=2 << 20):
             ids, ends = units.encode(*buffers(batch.column(1)))
             starts = np.r_[0, ends[:-1]]
             end = np.uint32(end_id)

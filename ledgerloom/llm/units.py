@@ -49,14 +49,14 @@ class Units:
     before them. whole(texts): ids of whole texts, for texts with white
     space beside a blank and for those that hold something of avoid."""
 
-    def __init__(self, learn: Callable, whole: Callable, avoid: tuple[bytes, ...] = (), limit: int = 700_000):
+    def __init__(self, learn: Callable, whole: Callable, avoid: tuple[bytes, ...] = (), limit: int = 1_500_000):
         self.learn, self.whole, self.avoid, self.limit = learn, whole, avoid, limit
         self.powers = Powers()
         self._clear()
 
     def _clear(self) -> None:
         self.key, self.check = np.empty(0, np.uint64), np.empty(0, np.uint64)
-        self.start, self.size = np.empty(0, np.int64), np.empty(0, np.int64)  # size -1: white space at an end
+        self.start, self.size = np.empty(0, np.int32), np.empty(0, np.int32)  # size -1: white space at an end
         self.flat = np.empty(0, np.uint32)
 
     def _hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray):
@@ -78,7 +78,7 @@ class Units:
 
     def _add(self, key: np.ndarray, check: np.ndarray, words: list[str], first: np.ndarray) -> None:
         valid = np.fromiter((w == w.strip() for w in words), bool, len(words))
-        start, size, grown, total = np.zeros(len(words), np.int64), np.full(len(words), -1), [self.flat], len(self.flat)
+        start, size, grown, total = np.zeros(len(words), np.int32), np.full(len(words), -1, np.int32), [self.flat], len(self.flat)
         for kind in (False, True):
             chosen = np.flatnonzero(valid & (first == kind))
             if len(chosen):
@@ -125,7 +125,7 @@ class Units:
             self._add(unique[new], check[at], words, first[at])
             found = self._find(unique, check[one])
         place = found[back]
-        size = self.size[place]
+        size = self.size[place].astype(np.int64)
         if (size < 0).any():
             odd[doc[size < 0]] = True
             keep = ~odd[doc]
