@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -196,11 +197,76 @@ def test_secrets(spark):
 # ---------------------------------------------------------------- pipeline
 
 
+def lower(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+
+
+def plain_pipeline(docs, items):
+    """{doc_id: (ids digest, n)} of a list of (doc_id, text), rule by rule."""
+    import sentencepiece
+
+    from ledgerloom.llm import simhash
+    from ledgerloom.llm.queries import vocabulary
+
+    docs = [(i, t) for i, t in docs if any(unicodedata.category(c)[0] == "L" for c in t or "")]
+    strip = lambda x: lower(x.strip(" \t\n\x0b\x0c\r"))
+    seen = {}
+    for i, t in docs:
+        for line in t.split("\n"):
+            seen.setdefault(strip(line), set()).add(i)
+    docs = [(i, "\n".join(x for x in t.split("\n") if not strip(x) or len(seen[strip(x)]) < 10)) for i, t in docs]
+    fps = [simhash.wide_fingerprint(t.encode(), 5) for _, t in docs]
+    bits = np.unpackbits(np.frombuffer(b"".join(fps), np.uint8).reshape(len(docs), -1), axis=1, bitorder="little")
+    bands = simhash.Bands(0.8, len(set(fps)), 0.97)
+    keys = np.stack([k for _, k in bands.keys(bits)], axis=1)
+    radius = round(256 * simhash.differing_bits(0.77))
+    root = list(range(len(docs)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(docs)):
+        for j in range(i):
+            if (keys[i] == keys[j]).any() and (bits[i] != bits[j]).sum() <= radius:
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    groups = {}
+    for k, (i, _) in enumerate(docs):
+        groups.setdefault(top(k), []).append(i)
+    docs = [(i, t) for i, t in docs if i in {min(g) for g in groups.values()}]
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    windows = {tuple(w[k : k + 13]) for t in items for w in [word.findall(lower(t))] for k in range(max(1, len(w) - 12)) if w}
+    sizes = {len(w) for w in windows}
+    out = {}
+    lib = sentencepiece.SentencePieceProcessor(model_file=vocabulary("piece_bpe_32k.model"))
+    for i, t in docs:
+        w = word.findall(lower(t))
+        hit = {k + d for n in sizes for k in range(len(w) - n + 1) if tuple(w[k : k + n]) in windows for d in range(n)}
+        if not (hit and 20 * len(hit) >= len(w)):
+            ids = lib.encode(t)
+            out[i] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+    return out
+
+
 def test_pipeline(spark):
-    """Each stage against a plain version of its rule."""
-    docs = table(spark, "documents")
-    kept = corpus_pipeline.STAGES[0][1](spark, docs, DATA)
-    assert kept.columns == docs.columns and kept.count() == sum(any(c.isalpha() for c in r.text or "") for r in docs.collect())
-    out = {r.doc_id: r for r in corpus_pipeline.run(spark, DATA).collect()}
-    assert set(out) <= {r.doc_id for r in docs.collect()} and len(out) > 100
-    assert {n for n, _ in corpus_pipeline.STAGES} == {"language_id", "line_dedup", "simhash_near_dedup", "decontamination", "sentencepiece"}
+    docs = [(r.doc_id, r.text) for r in table(spark, "documents").collect()]
+    want = plain_pipeline(docs, [r.text for r in table(spark, "benchmark").collect()])
+    out = {r.doc_id: (r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, DATA).collect()}
+    assert out == want and 100 < len(out) < len(docs)
+
+
+def test_stages_on_awkward_tables(spark):
+    """Nulls, empty texts, repeated rows and clashing columns go through all stages; an empty table gives an empty one."""
+    rows = [(1, "the same text of some length and more words", "en", "s", 3, "x", 1), (1, "the same text of some length and more words", "en", "s", 3, "x", 1), (2, "the same text of some length and more words", None, None, None, None, None), (3, None, "en", "s", 0, "x", 1), (4, "", "en", "s", 0, "x", 1), (None, "und noch ein anderer text", "de", "s", 1, "x", 1), (5, "word " * 20_000, "en", "s", 1, "x", 1), (6, "123", "en", "s", 3, "x", 1)]
+    rows += [(20 + i, f"a line that all of them hold\nnumber {chr(97 + i) * 9} and {chr(98 + i) * 7} stands alone here {i}", "en", "s", 1, "x", 1) for i in range(11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, fp string, key long").repartition(3)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        empty = stage(spark, docs.where("false"), DATA)
+        assert empty.columns == docs.columns and empty.count() == 0, name
+        docs = stage(spark, docs, DATA)
+        assert docs.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"], name
+    kept = sorted((r.doc_id for r in docs.collect()), key=lambda x: (x is None, x))
+    assert kept == [1, 1, 5, *range(20, 31), None]
+    assert all("hold" not in r.text and r.n_chars == len(r.text) for r in docs.where("doc_id >= 20").collect())
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() == len(kept)
