@@ -154,11 +154,36 @@ def test_publish(batch, tmp_path):
     assert raw.startswith(b"\xef\xbb\xbf") and raw.count(b"\r\n") >= 2 and "'-甲".encode() in raw
     with pytest.raises(LedgerError):
         publish.publish(tmp_path / "out", r, ledger)
-    stored = json.loads((tmp_path / "out/ledger.json").read_text("utf-8"))
-    stored["summary"]["record_count"] += 1
-    (tmp_path / "out/ledger.json").write_text(json.dumps(stored, ensure_ascii=False), "utf-8")
-    with pytest.raises(LedgerError, match="summary"):
-        publish.validate_outputs(tmp_path / "out")
+    text = (tmp_path / "out/ledger.json").read_text("utf-8")
+
+    def summary(d):
+        d["summary"]["record_count"] += 1
+
+    def name(d):
+        d["records"][0]["occurrences"][0]["raw_company"] = "别家公司"
+
+    def match(d):
+        m = next(m for g in d["groups"] for m in g["award_matches"] if m["status"] == "matched")
+        m["selected_bidder_name"] = "别家公司"
+
+    def group(d):
+        d["records"][0]["group_id"] = d["groups"][-1]["id"]
+
+    def issue(d):
+        d["issues"].pop()
+
+    def decision(d):
+        d["resolutions"].append({"review_task_id": "x", "decision": "deferred"})
+
+    def pairs(d):
+        d.update(name_pairs=[{"id": "p", "name_a": "甲", "name_b": "乙"}], name_decisions={})
+
+    for change, error in ((summary, "summary"), (name, "清洗结果"), (match, "名称不一致"), (group, "."), (issue, "."), (decision, "缺少对应任务"), (pairs, "名称对")):
+        broken = json.loads(text)
+        change(broken)
+        (tmp_path / "out/ledger.json").write_text(json.dumps(broken, ensure_ascii=False), "utf-8")
+        with pytest.raises(LedgerError, match=error):
+            publish.validate_outputs(tmp_path / "out")
 
 
 def test_revisions(spark):
