@@ -11,12 +11,14 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ledgerloom.llm.common import documents_of, longs, pieces, strings
+from ledgerloom.llm.common import documents_of, longs, pieces
+from ledgerloom.llm.units import Units, buffers
 
 _BLANK = "▁"  # fixed value: the visible sign that stands for U+0020 in pieces
 _RUNS = re.compile(f"{_BLANK}+[^{_BLANK}]+|{_BLANK}+|[^{_BLANK}]+")
@@ -25,7 +27,7 @@ _RUNS = re.compile(f"{_BLANK}+[^{_BLANK}]+|{_BLANK}+|[^{_BLANK}]+")
 class Agenda:
     """Encoder for one model file; ids as in the library."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str):
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -48,9 +50,7 @@ class Agenda:
             raise ValueError("a piece spans a blank between words; units can't be merged on their own")
         if "".join(lib.encode(" a  b ", out_type=str)) != f"{_BLANK * 2}a{_BLANK * 2}b{_BLANK}":
             raise ValueError("only models with a leading blank and no other normalisation are supported")
-        self.limit = limit
-        self.young: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.units = Units(self._learn, self._whole, (_BLANK.encode(),), limit=1_000_000)
 
     def merge(self, text: str) -> list[int]:
         """Ids of one unit, its blanks already in their visible form."""
@@ -89,55 +89,39 @@ class Agenda:
                     out.append(self.unknown)
         return out
 
-    def _learn(self, units: dict[str, None]) -> None:
+    def _learn(self, units: list[str], first: bool) -> tuple[np.ndarray, np.ndarray]:
         """Merges new units (without their leading blank) and checks them against the library."""
-        named = list(units)
-        made = [self.merge(_BLANK + u) for u in named]
-        theirs = self.library.encode(named, num_threads=1)
-        for u, a, b in zip(named, made, theirs, strict=True):
-            if a != b and u:
+        made = [self.merge(_BLANK + u) for u in units]
+        for u, a, b in zip(units, made, self.library.encode(units, num_threads=1), strict=True):
+            if a != b:
                 raise ValueError(f"the agenda and the library differ on {u!r}: {a} and {b}")
-            self.young[u] = np.array(a, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts as little-endian unsigned 32-bit integers."""
-        if len(self.young) > self.limit:
-            self.older, self.young = self.young, {}
-        known, older = self.young.get, self.older.get
-        plain, new, whole = {}, {}, {}
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if "  " in text or text[0] == " " or _BLANK in text:
-                whole[i] = None
-                continue
-            units = text.split(" ")
-            found = list(map(known, units))
-            if None in found:
-                for u in {u for u, v in zip(units, found, strict=True) if v is None}:
-                    if (ids := older(u)) is None:
-                        new[u] = None
-                    else:
-                        self.young[u] = ids
-                plain[i] = units
-            else:
-                plain[i] = found
-        for i in whole:
-            units = _RUNS.findall(_BLANK + texts[i].replace(" ", _BLANK))
-            whole[i] = units
-            for u in units:
-                if u[0] == _BLANK and (len(u) == 1 or u[1] != _BLANK) and u[1:] not in self.young and u[1:] not in new:
-                    new[u[1:]] = None
-        self._learn(new)
-        out = [b""] * len(texts)
-        for i, units in plain.items():
-            out[i] = b"".join(units if isinstance(units[0], bytes) else map(self.young.__getitem__, units))
-        for i, units in whole.items():
-            out[i] = b"".join([self.young[u[1:]] if u[0] == _BLANK and u[1:] in self.young else np.array(self.merge(u), "<u4").tobytes() for u in units])
-            if np.frombuffer(out[i], "<u4").tolist() != (theirs := self.library.encode(texts[i])):
-                raise ValueError(f"the agenda and the library differ on a text of {len(texts[i])} characters: {len(theirs)} ids")
+        return np.array([i for x in made for i in x], np.uint32), np.array([len(x) for x in made], np.int64)
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        """Texts with runs of blanks or with the visible sign, cut before each run and checked as a whole."""
+        out = []
+        for text in texts:
+            ids = [i for u in _RUNS.findall(_BLANK + text.replace(" ", _BLANK)) for i in self.merge(u)] if text else []
+            if ids != (theirs := self.library.encode(text)):
+                raise ValueError(f"the agenda and the library differ on a text of {len(text)} characters: {len(ids)} and {len(theirs)} ids")
+            out.append(ids)
         return out
 
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends) of whole texts, one after the other."""
+        return self.units.encode(*buffers(column))
+
+
+@lru_cache(maxsize=1)
+def remembered(model: str) -> Agenda:
+    """One per worker process: its units serve all tasks that the process runs."""
+    return Agenda(model)
+
+
+def _lists(ids: np.ndarray, ends: np.ndarray) -> list[list[int]]:
+    flat, cuts = ids.tolist(), [0, *ends.tolist()]
+    return [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
 
 def pieces_of(docs: DataFrame, model: str) -> DataFrame:
     """Encodes whole texts and decodes the ids again.
@@ -147,13 +131,12 @@ def pieces_of(docs: DataFrame, model: str) -> DataFrame:
     """
 
     def rows(batches):
-        agenda = Agenda(model)
-        for batch in pieces(batches, limit=8 << 20):
-            ids = [np.frombuffer(x, "<u4").tolist() for x in agenda.encode([t or "" for t in strings(batch)])]
-            flat = np.fromiter((i for x in ids for i in x), np.int32)
-            offsets = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
-            decoded = agenda.library.decode(ids, num_threads=1) if ids else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), longs(np.diff(offsets)), pa.ListArray.from_arrays(offsets, flat), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
+        agenda = remembered(model)
+        for batch in pieces(batches, limit=2 << 20):
+            ids, ends = agenda.encode(batch.column(1))
+            offsets = np.r_[0, ends].astype(np.int32)
+            decoded = agenda.library.decode(_lists(ids, ends), num_threads=1) if len(ends) else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), longs(np.diff(offsets)), pa.ListArray.from_arrays(offsets, ids.astype(np.int32)), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     return documents_of(docs).mapInArrow(rows, "doc_id long, n_tokens long, ids array<int>, decoded string")
 
@@ -162,10 +145,10 @@ def piece_digest(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of pieces_of, digested in the same batches."""
 
     def rows(batches):
-        agenda = Agenda(model)
+        agenda = remembered(model)
         decimal = [b"%d" % i for i in range(agenda.library.get_piece_size())]
-        for batch in pieces(batches, limit=8 << 20):
-            ids = [np.frombuffer(x, "<u4").tolist() for x in agenda.encode([t or "" for t in strings(batch)])]
+        for batch in pieces(batches, limit=2 << 20):
+            ids = _lists(*agenda.encode(batch.column(1)))
             decoded = agenda.library.decode(ids, num_threads=1) if ids else []
             spelled = [hashlib.sha256(b",".join(map(decimal.__getitem__, x))).hexdigest() for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), longs([len(x) for x in ids]), pa.array(spelled), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
