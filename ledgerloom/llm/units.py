@@ -16,32 +16,63 @@ import pyarrow.compute  # noqa: F401
 _BLANK = 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
-_BASES = (np.uint64(0x9DDFEA08EB382D6B), np.uint64(0xC6A4A7935BD1E995))
+_BASE = np.uint64(0x9DDFEA08EB382D6B)
 _FIRST = np.uint64(0x5851F42D4C957F2D)
-
-
-def _inverse(x: np.uint64) -> np.uint64:
-    return np.uint64(pow(int(x), -1, 1 << 64))
+_BYTES = np.array([(1 << 8 * min(n, 8)) - 1 for n in range(9)], np.uint64)
 
 
 class Powers:
-    """Powers of the hash bases and of their inverses, as far as they are needed."""
+    """Powers of the hash base and of its inverse, as far as they are needed."""
 
     def __init__(self):
-        self.tables = [(np.ones(1, np.uint64), np.ones(1, np.uint64))] * len(_BASES)
-
-    def upto(self, n: int):
-        if len(self.tables[0][0]) <= n:
-            n = max(n + 1, 1 << 16)
-            self.tables = []
-            for base in _BASES:
-                pair = []
-                for b in (base, _inverse(base)):
-                    x = np.full(n, b, np.uint64)
-                    x[0] = 1
-                    pair.append(np.multiply.accumulate(x))
-                self.tables.append(tuple(pair))
-        return self.tables
+        self.size, self.up, self.down = 0, np.empty(0, np.uint64), np.empty(0, np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if self.size <= n:
+            self.size = max(n + 1, 1 << 16)
+            self.up, self.down = (self._powers(int(_BASE)), self._powers(pow(int(_BASE), -1, 1 << 64)))
+        return self.up, self.down
+
+    def _powers(self, base: int) -> np.ndarray:
+        x = np.full(self.size, base, np.uint64)
+        x[0] = 1
+        return np.multiply.accumulate(x)
+
+
+class Slots:
+    """An open-addressing hash table from 64-bit keys (not 0) to numbers, for arrays of keys at a time."""
+
+    def __init__(self, bits: int):
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 for keys that are not there."""
+        slot = self._slot(keys)
+        there = self.keys[slot]
+        out = np.where(there == keys, self.values[slot], -1)
+        todo = np.flatnonzero((there != keys) & (there != 0))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & self.mask
+            there = self.keys[slot[todo]]
+            hit = there == keys[todo]
+            out[todo[hit]] = self.values[slot[todo[hit]]]
+            todo = todo[~hit & (there != 0)]
+        return out
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """keys: distinct and new."""
+        slot, todo = self._slot(keys), np.arange(len(keys))
+        while len(todo):
+            free = todo[self.keys[slot[todo]] == 0]
+            self.keys[slot[free]] = keys[free]  # of several keys for a slot one stays
+            won = free[self.keys[slot[free]] == keys[free]]
+            self.values[slot[won]] = values[won]
+            todo = np.setdiff1d(todo, won, assume_unique=True)
+            slot[todo] = (slot[todo] + 1) & self.mask
 
 
 class Units:
@@ -55,46 +86,51 @@ class Units:
         self._clear()
 
     def _clear(self) -> None:
-        self.key, self.check = np.empty(0, np.uint64), np.empty(0, np.uint64)
-        self.start, self.size = np.empty(0, np.int32), np.empty(0, np.int32)  # size -1: white space at an end
-        self.flat = np.empty(0, np.uint32)
-
-    def _hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray):
-        out = []
-        wide = data.astype(np.uint64) + np.uint64(1)
-        for power, inverse in self.powers.upto(len(data) + 1):
-            sums = np.empty(len(data) + 1, np.uint64)
-            sums[0] = 0
-            np.cumsum(wide * power[: len(data)], out=sums[1:])
-            h = (sums[ends] - sums[starts]) * inverse[starts]
-            out.append((h ^ (h >> np.uint64(32))) + np.where(first, _FIRST, np.uint64(0)))
-        return out
-
-    def _find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
-        if not len(self.key):
-            return np.full(len(key), -1)
-        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        return np.where((self.key[at] == key) & (self.check[at] == check), at, -1)
+        self.slots, self.n = Slots(int(self.limit * 2).bit_length()), 0
+        self.check, self.start, self.size = np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int32)  # size -1: white space at an end
+        self.flat, self.filled = np.empty(0, np.uint32), 0
+
+    def _hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(key, check) of each unit: a polynomial hash of its bytes, and its first bytes with its length."""
+        up, down = self.powers.upto(len(data) + 1)
+        sums = np.empty(len(data) + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum((data + np.uint64(1)) * up[: len(data)], out=sums[1:])
+        h = (sums[ends] - sums[starts]) * down[starts]
+        key = (h ^ (h >> np.uint64(32))) + np.where(first, _FIRST, np.uint64(0))
+        padded = np.concatenate([data, np.zeros(16, np.uint8)])
+        eight = np.lib.stride_tricks.as_strided(padded[:8].view(np.uint64), (len(data) + 1,), (1,))
+        size = ends - starts
+        return np.maximum(key, np.uint64(1)), (eight[starts] & _BYTES[np.minimum(size, 8)]) * np.uint64(0xC6A4A7935BD1E995) + size.astype(np.uint64)
+
+    def _room(self, name: str, n: int) -> np.ndarray:
+        """The named array with room for n entries."""
+        old = getattr(self, name)
+        if len(old) < n:
+            new = np.zeros(max(n, 2 * len(old), 1 << 16), old.dtype)
+            new[: len(old)] = old
+            setattr(self, name, new)
+        return getattr(self, name)
 
     def _add(self, key: np.ndarray, check: np.ndarray, words: list[str], first: np.ndarray) -> None:
         valid = np.fromiter((w == w.strip() for w in words), bool, len(words))
-        start, size, grown, total = np.zeros(len(words), np.int32), np.full(len(words), -1, np.int32), [self.flat], len(self.flat)
+        a, b = self.n, self.n + len(words)
+        check_, start, size = self._room("check", b), self._room("start", b), self._room("size", b)
+        check_[a:b], size[a:b] = check, -1
         for kind in (False, True):
             chosen = np.flatnonzero(valid & (first == kind))
             if len(chosen):
                 ids, sizes = self.learn([words[i] for i in chosen.tolist()], kind)
-                start[chosen], size[chosen] = total + np.cumsum(sizes) - sizes, sizes
-                grown.append(ids.astype(np.uint32))
-                total += len(ids)
-        self.flat = np.concatenate(grown)
-        at = np.searchsorted(self.key, key)  # key is sorted
-        for name, x in (("key", key), ("check", check), ("start", start), ("size", size)):
-            setattr(self, name, np.insert(getattr(self, name), at, x))
+                start[a + chosen], size[a + chosen] = self.filled + np.cumsum(sizes) - sizes, sizes
+                self._room("flat", self.filled + len(ids))[self.filled : self.filled + len(ids)] = ids
+                self.filled += len(ids)
+        self.slots.add(key, np.arange(a, b, dtype=np.int32))
+        self.n = b
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends) of the texts data[offsets[i]:offsets[i + 1]] (UTF-8)."""
         n = len(offsets) - 1
-        if len(self.key) > self.limit:
+        if self.n > self.limit:
             self._clear()
         begin, end = offsets[:-1], offsets[1:]
         odd = np.zeros(n, bool)
@@ -116,18 +152,18 @@ class Units:
         doc = np.searchsorted(offsets, starts, "right") - 1
         ends = np.where(np.r_[first[1:], True], end[doc], np.r_[starts[1:], 1] - 1) if len(starts) else starts
         key, check = self._hashes(data, starts, ends, first)
-        unique, one, back = np.unique(key, return_index=True, return_inverse=True)
-        found = self._find(unique, check[one])
-        new = np.flatnonzero(found < 0)
+        place = self.slots.find(key)
+        new = np.flatnonzero(place < 0)
         if len(new):
-            at = one[new]
+            unique, one = np.unique(key[new], return_index=True)
+            at = new[one]
             words = [raw[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-            self._add(unique[new], check[at], words, first[at])
-            found = self._find(unique, check[one])
-        place = found[back]
+            self._add(unique, check[at], words, first[at])
+            place[new] = self.slots.find(key[new])
+        odd[doc[self.check[place] != check]] = True  # another unit with this key: the text goes to the library whole
         size = self.size[place].astype(np.int64)
-        if (size < 0).any():
-            odd[doc[size < 0]] = True
+        odd[doc[size < 0]] = True
+        if odd[doc].any():
             keep = ~odd[doc]
             place, doc, size = place[keep], doc[keep], size[keep]
         out_end = np.cumsum(size)
