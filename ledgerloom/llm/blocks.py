@@ -12,11 +12,19 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import partitions
 
 
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], salt: str, how: str = "inner", parts: int = 16) -> DataFrame:
+    """left joined with right, which has one row a key at most: the rows of a very common key go to `parts` tasks, by a
+    hash of the column salt, and right's rows to each of them."""
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(salt, F.lit("join")), F.lit(parts)).cast("int"))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return dealt.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
 def pair_blocks(rows: DataFrame, keys: list[str], salt: str, limit: int) -> DataFrame:
     """rows with i, j, sub: a group of over limit rows is cut into parts by a hash of salt; the block (i, j) holds the
     parts i and j, so that each pair of the group meets in one block (or, within a part i, in the block (i, i))."""
     large = rows.groupBy(*keys).count().where(F.col("count") > limit).select(*keys, F.ceil(F.col("count") / limit).cast("int").alias("parts"))
-    dealt = rows.join(large, keys, "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("sub", F.pmod(F.xxhash64(salt, F.lit("part")), F.col("parts")).cast("int"))
+    dealt = salted_join(rows, large, keys, salt, "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("sub", F.pmod(F.xxhash64(salt, F.lit("part")), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     dealt = dealt.withColumn("other", other).withColumn("i", F.least("sub", "other")).withColumn("j", F.greatest("sub", "other"))
     return dealt.drop("parts", "other")

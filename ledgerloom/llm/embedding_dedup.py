@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.blocks import salted_join
 from ledgerloom.llm.common import Local, cut, longs, mix, partitions
 from ledgerloom.llm.components import components
 
@@ -170,7 +171,7 @@ def embedding_links(vectors: DataFrame, cosine: float, limit: int = 2048, recall
     rows, light = deal(True), deal(False)
     sizes = light.groupBy("cell").agg(F.count(F.when(F.col("role") == 0, 1)).alias("n_data"), F.count(F.when(F.col("role") == 1, 1)).alias("n_query"))
     crowded = sizes.where((F.col("n_data") > limit) | (F.col("n_query") > limit)).select("cell", F.ceil(F.greatest("n_data", F.lit(1)) / limit).cast("int").alias("d_parts"), F.ceil(F.greatest("n_query", F.lit(1)) / limit).cast("int").alias("q_parts"))
-    dealt = rows.join(crowded, "cell", "left").withColumns({"d_parts": F.coalesce("d_parts", F.lit(1)), "q_parts": F.coalesce("q_parts", F.lit(1))})
+    dealt = salted_join(rows, crowded, ["cell"], "rep", "left").withColumns({"d_parts": F.coalesce("d_parts", F.lit(1)), "q_parts": F.coalesce("q_parts", F.lit(1))})
     part = lambda n: F.pmod(F.xxhash64("rep", F.lit("part")), F.col(n)).cast("int")
     all_of = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     dealt = dealt.withColumn("d", F.explode(F.when(F.col("role") == 0, F.array(part("d_parts"))).otherwise(all_of("d_parts"))))
