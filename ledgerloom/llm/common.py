@@ -64,7 +64,7 @@ def longs(values) -> pa.Array:
     return pa.array(values, pa.int64())
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that each holds about limit bytes of the column at most, or one row."""
     for batch in batches:
         rows = batch.num_rows

@@ -20,7 +20,7 @@ from ledgerloom.llm.common import documents_of, longs, pieces, strings
 BUCKETS = 1 << 14
 UNDETERMINED = "und"
 _OVERLAP = 3  # a character stands in three trigrams
-_TOGETHER = 1 << 18  # trigrams fitted at a time
+_TOGETHER = 1 << 16  # trigrams fitted at a time
 
 _letters: np.ndarray | None = None
 

@@ -20,12 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.blocks import grouped, pair_blocks
+from ledgerloom.llm.blocks import grouped, pair_blocks, salted_join
 from ledgerloom.llm.common import Local, cut, documents_of, longs, mix, pieces, utf8
 from ledgerloom.llm.components import components
 
 PIVOTS = mix(np.arange(1, 97, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(24, 4)
-_PAIRS = 1 << 20  # pairs compared at a time
+_PAIRS = 1 << 18  # pairs compared at a time
 
 
 def shingle_hashes(text: bytes, size: int, seed: int) -> np.ndarray:
@@ -121,6 +121,15 @@ def near_fingerprints(distinct: DataFrame, radius: int, limit: int = 4096) -> Da
     return grouped(dealt, ["t", "key", "i", "j"], _compare(radius), "a long, b long", ["t", "key", "i", "j", "sub", "fp"])
 
 
+def smallest_ids(classes: DataFrame) -> DataFrame:
+    """(f, component_id) of classes (fp, first, root): the smallest id of the component; root is null for classes that
+    are linked with no other. A component may hold a large part of all classes, so its rows are spread for the join."""
+    linked = classes.where("root is not null")
+    smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    found = salted_join(linked, smallest, ["root"], "fp").select(F.col("fp").alias("f"), "component_id")
+    return found.union(classes.where("root is null").select("fp", "first"))
+
+
 def simhash_groups(docs: DataFrame, size: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
     """Groups documents whose fingerprints are linked by radius differing bits or fewer, directly or in steps.
 
@@ -134,9 +143,7 @@ def simhash_groups(docs: DataFrame, size: int = 3, radius: int = 2, seed: int =
     marked = cut(fingerprints(docs, size, seed))
     classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     linked = components(near_fingerprints(classes.select("fp"), radius))
-    grouped_ = classes.join(linked, classes.fp == linked.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
-    smallest = grouped_.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_class = grouped_.join(smallest, "root").select(F.col("fp").alias("f"), "component_id")
+    of_class = smallest_ids(classes.join(linked, classes.fp == linked.node, "left").select("fp", "first", F.col("component").alias("root")))
     return marked.join(of_class, marked.fp == of_class.f).select("doc_id", "v", "fp", "component_id")
 
 
@@ -233,9 +240,7 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, reca
     dealt = pair_blocks(tables, ["t", "key"], "node", limit)
     edges = grouped(dealt, ["t", "key", "i", "j"], _compare_wide(radius), "a long, b long", ["t", "key", "i", "j", "sub", "node", "fp"])
     linked = components(edges).withColumnRenamed("node", "n")
-    rooted = classes.join(linked, classes.node == linked.n, "left").select("fp", "first", F.coalesce("component", "node").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_class = rooted.join(smallest, "root").select(F.col("fp").alias("f"), "component_id")
+    of_class = smallest_ids(classes.join(linked, classes.node == linked.n, "left").select("fp", "first", F.col("component").alias("root")))
     return marked.join(of_class, marked.fp == of_class.f).select("doc_id", "v", "fp", "component_id")
 
 
