@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import partitions
+from ledgerloom.llm.common import partitions, trimmed
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], salt: str, how: str = "inner", parts: int = 16) -> DataFrame:
@@ -49,7 +49,7 @@ def grouped(dealt: DataFrame, keys: list[str], work: Callable, schema: str, colu
         if rest is not None:
             yield from _whole(rest, _changes(rest, keys), columns, work)
 
-    return dealt.select(*columns).repartition(partitions(dealt.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(stream, schema)
+    return dealt.select(*columns).repartition(partitions(dealt.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(trimmed(stream), schema)
 
 
 def _changes(table: pa.Table, keys: list[str]) -> np.ndarray:

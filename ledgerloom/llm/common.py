@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,25 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Fewer rows in an Arrow batch than Spark's 10,000: texts are long, and each task holds a batch in two processes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
+def trimmed(work: Callable) -> Callable:
+    """work, and then the memory that it has freed is given back: worker processes live on for other tasks."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library of Linux
+            if trim:
+                trim(0)
+
+    return run
+
+
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions, not fewer than the session's setting, so that joins keep a stored partitioning."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

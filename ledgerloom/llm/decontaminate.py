@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import documents_of, pieces, strings, utf8
+from ledgerloom.llm.common import documents_of, pieces, strings, trimmed, utf8
 
 #: A-Z to a-z; other ASCII characters that are neither letter nor digit to a space.
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -121,7 +121,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, one_in:
                 spans.append(original_spans(text, hit) if n else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(flags, pa.bool_()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["doc_id", "n_words", "n_hit", "items", "contaminated", "spans"])
 
-    return documents_of(docs).mapInArrow(scan, "doc_id long, n_words long, n_hit long, items array<string>, contaminated boolean, spans array<struct<start:long,end:long>>")
+    return documents_of(docs).mapInArrow(trimmed(scan), "doc_id long, n_words long, n_hit long, items array<string>, contaminated boolean, spans array<struct<start:long,end:long>>")
 
 
 def contamination_digest(docs: DataFrame, benchmark: DataFrame, size: int = 13, one_in: int = 20) -> DataFrame:
@@ -142,4 +142,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 13, one
                 keep.append(not (n and one_in * n >= len(words)))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return docs.mapInArrow(trimmed(rows), docs.schema)

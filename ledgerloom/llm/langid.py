@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import documents_of, longs, pieces, strings
+from ledgerloom.llm.common import documents_of, longs, pieces, strings, trimmed
 
 BUCKETS = 1 << 14
 UNDETERMINED = "und"
@@ -175,7 +175,7 @@ def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *kept, pa.array([f[0] for f in found]), pa.array([f[1] for f in found], pa.float64()), longs([f[2] for f in found])], names=["doc_id", *keep, "lang_pred", "score", "n_langs"])
 
     extra = "".join(f", {k} boolean" for k in keep)
-    return documents_of(docs, *keep).mapInArrow(rows, f"doc_id long{extra}, lang_pred string, score double, n_langs long")
+    return documents_of(docs, *keep).mapInArrow(trimmed(rows), f"doc_id long{extra}, lang_pred string, score double, n_langs long")
 
 
 def identify_held_out(docs: DataFrame, modulus: int = 3, remainder: int = 1, per_language: int = 1500) -> DataFrame:
@@ -193,7 +193,7 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
         for batch in pieces(batches):
             yield batch.filter(pa.array([f[0] != UNDETERMINED for f in sent.value.predict(strings(batch))]))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return docs.mapInArrow(trimmed(rows), docs.schema)
 
 
 def learned_from(docs: DataFrame, per_language: int = 1500) -> Model:

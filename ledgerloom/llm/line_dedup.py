@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import BLANKS, cut, documents_of, partitions, pieces, strings, utf8
+from ledgerloom.llm.common import BLANKS, cut, documents_of, partitions, pieces, strings, trimmed, utf8
 
 _STRIP = BLANKS.encode()
 
@@ -45,7 +45,7 @@ def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
                 ats += [np.array(x, "<u4").tobytes() for x in found.values()]
             yield pa.RecordBatch.from_arrays([pa.array(hs, pa.binary()), pa.array(ids, pa.int64()), pa.array(vs, pa.int64()), pa.array(ats, pa.binary())], names=["h", "doc_id", "v", "at"])
 
-    return docs.mapInArrow(rows, "h binary, doc_id long, v long, at binary")
+    return docs.mapInArrow(trimmed(rows), "h binary, doc_id long, v long, at binary")
 
 
 def _occurrences(batches):
@@ -146,7 +146,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(keeps, pa.binary()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_lines", "n_dropped", "keep", "kept_text"])
 
     joined = docs.alias("d").join(drops.alias("k"), F.expr("d.doc_id <=> k.doc_id AND d.v = k.v"), "left").select("d.doc_id", "d.text", "k.drops")
-    return joined.mapInArrow(apply, "doc_id long, n_lines long, n_dropped long, keep binary, kept_text string")
+    return joined.mapInArrow(trimmed(apply), "doc_id long, n_lines long, n_dropped long, keep binary, kept_text string")
 
 
 def without_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
@@ -173,7 +173,7 @@ def without_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1
                 columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return joined.mapInArrow(rows, docs.schema)
+    return joined.mapInArrow(trimmed(rows), docs.schema)
 
 
 def line_digest(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:

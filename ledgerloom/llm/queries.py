@@ -7,6 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerloom.llm.common import small_batches
 from ledgerloom.llm.decontaminate import contamination_digest
 from ledgerloom.llm.embedding_dedup import embedding_groups
 from ledgerloom.llm.langid import identify_held_out
@@ -32,6 +33,7 @@ def vocabulary(name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

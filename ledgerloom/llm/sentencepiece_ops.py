@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ledgerloom.llm.common import documents_of, longs, pieces
+from ledgerloom.llm.common import documents_of, longs, pieces, trimmed
 from ledgerloom.llm.units import Units, buffers
 
 _BLANK = "▁"  # fixed value: the visible sign that stands for U+0020 in pieces
@@ -50,7 +50,7 @@ class Agenda:
             raise ValueError("a piece spans a blank between words; units can't be merged on their own")
         if "".join(lib.encode(" a  b ", out_type=str)) != f"{_BLANK * 2}a{_BLANK * 2}b{_BLANK}":
             raise ValueError("only models with a leading blank and no other normalisation are supported")
-        self.units = Units(self._learn, self._whole, (_BLANK.encode(),), limit=1_000_000)
+        self.units = Units(self._learn, self._whole, (_BLANK.encode(),), limit=500_000)
 
     def merge(self, text: str) -> list[int]:
         """Ids of one unit, its blanks already in their visible form."""
@@ -132,13 +132,13 @@ def pieces_of(docs: DataFrame, model: str) -> DataFrame:
 
     def rows(batches):
         agenda = remembered(model)
-        for batch in pieces(batches, limit=2 << 20):
+        for batch in pieces(batches, limit=1 << 20):
             ids, ends = agenda.encode(batch.column(1))
             offsets = np.r_[0, ends].astype(np.int32)
             decoded = agenda.library.decode(_lists(ids, ends), num_threads=1) if len(ends) else []
             yield pa.RecordBatch.from_arrays([batch.column(0), longs(np.diff(offsets)), pa.ListArray.from_arrays(offsets, ids.astype(np.int32)), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
-    return documents_of(docs).mapInArrow(rows, "doc_id long, n_tokens long, ids array<int>, decoded string")
+    return documents_of(docs).mapInArrow(trimmed(rows), "doc_id long, n_tokens long, ids array<int>, decoded string")
 
 
 def piece_digest(docs: DataFrame, model: str) -> DataFrame:
@@ -147,10 +147,10 @@ def piece_digest(docs: DataFrame, model: str) -> DataFrame:
     def rows(batches):
         agenda = remembered(model)
         decimal = [b"%d" % i for i in range(agenda.library.get_piece_size())]
-        for batch in pieces(batches, limit=2 << 20):
+        for batch in pieces(batches, limit=1 << 20):
             ids = _lists(*agenda.encode(batch.column(1)))
             decoded = agenda.library.decode(ids, num_threads=1) if ids else []
             spelled = [hashlib.sha256(b",".join(map(decimal.__getitem__, x))).hexdigest() for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), longs([len(x) for x in ids]), pa.array(spelled), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return documents_of(docs).mapInArrow(rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return documents_of(docs).mapInArrow(trimmed(rows), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.blocks import grouped, pair_blocks, salted_join
-from ledgerloom.llm.common import Local, cut, documents_of, longs, mix, pieces, utf8
+from ledgerloom.llm.common import Local, cut, documents_of, longs, mix, pieces, trimmed, utf8
 from ledgerloom.llm.components import components
 
 PIVOTS = mix(np.arange(1, 97, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(24, 4)
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42) -> DataFrame:
             fps = np.array([fingerprint(t, size, seed) for t in utf8(batch)], np.uint64).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), longs(fps)], names=["doc_id", "v", "fp"])
 
-    return documents_of(docs).withColumn("v", F.xxhash64("text")).mapInArrow(rows, "doc_id long, v long, fp long")
+    return documents_of(docs).withColumn("v", F.xxhash64("text")).mapInArrow(trimmed(rows), "doc_id long, v long, fp long")
 
 
 def _compare(radius: int):
@@ -224,7 +224,7 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, reca
         for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([wide_fingerprint(t, size) for t in utf8(batch)], pa.binary())], names=["doc_id", "v", "fp"])
 
-    marked = cut(documents_of(docs).withColumn("v", F.xxhash64("text")).mapInArrow(rows, "doc_id long, v long, fp binary"))
+    marked = cut(documents_of(docs).withColumn("v", F.xxhash64("text")).mapInArrow(trimmed(rows), "doc_id long, v long, fp binary"))
     classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("node", F.monotonically_increasing_id()))
     bands = Bands(similarity, classes.count(), recall)
     radius = round(64 * WORDS * differing_bits(similarity - slack))
@@ -236,7 +236,7 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, reca
                 for t, keys in bands.keys(bits):
                     yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.full(batch.num_rows, t, np.int32)), longs(keys)], names=["node", "fp", "t", "key"])
 
-    tables = classes.select("node", "fp").mapInArrow(keyed, "node long, fp binary, t int, key long")
+    tables = classes.select("node", "fp").mapInArrow(trimmed(keyed), "node long, fp binary, t int, key long")
     dealt = pair_blocks(tables, ["t", "key"], "node", limit)
     edges = grouped(dealt, ["t", "key", "i", "j"], _compare_wide(radius), "a long, b long", ["t", "key", "i", "j", "sub", "node", "fp"])
     linked = components(edges).withColumnRenamed("node", "n")

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import cut, documents_of, longs, new_path, partitions, pieces
+from ledgerloom.llm.common import cut, documents_of, longs, new_path, partitions, pieces, trimmed
 from ledgerloom.llm.units import Units, buffers
 
 STEP = 256
@@ -209,7 +209,7 @@ def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), longs(ends - starts + 1), pa.array(np.full(n, w, np.int32)), pa.array([pack(raw[a:b]) for a, b in cuts], pa.binary())], names=["doc_id", "v", "n", "w", "z"])
         yield pa.RecordBatch.from_arrays([longs([None]), longs([None]), longs([-1]), pa.array([8], pa.int32()), pa.array([pack(total.astype("<i8").tobytes())], pa.binary())], names=["doc_id", "v", "n", "w", "z"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("v")).mapInArrow(rows, "doc_id long, v long, n long, w int, z binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("v")).mapInArrow(trimmed(rows), "doc_id long, v long, n long, w int, z binary")
 
 
 def _ids(z: bytes, w: int) -> np.ndarray:
