@@ -12,16 +12,18 @@ compared. Very large keys are cut into parts of a bounded size.
 
 from __future__ import annotations
 
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.blocks import grouped, pair_blocks, salted_join
-from ledgerloom.llm.common import Local, cut, documents_of, longs, mix, pieces, trimmed, utf8
+from ledgerloom.llm.common import Local, cut, documents_of, longs, mix, partitions, pieces, trimmed, utf8
 from ledgerloom.llm.components import components
 
 PIVOTS = mix(np.arange(1, 97, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(24, 4)
@@ -151,14 +153,18 @@ def simhash_digest(docs: DataFrame, size: int = 3, radius: int = 2, seed: int =
     return simhash_groups(docs, size, radius, seed).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# ---------------------------------------------------------------- wide fingerprints, for a similarity well below 1
+# ---------------------------------------------------------------- shingle sets, for a similarity well below 1
 
 WORDS = 4  # 64-bit words of a wide fingerprint
+_BUCKETS = 1 << 20  # shingle hashes are counted by their first 20 bits, to tell common ones from rare ones
 
 
 def wide_fingerprint(text: bytes, size: int, seed: int = 42) -> bytes:
-    """Four fingerprints in a row: of the shingle hashes and of three scramblings of them."""
-    hashes = shingle_hashes(text, size, seed)
+    """Four fingerprints in a row: of the distinct shingle hashes and of three scramblings of them."""
+    return _wide(np.unique(shingle_hashes(text, size, seed)))
+
+
+def _wide(hashes: np.ndarray) -> bytes:
     if not len(hashes):
         return bytes(8 * WORDS)
     counts = np.zeros(64 * WORDS, np.int64)
@@ -174,6 +180,13 @@ def differing_bits(similarity: float) -> float:
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
+def farthest(similarity: float, deviations: float = 8) -> int:
+    """Differing bits of wide fingerprints that sets of the similarity stay within: so many standard deviations above
+    the expected number that fewer than one such pair in a billion is lost, texts of a few shingles included."""
+    p, n = differing_bits(similarity), 64 * WORDS
+    return int(np.ceil(n * p + deviations * np.sqrt(n * p * (1 - p))))
+
+
 class Bands:
     """Keys of `bits` random places of a wide fingerprint: as many tables as the recall at the limit needs; the keys
     grow with the number of fingerprints, so that strangers seldom share one."""
@@ -192,42 +205,101 @@ class Bands:
             yield t, bits[:, places].astype(np.int64) @ weights
 
 
-def _compare_wide(radius: int):
-    def work(arrays, starts, ends):
-        left, right = [], []
-        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-            group = np.frombuffer(b"".join(arrays["fp"][a:b]), "<u8").reshape(b - a, WORDS)
-            node, sub, same = arrays["node"][a:b], arrays["sub"][a:b], arrays["i"][a] == arrays["j"][a]
-            local = Local(len(group))
-            for x, y in near(group, radius, pivots=4):
-                if not same:
-                    x, y = x[sub[x] != sub[y]], y[sub[x] != sub[y]]
-                local.add(x, y)
-            linked = np.flatnonzero(local.root != np.arange(len(group)))
-            left.append(node[linked])
-            right.append(node[local.root[linked]])
-        yield pa.RecordBatch.from_arrays([longs(np.concatenate(left)), longs(np.concatenate(right))], names=["a", "b"])
+def shared_least(similarity: Fraction, n: int) -> int:
+    """Shingles that a set of n shares at least with any set of the similarity."""
+    return -(-n * similarity.numerator // similarity.denominator)
 
-    return work
 
+def prefix(hashes: np.ndarray, common: np.ndarray, similarity: Fraction) -> np.ndarray:
+    """The rarest shingles of a set, so many that two sets of the similarity have one of them in common.
 
-def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, recall: float = 0.97, slack: float = 0.03, limit: int = 4096) -> DataFrame:
-    """Groups documents whose 256-bit fingerprints are as near as those of shingle sets with the given similarity.
+    common: how often each bucket of shingles was seen in a sample; any table of counts gives one order of all shingles,
+    which is all that the guarantee needs."""
+    n = len(hashes)
+    order = np.lexsort((hashes, common[(hashes >> np.uint64(44)).astype(np.int64)]))
+    return hashes[order[: n - shared_least(similarity, n) + 1]]
 
-    A pair is linked if its differing bits are no more than a similarity of `similarity - slack` makes expect. Pairs
-    meet in tables of random bit places; at the similarity asked for a pair meets with probability `recall`, nearer
-    ones more surely. The pivot table, the bound on blocks, nulls, empty texts, repeated rows and empty tables are as
-    in simhash_groups(). Returns doc_id, v, fp (binary), component_id.
-    """
+
+def as_similar(a: np.ndarray, b: np.ndarray, similarity: Fraction) -> bool:
+    """Is the Jaccard similarity of two sets (sorted, distinct) at least that? In whole numbers."""
+    union = len(np.union1d(a, b))
+    return (len(a) + len(b) - union) * similarity.denominator >= union * similarity.numerator
+
+
+def _shingle_set(line: bytes, size: int) -> np.ndarray:
+    return np.unique(shingle_hashes(line, size, 42))
+
+
+def _stored(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, v, node, fp, n, z), dealt by node: node is a hash of the distinct shingles, so that texts of one set are
+    one node; n their number; z the words, lower-cased, blank-joined and compressed, sent once for a node and task."""
 
     def rows(batches):
+        pack, seen = zstandard.ZstdCompressor(level=3).compress, set()
         for batch in pieces(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([wide_fingerprint(t, size) for t in utf8(batch)], pa.binary())], names=["doc_id", "v", "fp"])
+            nodes, fps, ns, zs = [], [], [], []
+            for text in utf8(batch):
+                line = b" ".join(text.lower().split())
+                hashes = _shingle_set(line, size)
+                node = int(np.uint64(xxhash.xxh3_64_intdigest(hashes.astype("<u8").tobytes())).astype(np.int64))
+                nodes.append(node)
+                fps.append(_wide(hashes))
+                ns.append(len(hashes))
+                zs.append(None if node in seen else pack(line))
+                seen.add(node)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), longs(nodes), pa.array(fps, pa.binary()), longs(ns), pa.array(zs, pa.binary())], names=["doc_id", "v", "node", "fp", "n", "z"])
+
+    made = documents_of(docs).withColumn("v", F.xxhash64("text")).mapInArrow(trimmed(rows), "doc_id long, v long, node long, fp binary, n long, z binary")
+    return cut(made.repartition(partitions(docs.sparkSession), "node").sortWithinPartitions("node"))
+
+
+def _sets(batch: pa.RecordBatch, size: int, column: str = "z"):
+    unpack = zstandard.ZstdDecompressor().decompress
+    for z in batch.column(batch.schema.get_field_index(column)).to_pylist():
+        yield _shingle_set(unpack(z), size)
+
+
+def _common(texts: DataFrame, size: int, sample: int = 10_000) -> np.ndarray:
+    """How often each bucket of shingles occurs in a bounded sample of the nodes. Only the order of prefixes depends on it."""
+    total = texts.count()
+    part = texts.where(F.pmod(F.xxhash64("node", F.lit("sample")), F.lit(1_000_000)) < 1_000_000 * sample / max(1, total)).select("z")
+
+    def count(batches):
+        counts = np.zeros(_BUCKETS, np.int64)
+        for batch in batches:
+            for hashes in _sets(batch, size):
+                np.add.at(counts, (hashes >> np.uint64(44)).astype(np.int64), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([np.minimum(counts, 65535).astype("<u2").tobytes()], pa.binary())], names=["c"])
+
+    out = np.zeros(_BUCKETS, np.int64)
+    for (c,) in part.coalesce(8).mapInArrow(trimmed(count), "c binary").toLocalIterator():  # one row a task
+        out += np.frombuffer(bytes(c), "<u2")
+    return np.minimum(out, 65535).astype(np.uint16)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: Fraction) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have the similarity, from the whole texts."""
+
+    def rows(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        held, of = None, None
+        for batch in batches:
+            keep = []
+            for a, za, zb in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if of is None or a != held:
+                    held, of = a, _shingle_set(unpack(za), size)
+                keep.append(as_similar(of, _shingle_set(unpack(zb), size), similarity))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    marked = cut(documents_of(docs).withColumn("v", F.xxhash64("text")).mapInArrow(trimmed(rows), "doc_id long, v long, fp binary"))
-    classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("node", F.monotonically_increasing_id()))
-    bands = Bands(similarity, classes.count(), recall)
-    radius = round(64 * WORDS * differing_bits(similarity - slack))
+    right = texts.select(F.col("node").alias("b"), F.col("z").alias("zb"))
+    left = texts.select(F.col("node").alias("a"), F.col("z").alias("za"))
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", "za", "zb")
+    return cut(both.mapInArrow(trimmed(rows), "a long, b long"))
+
+
+def _first_pairs(nodes: DataFrame, bands: Bands, radius: int) -> DataFrame:
+    """(a, b): each node with the smallest one of its key in a few band tables, if their fingerprints are near. This
+    joins large groups of copies early, so that few of their pairs are left to check."""
 
     def keyed(batches):
         for batch in batches:
@@ -236,12 +308,83 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, reca
                 for t, keys in bands.keys(bits):
                     yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.full(batch.num_rows, t, np.int32)), longs(keys)], names=["node", "fp", "t", "key"])
 
-    tables = classes.select("node", "fp").mapInArrow(trimmed(keyed), "node long, fp binary, t int, key long")
-    dealt = pair_blocks(tables, ["t", "key"], "node", limit)
-    edges = grouped(dealt, ["t", "key", "i", "j"], _compare_wide(radius), "a long, b long", ["t", "key", "i", "j", "sub", "node", "fp"])
-    linked = components(edges).withColumnRenamed("node", "n")
-    of_class = smallest_ids(classes.join(linked, classes.node == linked.n, "left").select("fp", "first", F.col("component").alias("root")))
-    return marked.join(of_class, marked.fp == of_class.f).select("doc_id", "v", "fp", "component_id")
+    rows = nodes.select("node", "fp").mapInArrow(trimmed(keyed), "node long, fp binary, t int, key long")
+    hubs = rows.groupBy("t", "key").agg(F.min(F.struct("node", "fp")).alias("hub"), F.max("node").alias("last")).where("hub.node <> last")
+    found = salted_join(rows, hubs.select("t", "key", "hub"), ["t", "key"], "node").where("node <> hub.node")
+
+    def near_hub(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u8").reshape(-1, WORDS) for k in (2, 3))
+                close = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int16) <= radius
+                yield batch.select(["a", "b"]).filter(pa.array(close))
+
+    return found.select(F.col("node").alias("a"), F.col("hub.node").alias("b"), "fp", F.col("hub.fp").alias("other")).mapInArrow(trimmed(near_hub), "a long, b long").distinct()
+
+
+def _shared_keys(texts: DataFrame, size: int, similarity: Fraction, common: np.ndarray) -> DataFrame:
+    """(key, node): the prefix shingles that two nodes or more have."""
+    sent = texts.sparkSession.sparkContext.broadcast(common)  # _BUCKETS numbers
+
+    def keyed(batches):
+        for batch in pieces(batches, "z", 4 << 20):
+            keys = [prefix(h, sent.value, similarity).astype(np.int64) for h in _sets(batch, size)]
+            yield pa.RecordBatch.from_arrays([longs(np.concatenate(keys)), longs(np.repeat(batch.column(0).to_numpy(), [len(k) for k in keys]))], names=["key", "node"])
+
+    def several(arrays, starts, ends):
+        chosen = np.concatenate([np.arange(a, b) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+        yield pa.RecordBatch.from_arrays([longs(arrays["key"][chosen]), longs(arrays["node"][chosen])], names=["key", "node"])
+
+    rows = texts.where("n > 0").select("node", "z").mapInArrow(trimmed(keyed), "key long, node long")
+    return cut(grouped(rows, ["key"], several, "key long, node long", ["key", "node"]))
+
+
+def _compare_wide(radius: int, similarity: Fraction):
+    """Pairs of different components and of like sizes whose fingerprints are near; they are still to be verified."""
+
+    def work(arrays, starts, ends):
+        s = float(similarity) - 1e-9
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+            group = np.frombuffer(b"".join(arrays["fp"][a:b]), "<u8").reshape(b - a, WORDS)
+            node, sub, n, root = (arrays[c][a:b] for c in ("node", "sub", "n", "root"))
+            same = arrays["i"][a] == arrays["j"][a]
+            if (root == root[0]).all():
+                continue
+            for x, y in near(group, radius, pivots=4):
+                open_ = (root[x] != root[y]) & (np.minimum(n[x], n[y]) >= s * np.maximum(n[x], n[y]))
+                if not same:
+                    open_ &= sub[x] != sub[y]
+                x, y = node[x[open_]], node[y[open_]]
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([longs(np.maximum(x, y)), longs(np.minimum(x, y))], names=["a", "b"])
+
+    return work
+
+
+def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, limit: int = 4096) -> DataFrame:
+    """Groups documents whose sets of five-word shingles (size) have the Jaccard similarity or more, directly or in steps.
+
+    Every link is verified on the whole sets. Pairs meet by their rarest shingles, of which similar sets have one in
+    common (prefix()); among those that meet, the pivot table and popcount leave the ones with near fingerprints
+    (farthest()). Copies that a few band tables already join are not paired again.
+
+    The bound on blocks, nulls, repeated rows and empty tables are as in simhash_groups(); texts without words are one
+    group. Returns doc_id, v, fp (binary), component_id.
+    """
+    exact = Fraction(str(similarity))
+    radius = farthest(similarity)
+    stored = _stored(docs, size)
+    texts = stored.where("z is not null").select("node", "fp", "n", "z").dropDuplicates(["node"])
+    classes = cut(stored.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("n").alias("n")))
+    early = _verified(_first_pairs(classes, Bands(similarity, classes.count(), recall=0.25), radius), texts, size, exact)
+    joined = components(early).withColumnRenamed("node", "member")
+    known = cut(classes.join(joined, classes.node == joined.member, "left").select("node", "fp", "n", F.coalesce("component", "node").alias("root")))
+    met = _shared_keys(texts, size, exact, _common(texts, size)).join(known, "node")
+    dealt = pair_blocks(met, ["key"], "node", limit)
+    pairs = grouped(dealt, ["key", "i", "j"], _compare_wide(radius, exact), "a long, b long", ["key", "i", "j", "sub", "node", "n", "root", "fp"]).distinct()
+    linked = components(early.union(_verified(pairs, texts, size, exact))).withColumnRenamed("node", "member")
+    of_class = smallest_ids(classes.join(linked, classes.node == linked.member, "left").select(F.col("node").alias("fp"), "first", F.col("component").alias("root")))
+    return stored.join(of_class, stored.node == of_class.f).select("doc_id", "v", "fp", "component_id")
 
 
 def one_of_each_group(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
