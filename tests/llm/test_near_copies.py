@@ -59,3 +59,20 @@ def test_pairs_at_the_limit_are_all_found(spark):
     want, pairs = exact_groups(texts)
     assert len(pairs) > 100
     assert got_groups(spark, texts) == want
+
+
+def test_no_link_below_the_limit(spark):
+    """Neighbours at 0.6 to 0.79, short templates and one much-repeated passage are not linked, nor chained."""
+    rng = random.Random(9)
+    texts, passage = [], " ".join(word(rng) for _ in range(6))
+    for n in (8, 10, 14, 18, 180, 350) * 8:
+        base = [word(rng) for _ in range(n)]
+        texts.append(" ".join(base))
+        for _ in range(3):  # a chain: each neighbour is just below the limit
+            while len(shingles(" ".join(base)) & shingles(texts[-1])) * 10 >= 8 * len(shingles(" ".join(base)) | shingles(texts[-1])):
+                base[rng.randrange(n)] = word(rng)
+            texts.append(" ".join(base))
+    texts += [f"{(passage + ' ') * 40}{' '.join(word(rng) for _ in range(30))}" for _ in range(5)]
+    want, _ = exact_groups(texts)
+    assert want == list(range(len(texts)))
+    assert got_groups(spark, texts) == want
