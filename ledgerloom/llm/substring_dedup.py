@@ -1,9 +1,9 @@
 """Removal of word windows that an earlier document already has.
 
-Method: a count-min prefilter. Each window of 13 words is counted in a cell chosen by hashing: its cell is the smallest
+Method: a prefilter in the manner of count-min, with an exact group-by in place of merged tables of counters. Each window of 13 words is counted in a cell chosen by hashing: its cell is the smallest
 hash among its 6-word grams, so that neighbouring windows share cells, equal windows always share one, and a cell's
-count is never below the count of any of its windows. Each task keeps a sketch of its documents (sparse: only touched
-cells, counts capped at "more than one document"); sketches are merged by ranges of cells. Only windows in cells that
+count is never below the count of any of its windows. Each task sends every pair of a document and a cell it touches,
+dealt by cell, and the pairs are grouped exactly. Only windows in cells that
 more than one document touches are counted exactly, by a 96-bit hash, in a second pass; no repeated window is lost.
 
 Whole copies are put aside first: only the copy with the smallest id is searched (windows of the others start in it,
@@ -152,7 +152,7 @@ def _per_document(ids, vs, row, values, name: str):
 
 
 def _sketch(size: int, shards: int):
-    """The sketch of a chunk: the cells that each of its documents touches."""
+    """The cells that each document of a chunk touches; nothing is counted here."""
 
     def rows(batches):
         hashes = WordHashes()
