@@ -300,8 +300,8 @@ def stable_ids(spark, sf_dir):
 
 @query()
 def source_scan(spark, sf_dir):
-    """Files with size and digest, without decoding them."""
-    files = spark.read.format("binaryFile").load([f"{sf_dir}/{t}.parquet" for t in ("nation", "region")])
+    """Files of all tables with size and digest, without decoding them."""
+    files = spark.read.format("binaryFile").load(f"{sf_dir}/*.parquet")
     return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), "length", F.sha2("content", 256).alias("sha256"))
 
 
