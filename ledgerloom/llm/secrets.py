@@ -24,8 +24,9 @@ KINDS = ("assign", "access", "hex", "random")
 
 # Alphabets of the encodings, in their usual order.
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-ALPHABETS = {"hex": _DIGITS + "abcdef", "base32": _UPPER + "234567", "base36": _DIGITS + _LOWER, "base62": _DIGITS + _UPPER + _LOWER, "base64": _UPPER + _LOWER + _DIGITS + "+/", "base64url": _UPPER + _LOWER + _DIGITS + "-_"}
-CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
+ALPHABETS = {"hex": _DIGITS + "abcdef", "base32": _UPPER + "234567", "base36": _DIGITS + _LOWER, "base26": _LOWER, "base62": _DIGITS + _UPPER + _LOWER, "base64": _UPPER + _LOWER + _DIGITS + "+/", "base64url": _UPPER + _LOWER + _DIGITS + "-_"}
+LEAST = 20  # characters of a candidate
+CANDIDATE = rf"[A-Za-z0-9+/_-]{{{LEAST},}}"
 BANDS = (24, 32, 40, 64)  # lengths at which a band begins, after the first
 BINS = 20
 
@@ -55,8 +56,10 @@ def _upper_tail(z: Column) -> Column:
 
 def _encoding(token: Column) -> Column:
     digit, lower, upper = (token.rlike(f"[{x}]") for x in ("0-9", "a-z", "A-Z"))
+    plain = F.length(F.regexp_replace(token, "[^A-Za-z0-9]", ""))
     return (
-        F.when(~digit & ~(lower & upper), F.lit(None))  # words
+        F.when(plain < LEAST, F.lit(None))  # rules of signs
+        .when(~digit & ~(lower & upper), "base26")  # of one case, signs left out
         .when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex")
         .when(token.rlike("^[A-Z2-7]+$"), "base32")
         .when(token.rlike("^([a-z0-9]+|[A-Z0-9]+)$"), "base36")
@@ -72,7 +75,7 @@ def with_p(tokens: DataFrame) -> DataFrame:
     pairs = lambda c, f: total(F.zip_with(F.slice(c, 2, F.size(c)), F.slice(c, 1, F.size(c) - 1), f))
     low = lambda c: -F.log(F.greatest(F.least(c, F.lit(1.0)), F.lit(1e-12)))
     steps = [
-        {"plain": F.when(F.col("enc").isin("hex", "base36"), F.lower("match")).otherwise(F.col("match")), "alphabet": F.coalesce(*[F.when(F.col("enc") == k, F.lit(a)) for k, a in ALPHABETS.items()])},
+        {"plain": F.when(F.col("enc").isin("hex", "base36", "base26"), F.lower("match")).otherwise(F.col("match")), "alphabet": F.coalesce(*[F.when(F.col("enc") == k, F.lit(a)) for k, a in ALPHABETS.items()])},
         {"k": F.length("alphabet").cast("double"), "number": F.filter(F.transform(F.split("plain", ""), lambda c: F.call_function("instr", F.col("alphabet"), c)), lambda v: v > 0)},
         {"n": F.size("number").cast("double"), "squares": total(F.transform(F.array_distinct("number"), lambda v: F.pow(F.size(F.filter("number", lambda w: w == v)), 2.0))), "high": F.transform("number", lambda v: (v * 2 > F.col("k") + 1).cast("double")), "mean": total("number") / F.size("number")},
         {"n1": total("high"), "changes": pairs("high", lambda a, b: F.abs(a - b)), "off": F.transform("number", lambda v: v - F.col("mean"))},
@@ -107,9 +110,20 @@ def marked(docs: DataFrame) -> DataFrame:
     return found.select(F.monotonically_increasing_id().alias("row"), "doc_id", *[F.size(c).cast("long").alias(f"n_{c}") for c in KINDS[:3]], F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"))).alias("base"), free.alias("tokens"))
 
 
+def _parts(tokens: DataFrame, pattern: str) -> DataFrame:
+    """tokens, those with signs of both families cut into the long runs of pattern that they hold."""
+    mixed = F.col("match").rlike("[+/]") & F.col("match").rlike("[-_]")
+    cut_up = tokens.where(mixed).select("row", F.col("start").alias("from"), F.explode(_placed(F.col("match"), pattern, "random")).alias("t"))
+    cut_up = cut_up.select("row", (F.col("from") + F.col("t.start")).alias("start"), "t.rank", (F.col("from") + F.col("t.end")).alias("end"), "t.match")
+    return tokens.where(~mixed).union(cut_up)
+
+
 def tested(rows: DataFrame) -> DataFrame:
-    """A row for each candidate token: row, start, rank, end, enc, band, p."""
-    t = rows.select("row", F.explode("tokens").alias("t")).select("row", "t.*").withColumns({"enc": _encoding(F.col("match")), "band": _band(F.length("match"))})
+    """A row for each candidate token: row, start, rank, end, enc, band, p. Tokens that no one encoding holds (paths,
+    addresses) are cut at /, then at - and _."""
+    t = rows.select("row", F.explode("tokens").alias("t")).select("row", "t.start", "t.rank", "t.end", "t.match")
+    t = _parts(_parts(t, rf"[A-Za-z0-9+_-]{{{LEAST},}}"), rf"[A-Za-z0-9+/]{{{LEAST},}}")
+    t = t.withColumns({"enc": _encoding(F.col("match")), "band": _band(F.length("match"))})
     return with_p(t.where("enc is not null")).drop("match")
 
 

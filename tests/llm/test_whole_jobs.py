@@ -14,6 +14,22 @@ from ledgerloom.plans import catalogue
 DATA = "/root/testdata/sf0.001"
 
 
+def test_keys_in_paths_and_of_one_case(spark):
+    rng = random.Random(3)
+    rows, want = [], {}
+    for i in range(120):
+        key = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(40))
+        rows.append((i, f"see /my-app/{key} there"))
+        want[i] = (12, 52)
+        letters = "".join(rng.choice(string.ascii_lowercase) for _ in range(40))
+        rows.append((1000 + i, f"see {letters} there"))
+        want[1000 + i] = (4, 44)
+    rows += [(5000, "-" * 40), (5001, "a" + "-_/+" * 10), (5002, "z" * 40)]
+    found = {r.doc_id: [(s.start, s.end) for s in r["all"]] for r in secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(found[i] == [w] for i, w in want.items()) > 0.8 * len(want)
+    assert found[5000] == found[5001] == found[5002] == []
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables are not here")
 def test_every_source_file_is_scanned(spark):
     got = {r.file_name: r.length for r in catalogue.source_scan(spark, DATA).collect()}
