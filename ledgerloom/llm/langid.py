@@ -128,16 +128,16 @@ class Model:
 def train(labelled: DataFrame, per_language: int = 1500) -> Model:
     """A model from whole texts with a non-null lang.
 
-    The sample is bounded: per_language documents of each language on average, chosen by a hash of the text, or all
-    where a language has fewer. Trigrams are counted on the executors; one row a language and task reaches the driver.
+    The sample is bounded: per_language distinct texts of each language on average, chosen by a hash of the text, or all
+    where a language has fewer; copies count once. Trigrams are counted on the executors; one row a language and task reaches the driver.
     """
     labelled = labelled.where("lang is not null and text is not null")
-    rate = {r[0]: min(1.0, per_language / r[1]) for r in labelled.groupBy("lang").count().collect()}
+    rate = {r[0]: min(1.0, per_language / r[1]) for r in labelled.groupBy("lang").agg(F.count_distinct(F.xxhash64("text"))).collect()}
     if not rate:
         return Model([], np.zeros((BUCKETS, 0)))
     draw = F.pmod(F.xxhash64("text", F.lit("langid")), F.lit(1_000_000)) / 1_000_000
     cases = [F.when(F.col("lang") == k, F.lit(v)) for k, v in rate.items()]
-    sample = labelled.where(draw < F.coalesce(*cases)).select("lang", "text")
+    sample = labelled.where(draw < F.coalesce(*cases)).select("lang", "text").distinct()
 
     def count(batches):
         total: dict[str, np.ndarray] = {}

@@ -14,6 +14,14 @@ from ledgerloom.plans import catalogue
 DATA = "/root/testdata/sf0.001"
 
 
+def test_copies_train_once(spark):
+    texts = [f"some words of text number {chr(97 + i) * 5}" for i in range(20)]
+    once = spark.createDataFrame([("en", t) for t in texts], "lang string, text string")
+    often = spark.createDataFrame([("en", t) for k, t in enumerate(texts) for _ in range(400 if k == 3 else 100)], "lang string, text string")
+    a, b = langid.train(once, 25), langid.train(often, 25)
+    assert a.languages == b.languages == ["en"] and np.array_equal(a.p, b.p)
+
+
 def test_keys_in_paths_and_of_one_case(spark):
     rng = random.Random(3)
     rows, want = [], {}
