@@ -186,12 +186,18 @@ def identify_held_out(docs: DataFrame, modulus: int = 3, remainder: int = 1, per
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, all columns, whose text has a language: those that identify() calls `und` go."""
+    """The rows of docs, all columns, whose text has a language: those that identify() calls `und` go, which
+    have no letter. Where no language was learned, texts with a letter stay all the same."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches):
         for batch in pieces(batches):
-            yield batch.filter(pa.array([f[0] != UNDETERMINED for f in sent.value.predict(strings(batch))]))
+            texts = strings(batch)
+            if sent.value.languages:
+                kept = [f[0] != UNDETERMINED for f in sent.value.predict(texts)]
+            else:
+                kept = [len(trigram_counts(t or "")[0]) > 0 for t in texts]
+            yield batch.filter(pa.array(kept))
 
     return docs.mapInArrow(trimmed(rows), docs.schema)
 

@@ -22,6 +22,11 @@ def test_copies_train_once(spark):
     assert a.languages == b.languages == ["en"] and np.array_equal(a.p, b.p)
 
 
+def test_letters_stay_without_a_language(spark):
+    docs = spark.createDataFrame([(1, "some words"), (2, "123"), (3, None)], "doc_id long, text string").withColumn("lang", F.lit(None).cast("string"))
+    assert [r.doc_id for r in langid.keep_identified(docs, langid.learned_from(docs)).collect()] == [1]
+
+
 def test_keys_in_paths_and_of_one_case(spark):
     rng = random.Random(3)
     rows, want = [], {}
