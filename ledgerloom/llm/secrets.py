@@ -58,8 +58,7 @@ def _encoding(token: Column) -> Column:
     digit, lower, upper = (token.rlike(f"[{x}]") for x in ("0-9", "a-z", "A-Z"))
     plain = F.length(F.regexp_replace(token, "[^A-Za-z0-9]", ""))
     return (
-        F.when(plain < LEAST, F.lit(None))  # rules of signs
-        .when(~digit & ~(lower & upper), "base26")  # of one case, signs left out
+        F.when(~digit & ~(lower & upper), F.when(plain >= LEAST, "base26"))  # of one case, signs left out; null: rules of signs
         .when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex")
         .when(token.rlike("^[A-Z2-7]+$"), "base32")
         .when(token.rlike("^([a-z0-9]+|[A-Z0-9]+)$"), "base36")
