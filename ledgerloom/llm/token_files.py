@@ -4,16 +4,18 @@ Layout: a folder with two Parquet tables that hold binary payloads, so that any
 a lost task leaves nothing behind.
 
 - header: one row; code_lengths: one byte an id (0: the id does not occur), limit: the longest code allowed.
-- blocks: part, block (ascending document order), first_doc, doc_ids, doc_lengths (token counts), n_tokens,
-  payload (canonical Huffman codes, most significant bit first), checkpoints (little-endian unsigned 32-bit bit
-  offsets, one for each STEP tokens).
+- blocks: part, block (ascending document order), doc_ids, doc_lengths (token counts in this block), before (tokens of
+  the part ahead of the block), begun and goes_on (see below), n_tokens (BLOCK_TOKENS at most), payload (canonical Huffman codes, most
+  significant bit first), checkpoints (little-endian unsigned 32-bit bit offsets, one for each STEP tokens).
 
 A block is decoded on its own: canonical codes follow from the lengths; the decoder looks limit bits up in a table and
-runs all checkpoints of a block side by side.
+runs all checkpoints of a block side by side. A document of more than BLOCK_TOKENS tokens
+has blocks of its own: begun is how many of its tokens stand in earlier blocks, goes_on whether there are later ones.
 """
 
 from __future__ import annotations
 
+import gc
 import zlib
 from functools import lru_cache
 
@@ -27,7 +29,7 @@ from ledgerloom.llm.common import cut, documents_of, longs, new_path, partitions
 from ledgerloom.llm.units import Units, buffers
 
 STEP = 256
-BLOCK_TOKENS = 1 << 18
+BLOCK_TOKENS = 1 << 17
 LIMIT = 18
 
 
@@ -54,7 +56,7 @@ class WordTokens:
         special = tuple(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values())
         described = self.tokenizer.to_str()
         safe = '"use_regex":true' in described and '"normalizer":null' in described
-        self.units = Units(self._learn, self._whole, special if safe else (b"",))
+        self.units = Units(self._learn, self._whole, special if safe else (b"",), limit=400_000)
         self.starts = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.starts[[i for token, i in self.tokenizer.get_vocab().items() if token[0] == "\u0120"]] = True  # the byte-level sign for a blank
 
@@ -70,9 +72,12 @@ class WordTokens:
             block = units[k : k + 20_000]
             ids.append(np.array(self._whole([" " + " ".join(block)])[0], np.uint32))
             at = np.flatnonzero(self.starts[ids[-1]])
-            if len(at) != len(block):
-                raise ValueError("the vocabulary does not start each unit with a blank")
-            sizes.append(np.diff(np.r_[at, len(ids[-1])]))
+            if len(at) == len(block):
+                sizes.append(np.diff(np.r_[at, len(ids[-1])]))
+            else:  # a unit whose first token holds no blank: each one by itself
+                apart = self._whole([f" {u}" for u in block])
+                ids[-1] = np.array([i for x in apart for i in x], np.uint32)
+                sizes.append(np.array([len(x) for x in apart], np.int64))
         return np.concatenate(ids), np.concatenate(sizes)
 
     def texts(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -86,6 +91,13 @@ def remembered(path: str) -> WordTokens:
     return WordTokens(path)
 
 
+def forget() -> None:
+    """Frees the tokenizer and the units of a worker process that goes on with other work."""
+    if remembered.cache_info().currsize:
+        remembered.cache_clear()
+        gc.collect()
+
+
 # ---------------------------------------------------------------- canonical, length-limited Huffman codes
 
 
@@ -195,7 +207,7 @@ def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         units = remembered(path).units
         total = np.zeros(0, np.int64)
         pack = zstandard.ZstdCompressor(level=1).compress
-        for batch in pieces(batches, limit=2 << 20):
+        for batch in pieces(batches, limit=1 << 20):
             ids, ends = units.encode(*buffers(batch.column(1)))
             starts = np.r_[0, ends[:-1]]
             end = np.uint32(end_id)
@@ -213,7 +225,7 @@ def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
 
 def _ids(z: bytes, w: int) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(z), f"<u{w}").astype(np.int64)
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(z), f"<u{w}")
 
 
 def global_counts(encoded: DataFrame, vocabulary: int) -> np.ndarray:
@@ -232,7 +244,13 @@ def global_counts(encoded: DataFrame, vocabulary: int) -> np.ndarray:
     return out
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, limit: int = LIMIT) -> None:
+_BLOCK_DDL = "part int, block int, doc_ids array<long>, doc_lengths array<long>, before long, begun long, goes_on boolean, n_tokens long, payload binary, checkpoints binary"
+_BLOCK = pa.schema(
+    [("part", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("doc_lengths", pa.list_(pa.int64())), ("before", pa.int64()), ("begun", pa.int64()), ("goes_on", pa.bool_()), ("n_tokens", pa.int64()), ("payload", pa.binary()), ("checkpoints", pa.binary())]
+)
+
+
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, limit: int = LIMIT, block_tokens: int = BLOCK_TOKENS) -> None:
     """Writes the ids of all documents, ascending by doc_id (null first; ties by a hash of the text), to folder."""
     from tokenizers import Tokenizer
 
@@ -243,31 +261,40 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     spark.createDataFrame([(bytearray(lengths.tobytes()), max(limit, int(vocabulary).bit_length()))], "code_lengths binary, bits int").coalesce(1).write.parquet(f"{folder}/header")
 
     def blocks(batches):
-        codes = canonical(lengths)
         from pyspark import TaskContext
 
-        part, block = TaskContext.get().partitionId(), 0
-        docs_, sizes, held, total = [], [], [], 0
-
-        def out():
-            payload, checkpoints = pack(np.concatenate(held), lengths, codes)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([docs_], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), longs([total]), pa.array([payload], pa.large_binary()).cast(pa.binary()), pa.array([checkpoints], pa.binary())], names=["part", "block", "doc_ids", "doc_lengths", "n_tokens", "payload", "checkpoints"])
-
+        forget()
+        codes = canonical(lengths)
+        part, block, before = TaskContext.get().partitionId(), 0, 0
+        held: list[tuple[int, np.ndarray]] = []
+
+        def out(begun: int = 0, goes_on: bool = False):
+            nonlocal block, before, held
+            tokens = np.concatenate([x for _, x in held])
+            payload, checkpoints = pack(tokens, lengths, codes)
+            made = {"part": part, "block": block, "doc_ids": [i for i, _ in held], "doc_lengths": [len(x) for _, x in held], "before": before, "begun": begun, "goes_on": goes_on, "n_tokens": len(tokens), "payload": payload, "checkpoints": checkpoints}
+            block, before, held = block + 1, before + len(tokens), []
+            return pa.RecordBatch.from_pylist([made], schema=_BLOCK)
+
+        total = 0
         for batch in batches:
-            for doc, n, w, z in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                docs_.append(doc)
-                sizes.append(n)
-                held.append(_ids(z, w))
-                total += n
-                if total >= BLOCK_TOKENS:
+            for doc, z, w in zip(*(batch.column(batch.schema.get_field_index(k)).to_pylist() for k in ("doc_id", "z", "w")), strict=True):
+                ids = _ids(z, w)
+                if held and total + len(ids) > block_tokens:
                     yield out()
-                    block += 1
-                    docs_, sizes, held, total = [], [], [], 0
-        if total:
+                    total = 0
+                if len(ids) <= block_tokens:
+                    held.append((doc, ids))
+                    total += len(ids)
+                    continue
+                for at in range(0, len(ids), block_tokens):
+                    held = [(doc, ids[at : at + block_tokens])]
+                    yield out(at, at + block_tokens < len(ids))
+        if held:
             yield out()
 
     ordered = encoded.where("n >= 0").repartitionByRange(partitions(spark), "doc_id", "v").sortWithinPartitions("doc_id", "v").select("doc_id", "n", "w", "z")
-    ordered.mapInArrow(blocks, "part int, block int, doc_ids array<long>, doc_lengths array<long>, n_tokens long, payload binary, checkpoints binary").write.parquet(f"{folder}/blocks")
+    ordered.mapInArrow(trimmed(blocks), _BLOCK_DDL).write.parquet(f"{folder}/blocks")
 
 
 def read_token_files(spark: SparkSession, folder: str, digest: bool = False) -> DataFrame:
@@ -276,36 +303,52 @@ def read_token_files(spark: SparkSession, folder: str, digest: bool = False) ->
     header = spark.read.parquet(f"{folder}/header").first()
     lengths, bits = np.frombuffer(bytes(header["code_lengths"]), np.uint8), header["bits"]
     blocks = spark.read.parquet(f"{folder}/blocks")
-    before, total = {}, 0
+    ahead, total = {}, 0
     for part, n in blocks.groupBy("part").agg(F.sum("n_tokens")).orderBy("part").collect():  # a row a partition
-        before[part] = total
+        ahead[part] = total
         total += n
-    from pyspark.sql import Window
-
-    inside = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    starts = blocks.select("part", "block", F.coalesce(inside, F.lit(0)).alias("inside"))
 
-    def documents(batches):
+    def decoded(batches):
+        """(block as a dictionary, ids as little-endian unsigned 32-bit numbers) of each block."""
+        forget()
         decoder = Decoder(lengths, bits)
         for batch in batches:
             for k in range(batch.num_rows):
-                part, inside, ids, sizes, n, payload, checkpoints = (c.to_pylist()[0] for c in batch.slice(k, 1).columns)
-                tokens = memoryview(decoder.block(payload, checkpoints, n).astype("<u4").tobytes())
-                ends = np.cumsum(sizes)
-                first = np.r_[0, ends[:-1]]
-                for a in range(0, len(ids), 512):
-                    at = slice(a, a + 512)
-                    raw = [tokens[4 * x : 4 * y] for x, y in zip(first[at].tolist(), ends[at].tolist(), strict=True)]
-                    found = [longs([zlib.crc32(x) for x in raw])] if digest else [pa.array([bytes(x) for x in raw], pa.binary())]
-                    yield pa.RecordBatch.from_arrays([longs(ids[at]), longs(first[at] + before[part] + inside), *([longs(sizes[at])] if digest else []), *found], names=names)
-
-    names = ["doc_id", "start", "n_tokens", "ids_crc32"] if digest else ["doc_id", "start", "ids"]
-    # the payload stays out of the window's shuffle: a block's place is a few numbers
-    placed = blocks.join(starts, ["part", "block"]).select("part", "inside", "doc_ids", "doc_lengths", "n_tokens", "payload", "checkpoints")
-    return placed.mapInArrow(documents, ", ".join(f"{x} {'binary' if x == 'ids' else 'long'}" for x in names))
-
-
-def token_round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None) -> DataFrame:
+                b = batch.slice(k, 1).to_pylist()[0]
+                yield b, memoryview(decoder.block(b["payload"], b["checkpoints"], b["n_tokens"]).astype("<u4").tobytes())
+
+    def result(ids, start, raw):
+        n, more = longs([len(x) // 4 for x in raw]), longs([zlib.crc32(x) for x in raw]) if digest else pa.array([bytes(x) for x in raw], pa.binary())
+        return pa.RecordBatch.from_arrays([longs(ids), longs(start), n, more], names=["doc_id", "start", "n_tokens", "found"])
+
+    def documents(batches):
+        for b, tokens in decoded(batches):
+            ends = np.cumsum(b["doc_lengths"])
+            first = np.r_[0, ends[:-1]]
+            for a in range(0, len(ends), 512):
+                at = slice(a, a + 512)
+                raw = [tokens[4 * x : 4 * y] for x, y in zip(first[at].tolist(), ends[at].tolist(), strict=True)]
+                yield result(b["doc_ids"][at], first[at] + ahead[b["part"]] + b["before"], raw)
+
+    def long_parts(batches):
+        for b, tokens in decoded(batches):
+            yield pa.RecordBatch.from_arrays([longs(b["doc_ids"]), longs([ahead[b["part"]] + b["before"] - b["begun"]]), longs([b["begun"]]), pa.array([bytes(tokens)], pa.binary())], names=["doc_id", "start", "begun", "tokens"])
+
+    def long_documents(batches):
+        for batch in batches:
+            for doc, start, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield result([doc], [start], [b"".join(p["tokens"] for p in parts)])
+
+    schema = f"doc_id long, start long, n_tokens long, found {'long' if digest else 'binary'}"
+    short = blocks.where("begun = 0 and not goes_on").mapInArrow(trimmed(documents), schema)
+    parts = blocks.where("begun > 0 or goes_on").mapInArrow(trimmed(long_parts), "doc_id long, start long, begun long, tokens binary")
+    # a row is a document: as long as a row of the input
+    long = parts.groupBy("start").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("begun", "tokens"))).alias("parts"))
+    found = short.union(long.select("doc_id", "start", "parts").mapInArrow(long_documents, schema))
+    return found.withColumnRenamed("found", "ids_crc32") if digest else found.select("doc_id", "start", F.col("found").alias("ids"))
+
+
+def token_round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Encodes whole texts, writes the files, reads them back: doc_id, start, n_tokens, ids_crc32.
 
     docs: doc_id, text; other columns are ignored. Null or empty text: the end id alone. Repeated rows are separate
@@ -314,5 +357,5 @@ def token_round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: s
     """
     spark = docs.sparkSession
     folder = folder or new_path(spark, "token-files")
-    write_token_files(docs, folder, tokenizer, end_id)
+    write_token_files(docs, folder, tokenizer, end_id, block_tokens=block_tokens)
     return read_token_files(spark, folder, digest=True)

@@ -238,6 +238,14 @@ def test_token_files(docs, none):
     order = [i for i, *_ in sorted(got, key=lambda r: r[1])]
     assert order == sorted(order, key=lambda i: (i is not None, i or 0))
     assert token_files.token_round_trip(none, path).count() == 0
+    assert rows(token_files.token_round_trip(docs, path, block_tokens=500)) == got  # long documents cut over many blocks
+
+
+def test_units_that_the_vocabulary_does_not_part():
+    """Where a unit's ids can't be told from the ids of several units at once, each one goes to the library by itself."""
+    words = token_files.WordTokens(vocabulary("byte_bpe_50k.json"))
+    words.starts[:] = False
+    assert words.texts(["some words here"])[0].tolist() == words.tokenizer.encode("some words here", add_special_tokens=False).ids
 
 
 def test_whole_texts_and_units_agree():
