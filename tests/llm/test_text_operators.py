@@ -178,14 +178,38 @@ def test_substring_dedup(docs, none):
     assert substring_dedup.substring_dedup(none).count() == 0
 
 
-def test_cells_overestimate():
-    """Equal windows share a cell, so a cell's count is never below a window's."""
+def test_many_shards_and_one(docs):
+    assert rows(substring_dedup.substring_dedup(docs, shard_words=500)) == rows(substring_dedup.substring_dedup(docs))
+
+
+def test_counters_overestimate():
+    """Equal windows share a counter in each row, so a counter is never below the number of a window's documents."""
     words = [f"{k % 11}".encode() for k in range(300)]
-    cells = substring_dedup.window_cells(words, 13, substring_dedup.WordHashes())
+    sketch = substring_dedup.Sketch(10_000, 4, 1000)
+    found = list(substring_dedup.windows_of([(0, b" ".join(words)), (1, b" ".join(words[5:]))], 13))
     by = defaultdict(set)
-    for k in range(len(cells)):
-        by[tuple(words[k : k + 13])].add(int(cells[k]))
-    assert len(cells) == 288 and all(len(x) == 1 for x in by.values())
+    for w in found:
+        counters = [sketch.counters(s).tolist() for s in w.smallest]
+        for k in range(len(w.doc)):
+            by[w.raw[w.start[k] : w.end[k]]].add(tuple(c[k] for c in counters))
+    assert len(by) == 11 and all(len(x) == 1 for x in by.values())
+
+
+def test_pieces_of_a_text_hold_all_its_windows():
+    words = [f"w{k * 31 % 997}".encode() for k in range(5000)]
+    line = b" ".join(words)
+    for limit in (100, 1000, 1 << 20):
+        seen = {}
+        for word, piece in substring_dedup.segments(line, 13, limit):
+            w = piece.split(b" ")
+            for k in range(len(w) - 12):
+                assert seen.setdefault(word + k, tuple(w[k : k + 13])) == tuple(words[word + k : word + k + 13])
+        assert sorted(seen) == list(range(4988))
+
+
+def test_numbers_are_packed():
+    for x in ([], [0], [0, 1, 5, 70_000, 2**32 - 1]):
+        assert substring_dedup.unpacked(substring_dedup.packed(np.array(x, np.uint64))).tolist() == x
 
 
 ITEMS = [(1, " ".join(WORDS[10:30])), (2, "One, TWO"), (3, None), (4, ""), (5, "!!"), (6, "a"), (1, " ".join(WORDS[10:30])), (7, "not there at all")]
