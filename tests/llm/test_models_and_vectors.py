@@ -51,36 +51,63 @@ def vectors():
     return rows
 
 
-@pytest.mark.parametrize("limit", [2048, 7])
-def test_embedding_links(spark, limit):
-    rows = vectors()
-    good = [(i, np.array(v, float) / np.linalg.norm(v), g, len(v)) for i, v, g in rows if i is not None and g is not None and v and None not in v and np.isfinite(v).all() and np.any(v)]
-    links = {i: set() for i, *_ in good}
-    for i, v, g, n in good:
-        for j, w, h, m in good:
-            if i != j and g == h and n == m and v @ w >= 0.98:
-                links[i].add(j)
-    want = {}
-    for i, _, _ in rows:
-        seen, todo = {i}, [i]
+def brute_links(rows, cosine=0.98):
+    """{(vec_id, vector, label): (links, component)}, rows that repeat all three being one vector."""
+    nodes = sorted({(i, tuple(v) if v else None, g) for i, v, g in rows}, key=repr)
+    unit = [np.array(v, float) / np.linalg.norm(v) if i is not None and g is not None and v and None not in v and np.isfinite(v).all() and np.any(v) else None for i, v, g in nodes]
+    links = [{b for b, (j, w, h) in enumerate(nodes) if a != b and unit[a] is not None and unit[b] is not None and nodes[a][2] == h and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= cosine} for a in range(len(nodes))]
+    out = {}
+    for a, node in enumerate(nodes):
+        seen, todo = {a}, [a]
         while todo:
-            for j in links.get(todo.pop(), ()):
-                if j not in seen:
-                    seen.add(j)
-                    todo.append(j)
-        c = None if i is None else min(seen)
-        want[i] = (len(links.get(i, ())), c, None if i is None else i == c)
+            for b in links[todo.pop()] - seen:
+                seen.add(b)
+                todo.append(b)
+        out[node] = (len(links[a]), min((nodes[b][0] for b in seen), default=None) if node[0] is not None else None)
+    return out
+
+
+@pytest.mark.parametrize(("limit", "fill"), [(2048, 1024), (7, 1024), (2048, 1), (7, 1)])
+def test_embedding_links(spark, limit, fill):
+    """fill = 1: as many lines a table as a label of thousands of times that size gets."""
+    rows = vectors()
+    want = sorted(((i, *brute_links(rows)[i, tuple(v) if v else None, g]) for i, v, g in rows), key=repr)
     df = spark.createDataFrame([(i, v, g, "x", 1) for i, v, g in rows], "vec_id long, embedding array<float>, label int, cell string, rep int").repartition(3)
-    got = {r[0]: tuple(r)[1:] for r in embedding_dedup.embedding_groups(df, 0.98, limit=limit).collect()}
-    assert got == want and sum(n for n, *_ in want.values()) > 50
+    got = embedding_dedup.embedding_groups(df, 0.98, limit=limit, fill=fill).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=repr) == want and sum(n for _, n, _ in want) > 50
+    assert all(r.kept == (None if r.vec_id is None else r.vec_id == r.component_id) for r in got)
     assert embedding_dedup.embedding_groups(df.where("false")).count() == 0
 
 
+def test_repeated_ids(spark):
+    """A row given twice is one vector; different vectors under one id are different vectors."""
+    near, far = [1.0, 0.05], [0.0, 1.0]
+    rows = [(1, [1.0, 0.0], 5), (1, [1.0, 0.0], 5), (2, near, 5), (3, far, 5), (3, near, 5), (4, far, 6), (4, far, 6)]
+    got = embedding_dedup.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 0, 3), (3, 2, 1), (4, 0, 4), (4, 0, 4)]
+
+
+def test_recall_just_above_the_limit(spark):
+    """Pairs of cosine 0.98 to 0.985 in labels that are dealt as one of millions would be."""
+    rng = np.random.default_rng(8)
+    a = rng.standard_normal((1500, 32))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.standard_normal((1500, 32))
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    c = rng.uniform(0.9801, 0.985, (1500, 1))
+    b = c * a + np.sqrt(1 - c**2) * b
+    rows = [(2 * k, x.tolist(), 1) for k, x in enumerate(a)] + [(2 * k + 1, x.tolist(), 1) for k, x in enumerate(b)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    for fill in (1024, 4):
+        found = embedding_dedup.embedding_groups(df, 0.98, fill=fill).where("vec_id % 2 = 1 and component_id = vec_id - 1").count()
+        assert found >= 1498
+
+
 def test_plan_keeps_its_recall():
-    for n in (10, 10_000, 10_000_000):
+    for n in (0, 10, 10_000, 10_000_000, 10**10):
         p = embedding_dedup.Plan(0.98, n)
-        near = embedding_dedup._normal(2.0)
-        assert 1 - (1 - near**p.depth) ** p.tables >= 0.9999 and 0 < p.count <= p.lines
+        assert p.met >= 0.9999 and 0 < p.count <= embedding_dedup.LINES and p.tables < 60
 
 
 # ---------------------------------------------------------------- language, toxicity
