@@ -5,15 +5,17 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from datetime import datetime
+from itertools import product
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.functions import schemas as S
 from ledgerloom.functions.errors import LedgerError, UnreadableSource
-from ledgerloom.functions.text import label_number, text
+from ledgerloom.functions.text import label_number, place, text
 
 
 @dataclass
@@ -47,14 +49,38 @@ class Workbooks:
     merges: DataFrame
 
 
-def cell_range(ref: str, limits: tuple[int, int] = (1_048_576, 16_384)) -> tuple[int, int, int, int]:
-    """A1 or A1:B2 as (top, left, bottom, right)."""
+class Area(NamedTuple):
+    """A rectangle of cells."""
+
+    top: int
+    left: int
+    bottom: int
+    right: int
+
+    def meets(self, other: Area) -> bool:
+        return max(self.top, other.top) <= min(self.bottom, other.bottom) and max(self.left, other.left) <= min(self.right, other.right)
+
+    def holds(self, at: tuple[int, int]) -> bool:
+        return self.meets(Area(*at, *at))
+
+    def size(self) -> int:
+        return (self.bottom - self.top + 1) * (self.right - self.left + 1)
+
+    def places(self) -> Iterator[tuple[int, int]]:
+        return product(range(self.top, self.bottom + 1), range(self.left, self.right + 1))
+
+    def label(self) -> str:
+        return f"{place(self.top, self.left)}:{place(self.bottom, self.right)}"
+
+
+def cell_range(ref: str, limits: tuple[int, int] = (1_048_576, 16_384)) -> Area:
+    """A1 or A1:B2."""
     found = re.fullmatch(r"\$?([A-Z]{1,3})\$?([0-9]+)(?::\$?([A-Z]{1,3})\$?([0-9]+))?", ref)
     if not found:
         raise UnreadableSource(f"XLSX 坐标范围无效: {ref}")
     a, b, c, d = found.groups()
-    box = int(b), label_number(a), int(d or b), label_number(c or a)
-    if not (1 <= box[0] <= box[2] <= limits[0] and 1 <= box[1] <= box[3] <= limits[1]):
+    box = Area(int(b), label_number(a), int(d or b), label_number(c or a))
+    if not (1 <= box.top <= box.bottom <= limits[0] and 1 <= box.left <= box.right <= limits[1]):
         raise UnreadableSource(f"XLSX 坐标范围无效: {ref}")
     return box
 
@@ -97,7 +123,7 @@ def workbooks(spark: SparkSession, books: list[BookData]) -> Workbooks:
         raise LedgerError("同一内容文件重复输入")
     return Workbooks(
         spark.createDataFrame([(b.sha, "source_" + b.sha[:24], b.file_name, b.size, b.format, k) for k, b in enumerate(books)], S.SOURCES),
-        spark.createDataFrame([(b.sha, i, s.name, s.hidden) for b in books for i, s in enumerate(b.sheets)], S.SHEETS),
+        spark.createDataFrame([(b.sha, i, s.name, s.hidden, s.hidden_rows, s.hidden_columns) for b in books for i, s in enumerate(b.sheets)], S.SHEETS),
         spark.createDataFrame([x for b in books for x in cell_rows(b)], S.CELLS),
         spark.createDataFrame([(b.sha, i, *m, k) for b in books for i, s in enumerate(b.sheets) for k, m in enumerate(s.merges)], S.MERGES),
     )

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import json
+import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ledgerloom.functions import schemas as S
 from ledgerloom.functions import values as V
@@ -18,65 +20,74 @@ from ledgerloom.sources.cells import BookData, Workbooks, cell_rows
 from ledgerloom.sources.xls import decode as decode_xls
 from ledgerloom.sources.xlsx import decode as decode_xlsx
 
-#: One row for each thing found: a sheet, a cell, a merged area, or a failure, as a JSON array after its kind.
-FOUND = "sha string, file_name string, size long, format string, kind string, body string"
-
-
-def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import hashlib
-
-    for batch in batches:
-        for name, content in zip(batch.file_name, batch.content, strict=True):
-            data = bytes(content)
-            sha, suffix = hashlib.sha256(data).hexdigest(), name.rpartition(".")[2].lower()
-            head = (sha, name, len(data), suffix)
-            rows = []
-            try:
-                sheets = decode_xlsx(data) if suffix == "xlsx" else decode_xls(data)
-                if len(sheets) > V.MAX_SHEETS or sum(len(s.cells) for s in sheets) > V.MAX_CELLS:
-                    raise LedgerError("工作簿 Sheet 数或有效单元格数超限")
-                for i, s in enumerate(sheets):
-                    rows.append((*head, "sheet", json.dumps([i, s.name, s.hidden], ensure_ascii=False)))
-                    rows += [(*head, "merge", json.dumps([i, *m, k])) for k, m in enumerate(s.merges)]
-                rows += [(*head, "cell", json.dumps(c[1:], ensure_ascii=False)) for c in cell_rows(BookData(name, sha, len(data), suffix, sheets))]
-            except UnreadableSource as e:
-                rows = [(*head, "failure", json.dumps([False, str(e)], ensure_ascii=False))]
-            except LedgerError as e:
-                rows = [(*head, "failure", json.dumps([True, str(e)], ensure_ascii=False))]
-            except Exception as e:  # a broken file must not stop the others
-                rows = [(*head, "failure", json.dumps([False, f"Excel 无法读取: {name} ({type(e).__name__})"], ensure_ascii=False))]
-            for k in range(0, len(rows), 20_000):
-                yield pd.DataFrame(rows[k : k + 20_000], columns=S.names(FOUND))
+#: One row for each thing found, told by its kind: a sheet, a cell, a merged area, or a failure. A kind fills its columns.
+FOUND = (
+    "sha string, file_name string, size long, format string, kind string, sheet_idx int, name string, hidden boolean, hidden_rows array<int>, hidden_columns array<int>, "
+    "row int, col int, text string, raw string, number boolean, formula boolean, error boolean, number_format string, top int, left int, bottom int, right int, ord int, fatal boolean, problem string"
+)
+_ROWS = 20_000  # rows sent on at a time
+
+
+def _things(name: str, data: bytes) -> Iterator[dict]:
+    """What a file holds, as dictionaries of FOUND's columns."""
+    suffix = name.rpartition(".")[2].lower()
+    head = {"sha": hashlib.sha256(data).hexdigest(), "file_name": name, "size": len(data), "format": suffix}
+    try:
+        sheets = decode_xlsx(data) if suffix == "xlsx" else decode_xls(data)
+        if len(sheets) > V.MAX_SHEETS or sum(len(s.cells) for s in sheets) > V.MAX_CELLS:
+            raise LedgerError("工作簿 Sheet 数或有效单元格数超限")
+    except Exception as e:  # a broken file must not stop the others
+        told = str(e) if isinstance(e, LedgerError) else f"Excel 无法读取: {name} ({type(e).__name__})"
+        yield head | {"kind": "failure", "fatal": isinstance(e, LedgerError) and not isinstance(e, UnreadableSource), "problem": told}
+        return
+    for i, s in enumerate(sheets):
+        yield head | {"kind": "sheet", "sheet_idx": i, "name": s.name, "hidden": s.hidden, "hidden_rows": s.hidden_rows, "hidden_columns": s.hidden_columns}
+        for k, (top, left, bottom, right) in enumerate(s.merges):
+            yield head | {"kind": "merge", "sheet_idx": i, "top": top, "left": left, "bottom": bottom, "right": right, "ord": k}
+    for row in cell_rows(BookData(name, head["sha"], len(data), suffix, sheets)):
+        yield head | {"kind": "cell"} | dict(zip(S.names(S.CELLS)[1:], row[1:], strict=True))
+
+
+def decoded(files: DataFrame) -> DataFrame:
+    """files (file_name, content) as rows of FOUND."""
+    schema = to_arrow_schema(StructType.fromDDL(FOUND))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                held = []
+                for thing in _things(batch.column(0)[k].as_py(), batch.column(1)[k].as_py()):
+                    held.append(thing)
+                    if len(held) == _ROWS:
+                        yield pa.RecordBatch.from_pylist(held, schema=schema)
+                        held = []
+                yield pa.RecordBatch.from_pylist(held, schema=schema)
+
+    return files.mapInArrow(rows, FOUND)
+
+
+def of_kind(found: DataFrame, kind: str, ddl: str) -> DataFrame:
+    return found.where(F.col("kind") == kind).select(*S.names(ddl))
 
 
 def read_workbooks(spark: SparkSession, paths: list[str]) -> tuple[Workbooks, list[dict]]:
-    """(tables, failures) of the given files. A file over the limits of the batch raises LedgerError."""
+    """(tables, failures) of the given files. A file over the limits of the batch raises LedgerError.
+
+    A file is decoded where it is read; how many are read in one task is up to spark.sql.files.maxPartitionBytes."""
     files = spark.read.format("binaryFile").load(paths).select("path", "length", "content")
     listed = files.select("path", "length").collect()  # the inputs that were named
     if any(not 0 < r.length <= V.MAX_BYTES for r in listed):
         raise LedgerError("Excel 必须是非空文件且不超过 32 MiB")
     if any(r.path.rpartition(".")[2].lower() not in ("xls", "xlsx") for r in listed):
         raise LedgerError("仅支持 .xls 和 .xlsx")
-    named = files.select(F.regexp_extract(F.url_decode("path"), r"([^/]+)$", 1).alias("file_name"), "content")
-    found = stored(named.repartition(max(1, len(listed)), "file_name").mapInPandas(_decode, FOUND))
+    found = stored(decoded(files.select(F.regexp_extract(F.url_decode("path"), r"([^/]+)$", 1).alias("file_name"), "content")))
     order = {p.rpartition("/")[2]: k for k, p in enumerate(paths)}
-    part = lambda kind: found.where(F.col("kind") == kind).select("sha", "file_name", "size", "format", F.from_json("body", "array<string>").alias("b"))
-    failures = []
-    for r in part("failure").collect():
-        if r.b[0] == "true":
-            raise LedgerError(r.b[1])
-        failures.append({"id": stable_id("source", r.sha), "file_name": r.file_name, "sha256": r.sha, "size": r.size, "format": r.format, "sheets": [], "status": "unreadable", "error": r.b[1]})
-    sheets = _typed(part("sheet"), S.SHEETS)
-    books = found.where("kind <> 'failure'").select("sha", "file_name", "size", "format").distinct().collect()
+    broken = sorted(found.where("kind = 'failure'").collect(), key=lambda r: order.get(r.file_name, 0))
+    if fatal := next((r.problem for r in broken if r.fatal), None):
+        raise LedgerError(fatal)
+    failures = [{"id": stable_id("source", r.sha), "file_name": r.file_name, "sha256": r.sha, "size": r.size, "format": r.format, "sheets": [], "status": "unreadable", "error": r.problem} for r in broken]
+    books = sorted(found.where("kind = 'sheet' and sheet_idx = 0").select("sha", "file_name", "size", "format").collect(), key=lambda b: order.get(b.file_name, 0))
     if len({b.sha for b in books}) != len(books):
         raise LedgerError("同一内容文件重复输入")
-    ranked = sorted(books, key=lambda b: order.get(b.file_name, 0))
-    sources = spark.createDataFrame([(b.sha, "source_" + b.sha[:24], b.file_name, b.size, b.format, k) for k, b in enumerate(ranked)], S.SOURCES)
-    failures.sort(key=lambda f: order.get(f["file_name"], 0))
-    return Workbooks(sources, sheets, _typed(part("cell"), S.CELLS), _typed(part("merge"), S.MERGES)), failures
-
-
-def _typed(rows: DataFrame, ddl: str) -> DataFrame:
-    """Columns after sha from the array b, cast as the schema says."""
-    kinds = [c.split() for c in ddl.split(", ")]
-    return rows.select("sha", *[F.get("b", F.lit(k)).try_cast(kind).alias(name) for k, (name, kind) in enumerate(kinds[1:])])
+    sources = spark.createDataFrame([(b.sha, "source_" + b.sha[:24], b.file_name, b.size, b.format, k) for k, b in enumerate(books)], S.SOURCES)
+    return Workbooks(sources, *(of_kind(found, k, ddl) for k, ddl in (("sheet", S.SHEETS), ("cell", S.CELLS), ("merge", S.MERGES)))), failures

@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 from ledgerloom.functions import values as V
 from ledgerloom.functions.errors import LedgerError, UnreadableSource
 from ledgerloom.functions.text import text
-from ledgerloom.sources.cells import SheetData
+from ledgerloom.sources.cells import Area, SheetData
 from ledgerloom.sources.xlsx import _DATE_SIGN, _QUOTED, BUILT_IN, DATE_FORMATS, Box
 
 MAGIC = bytes.fromhex("D0CF11E0A1B11AE1")  # fixed value: an OLE container
@@ -170,7 +170,7 @@ def _sheet(stream: bytes, offset: int, sheet: SheetData, strings, shape, dated,
             start = datetime(1904, 1, 1) if since_1904 else datetime(1899, 12, 31) if value < 60 else datetime(1899, 12, 30)
             value = start + timedelta(milliseconds=round(value * 86_400_000))
         if text(value):
-            box.grow((r + 1, c + 1, r + 1, c + 1), "内容单元格")
+            box.grow(Area(r + 1, c + 1, r + 1, c + 1), "内容单元格")
             sheet.cells[r + 1, c + 1] = (value, False, error, shape(xf))
 
     for kind, raw, _ in _records(stream, offset):

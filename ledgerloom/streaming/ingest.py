@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerloom.sources.scan import FOUND, _decode
+from ledgerloom.sources.scan import decoded
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -15,7 +15,7 @@ def arriving(spark: SparkSession, folder: str, per_batch: int = 64) -> DataFrame
     """What new files hold, as rows of sources.scan.FOUND; per_batch bounds the files decoded at a time."""
     files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", "*.xls*").option("maxFilesPerTrigger", per_batch).load(folder)
     named = files.select(F.regexp_extract(F.url_decode("path"), r"([^/]+)$", 1).alias("file_name"), "content")
-    return named.repartition("file_name").mapInPandas(_decode, FOUND)
+    return decoded(named)
 
 
 def ingest(spark: SparkSession, folder: str, target: str, progress: str) -> StreamingQuery:
