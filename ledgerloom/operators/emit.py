@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import values as V
 from ledgerloom.functions.stored import stored
-from ledgerloom.functions.text import clean_udf, confidence_text, name_key_udf
-from ledgerloom.operators.finish import Finished, identified, json_list, quoted
+from ledgerloom.functions.text import clean_udf, confidence_text, json_list, name_key_udf, quoted
+from ledgerloom.operators.finish import Finished, identified
 from ledgerloom.operators.windows import numbered
 
 PLACE = ["place.book", "place.sheet_idx", "place.table_idx", "place.row", "ord.row", "ord.idx"]
@@ -27,11 +27,12 @@ class Results:
     matches: DataFrame
     companies: DataFrame
     summary: DataFrame
+    rows: DataFrame
 
 
 def projects_of(rows: DataFrame, sources: DataFrame, sheets: DataFrame) -> DataFrame:
     """One project for each id: what its first row says."""
-    books = F.broadcast(sources.select("sha", "source_id", F.col("ord").alias("book")))
+    books = sources.select("sha", "source_id", F.col("ord").alias("book"))
     place = F.struct("book", "sheet_idx", "table_idx", "row")
     named = rows.where("project_id is not null").join(books, "sha").join(sheets.select("sha", "sheet_idx", F.col("name").alias("sheet")), ["sha", "sheet_idx"])
     roles = F.array(*[F.lit(r) for r in V.CONTEXT_ROLES])
@@ -144,7 +145,7 @@ def emit(rows: DataFrame, done: Finished, books, plan: dict, timestamp: str, fai
     issues = issues.join(seen, "group_id", "left").join(ids, "group_id", "left").join(alone.select("issue_id", F.col("review_sequence").alias("alone_at")), "issue_id", "left")
     issues = issues.withColumns({"final_sequences": F.coalesce("final_sequences", no_ints), "record_ids": F.coalesce("record_ids", no_ids), "review_sequences": F.concat(F.coalesce("own", no_ints), F.when(F.col("alone_at").isNotNull(), F.array("alone_at")).otherwise(no_ints))}).drop("own", "alone_at")
     issues = stored(issues)
-    return Results(final, review, full, done.groups, projects, issues, done.matches, companies(final), counters(full, done.groups, projects, issues, final, review))
+    return Results(final, review, full, done.groups, projects, issues, done.matches, companies(final), counters(full, done.groups, projects, issues, final, review), rows)
 
 
 def companies(final: DataFrame) -> DataFrame:

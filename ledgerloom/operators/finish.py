@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import values as V
 from ledgerloom.functions.stored import stored
-from ledgerloom.functions.text import clean_udf, signal_udf, split_names_udf, status_column
+from ledgerloom.functions.text import clean_udf, hashed, json_list, quoted, signal_column, split_names_udf, status_column
 from ledgerloom.operators.collect import TABLE
 from ledgerloom.operators.matching import match_awards
 
@@ -31,19 +31,6 @@ def mention_order() -> Column:
     return F.struct("book", "sheet_idx", "table_idx", "row", "idx")
 
 
-def json_list(*parts: Column) -> Column:
-    return F.concat(F.lit("["), F.concat_ws(",", *[F.coalesce(p, F.lit("null")) for p in parts]), F.lit("]"))
-
-
-def quoted(value: Column) -> Column:
-    """A string as JSON; null stays null."""
-    return F.when(value.isNotNull(), F.regexp_replace(F.to_json(F.array(value)), r"(?s)^\[(.*)\]$", "$1"))
-
-
-def hashed(kind: str, body: Column) -> Column:
-    return F.concat(F.lit(f"{kind}_"), F.substring(F.sha2(body, 256), 1, 24))
-
-
 def _issue(df: DataFrame, code, message, ord_: Column, *, phase=0, scope: Column | None = None, standalone=False, field=None, source_row=None, source_cell=None, extra: Column | None = None) -> DataFrame:
     lit = lambda v, t: v.cast(t) if isinstance(v, Column) else F.lit(v).cast(t)
     return df.select(
@@ -65,10 +52,10 @@ def in_order(a: Column, b: Column) -> Column:
 def business_rows(rows: DataFrame, tables: DataFrame, sources: DataFrame) -> DataFrame:
     """Business rows with their split names, cleaned fields and the order of their workbook."""
     books = sources.select("sha", F.col("ord").alias("book"), "source_id", "file_name")
-    joined = rows.where("type = 'business'").join(F.broadcast(tables.drop("headers", "summary_markers")), TABLE).join(F.broadcast(books), "sha")
+    joined = rows.where("type = 'business'").join(tables.drop("headers", "summary_markers"), TABLE).join(books, "sha")
     v = lambda role: F.coalesce(F.col("values")[role], F.lit(""))
     return joined.withColumns(
-        {"names": split_names_udf("company", "separator"), "prizes": split_names_udf("award", F.lit("delimited")), "signal": signal_udf(v("notes"), "tender_markers"), "count_text": clean_udf(v("bidder_count")),
+        {"names": split_names_udf("company", "separator"), "prizes": split_names_udf("award", F.lit("delimited")), "signal": signal_column(clean_udf(v("notes")), F.col("tender_markers")), "count_text": clean_udf(v("bidder_count")),
          **{f"clean_{r}": clean_udf(v(r)) for r in ("bidder_price", "bidder_legal_person", "rank", "award_status")}}
     )
 

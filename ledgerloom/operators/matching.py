@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.text import similarity_udf
 
 SHOWN = 3
+_SHOWN = "struct<order:double,record_id:string,name:string,name_similarity:double,core_similarity:double,score:double,same_row:boolean>"
 REASONS = {
     "names": "按组内名称接近程度推荐",
     "list": "投标字段为名单或跨行合并，不能按同行推荐",
@@ -37,10 +38,9 @@ def scored_candidates(cases: DataFrame, records: DataFrame) -> DataFrame:
     return pairs.withColumns({"same_row": F.array_contains("rows", F.col("award_row")), "exact": F.col("candidate_key") == F.col("award_key"), "full": F.col("s.full"), "core": F.col("s.core"), "score": F.col("s.score")}).drop("s", "rows")
 
 
-def top_candidates(scored: DataFrame, n: int) -> DataFrame:
-    """The n likeliest of each case; ties go to the smaller id."""
-    w = Window.partitionBy("review_task_id").orderBy(F.desc("score"), "candidate")
-    return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+def with_places(scored: DataFrame) -> DataFrame:
+    """scored with place: 1 for the likeliest of each case; ties go to the smaller id."""
+    return scored.withColumn("place", F.row_number().over(Window.partitionBy("review_task_id").orderBy(F.desc("score"), "candidate")))
 
 
 def row_safety(groups: DataFrame, records: DataFrame, awards: DataFrame, summary: DataFrame) -> DataFrame:
@@ -65,37 +65,41 @@ def row_safety(groups: DataFrame, records: DataFrame, awards: DataFrame, summary
 
 
 def match_awards(groups: DataFrame, records: DataFrame, awards: DataFrame, resolutions: dict[str, dict]) -> DataFrame:
-    """A row for each case: status matched, unresolved or conflict; basis; selected and recommended participants."""
+    """A row for each case: status matched, unresolved or conflict; basis; selected and recommended participants.
+
+    Of a case's candidates only the likeliest SHOWN, and the exact, the same-row and the decided one, are gathered."""
     spark = groups.sparkSession
     cases = award_cases(awards)
-    scored = scored_candidates(cases, records)
+    chosen = [(k, r.get("record_id")) for k, r in resolutions.items() if r.get("decision") == "select_bidder"]
+    decided = spark.createDataFrame(chosen, "review_task_id string, decided string").withColumn("has_decision", F.lit(True))
+    cases = cases.join(decided, "review_task_id", "left")
+    scored = with_places(scored_candidates(cases, records))
     shown = F.struct((-F.col("score")).alias("order"), F.col("candidate").alias("record_id"), F.col("candidate_name").alias("name"), F.col("full").alias("name_similarity"), F.col("core").alias("core_similarity"), "score", "same_row")
+    one = lambda test: F.min(F.when(test, shown))
     summary = scored.groupBy("review_task_id").agg(
-        F.count("*").alias("candidate_count"), F.count_if("exact").alias("n_exact"), F.count_if("same_row").alias("n_same"), F.min(F.when(F.col("exact"), F.col("candidate"))).alias("exact_id"),
-        F.min(F.when(F.col("same_row"), F.col("candidate"))).alias("same_id"), F.collect_set("candidate").alias("ids"), F.array_sort(F.collect_list(shown)).alias("ranked"),
+        F.count("*").alias("candidate_count"), F.count_if("exact").alias("n_exact"), F.count_if("same_row").alias("n_same"), one(F.col("exact")).alias("exact_one"), one(F.col("same_row")).alias("same_one"),
+        one(F.col("candidate") == F.col("decided")).alias("decided_one"), one(F.col("place") == 1).alias("first_one"), F.array_sort(F.collect_list(F.when(F.col("place") <= SHOWN, shown))).alias("top"),
     )
-    first = F.get("ranked", F.lit(0))["record_id"]
     full = cases.join(summary, "review_task_id", "left").fillna(0, ["candidate_count", "n_exact", "n_same"])
-    full = full.withColumn("exact_elsewhere", (F.col("n_exact") > 0) & ((F.col("n_exact") > 1) | ~F.col("exact_id").eqNullSafe(F.col("same_id"))))
+    exact_id, same_id = F.col("exact_one.record_id"), F.col("same_one.record_id")
+    full = full.withColumn("exact_elsewhere", (F.col("n_exact") > 0) & ((F.col("n_exact") > 1) | ~exact_id.eqNullSafe(same_id)))
     full = full.join(row_safety(groups, records, awards, full), "group_id", "left")
-    chosen = [(k, r.get("record_id")) for k, r in resolutions.items() if r.get("decision") == "select_bidder"]
-    decided = spark.createDataFrame(chosen, "review_task_id string, decided string").withColumn("has_decision", F.lit(True))
-    full = full.join(F.broadcast(decided), "review_task_id", "left")  # user decisions, a handful a round
+    by_name = F.col("n_exact") == 1
     by_user = (F.col("n_exact") == 0) & F.coalesce("has_decision", F.lit(False))
-    known = F.coalesce(F.array_contains("ids", F.col("decided")), F.lit(False))
-    selected = F.when(F.col("n_exact") == 1, F.col("exact_id")).when(by_user & known, F.col("decided"))
-    full = full.withColumns({"selected": selected, "basis": F.when(F.col("n_exact") == 1, "exact_name").when(by_user & known, "user_selection").otherwise("unresolved"), "clash": (F.col("n_exact") > 1) | (by_user & ~known)})
-    claims = F.count("selected").over(Window.partitionBy("group_id", "selected"))
-    full = full.withColumn("clash", F.col("clash") | (F.col("selected").isNotNull() & (claims > 1)))
+    known = F.col("decided_one").isNotNull()
+    full = full.withColumns({
+        "selected": F.when(by_name, F.col("exact_one")).when(by_user & known, F.col("decided_one")),
+        "basis": F.when(by_name, "exact_name").when(by_user & known, "user_selection").otherwise("unresolved"),
+        "clash": (F.col("n_exact") > 1) | (by_user & ~known),
+    })
+    claims = F.count("selected").over(Window.partitionBy("group_id", "selected.record_id"))
     by_row = F.coalesce("safe", F.lit(False)) & (F.col("n_same") == 1)
-    full = full.withColumns({"applied": F.col("selected").isNotNull() & ~F.col("clash"), "recommended_record_id": F.when(by_row, F.col("same_id")).otherwise(first)})
-    full = full.withColumn("recommendation_basis", F.when(by_row, "same_row").otherwise("name_similarity"))
-    named = lambda c: F.get(F.filter("ranked", lambda r: r["record_id"] == F.col(c)), F.lit(0))["name"]
-    extra = F.filter("ranked", lambda r: r["record_id"].eqNullSafe(F.col("selected")) | r["record_id"].eqNullSafe(F.col("recommended_record_id")))
-    display = F.array_distinct(F.concat(F.slice("ranked", 1, SHOWN), extra))
+    full = full.withColumns({"clash": F.col("clash") | (F.col("selected").isNotNull() & (claims > 1)), "recommended": F.when(by_row, F.col("same_one")).otherwise(F.col("first_one")), "recommendation_basis": F.when(by_row, "same_row").otherwise("name_similarity")})
+    applied = F.col("selected").isNotNull() & ~F.col("clash")
+    also = F.array_sort(F.array_compact(F.array("selected", "recommended")))
     return full.select(
-        "group_id", "ord", "review_task_id", "original_award", "award_cell", "award_cells", F.when(F.col("applied"), "matched").when(F.col("clash"), "conflict").otherwise("unresolved").alias("status"), "basis",
-        F.when(F.col("applied"), F.col("selected")).alias("selected_record_id"), F.when(F.col("applied"), named("selected")).alias("selected_bidder_name"), "candidate_count", display.alias("candidates"),
-        "recommended_record_id", named("recommended_record_id").alias("recommended_bidder_name"), "recommendation_basis",
+        "group_id", "ord", "review_task_id", "original_award", "award_cell", "award_cells", F.when(applied, "matched").when(F.col("clash"), "conflict").otherwise("unresolved").alias("status"), "basis",
+        F.when(applied, F.col("selected.record_id")).alias("selected_record_id"), F.when(applied, F.col("selected.name")).alias("selected_bidder_name"), "candidate_count", F.array_distinct(F.concat(F.coalesce("top", F.array().cast(f"array<{_SHOWN}>")), also)).alias("candidates"),
+        F.col("recommended.record_id").alias("recommended_record_id"), F.col("recommended.name").alias("recommended_bidder_name"), "recommendation_basis",
         F.when(F.col("recommendation_basis") == "same_row", F.col("row_reason")).otherwise("组内名称最接近").alias("recommendation_reason"), "safe", "row_reason",
     )

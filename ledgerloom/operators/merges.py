@@ -26,14 +26,3 @@ def resolve(points: DataFrame, merges: DataFrame, cells: DataFrame) -> DataFrame
     placed = points.join(first, keys, "left").withColumns({"src_row": F.coalesce("anchor.top", "row"), "src_col": F.coalesce("anchor.left", "col"), "merged": F.coalesce("merged", F.lit(False))}).drop("anchor")
     content = cells.select(*SHEET, F.col("row").alias("src_row"), F.col("col").alias("src_col"), "text", "raw", "number", "formula", "error", "number_format")
     return placed.join(content, [*SHEET, "src_row", "src_col"], "left")
-
-
-def extents(cells: DataFrame, merges: DataFrame | None = None) -> DataFrame:
-    """max_row and max_col of each sheet's content."""
-    return cells.groupBy(*SHEET).agg(F.max("row").alias("max_row"), F.max("col").alias("max_col"))
-
-
-def clipped(merges: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Areas that touch their sheet's box (top, left, bottom, right)."""
-    b = boxes.select(*SHEET, *[F.col(x).alias(f"box_{x}") for x in ("top", "left", "bottom", "right")])
-    return merges.join(b, SHEET).where("top <= box_bottom and bottom >= box_top and left <= box_right and right >= box_left").select(merges.columns)

@@ -21,7 +21,23 @@ def _twice(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).count().where("count > 1")
 
 
-def rules(r: Results) -> dict[str, DataFrame]:
+def resolution_rules(r: Results, resolutions: list[dict]) -> dict[str, DataFrame]:
+    """What breaks the rules on user decisions (review_task_id, decision, record_id, company_name): each has its task, a
+    chosen company is applied as it was chosen, a task that was put off is not matched."""
+    said = [tuple(d.get(k) for k in ("review_task_id", "decision", "record_id", "company_name")) for d in resolutions]
+    given = r.matches.sparkSession.createDataFrame(said, "review_task_id string, decision string, record_id string, company_name string")
+    tasks = r.matches.select("review_task_id", "status", "basis", F.col("selected_record_id").alias("record_id"), F.col("selected_bidder_name").alias("company_name"))
+    applied = tasks.where("status = 'matched' and basis = 'user_selection'")
+    return {
+        "人工决定缺少对应任务": given.join(tasks, "review_task_id", "left_anti"),
+        "一个任务有多个人工决定": _twice(given, "review_task_id"),
+        "人工选择未应用": given.where("decision = 'select_bidder'").join(applied, ["review_task_id", "record_id", "company_name"], "left_anti"),
+        "不确定的任务被匹配": given.where("decision = 'deferred'").join(tasks.where("status = 'matched'"), "review_task_id", "left_semi"),
+        "未经决定的人工匹配": applied.join(given.where("decision = 'select_bidder'"), "review_task_id", "left_anti"),
+    }
+
+
+def rules(r: Results, resolutions: list[dict] | None = None) -> dict[str, DataFrame]:
     """What breaks each rule."""
     rec, groups = r.records, r.groups
     known = r.issues.select(F.col("issue_id").alias("i"))
@@ -32,7 +48,8 @@ def rules(r: Results) -> dict[str, DataFrame]:
     members = rec.select("group_id", "record_id")
     review_links = rec.where("review_sequence is not null").select(F.col("review_sequence").alias("seq")).union(r.issues.where("standalone").select(F.explode("review_sequences").alias("seq")))
     spelled = rec.select("name", F.explode("occurrences").alias("o")).where("name <> '' and o.raw <> ''").select("name", name_key_udf("name").alias("a"), name_key_udf(F.col("o.raw")).alias("b"))
-    return {
+    asked = r.issues.select(F.explode("review_sequences").alias("seq")).distinct()
+    return (resolution_rules(r, resolutions) if resolutions is not None else {}) | {
         "final 序号不连续": _dense(r.final, "seq"),
         "review 序号不连续": _dense(r.review, "seq"),
         "记录 ID 重复": _twice(rec, "record_id"),
@@ -49,6 +66,9 @@ def rules(r: Results) -> dict[str, DataFrame]:
         "置信度无效": r.final.where(~F.coalesce(F.expr("try_cast(`置信度` as double)").between(0, 1), F.lit(False))),
         "复核项未全部待复核": r.review.where(F.col("复核状态") != V.PENDING),
         "存在没有审计关联的复核记录": r.review.select("seq").join(review_links.distinct(), "seq", "left_anti"),
+        "复核记录没有对应的问题": r.review.select("seq").join(asked, "seq", "left_anti"),
+        "问题指向不存在的复核记录": asked.join(r.review, "seq", "left_anti"),
+        "问题指向不属于它的记录": r.issues.select(F.col("issue_id").alias("i"), F.explode("final_sequences").alias("final_sequence")).join(rec.select("final_sequence", F.explode("group_issues").alias("g")).select("final_sequence", F.col("g.issue_id").alias("i")), ["i", "final_sequence"], "left_anti"),
         "候选不在本组": pairs.join(members, ["group_id", "record_id"], "left_anti"),
         "选定企业不在本组": chosen.join(members, ["group_id", "record_id"], "left_anti"),
         "一家企业对应多条中标": chosen.groupBy("record_id").count().where("count > 1"),
@@ -57,16 +77,16 @@ def rules(r: Results) -> dict[str, DataFrame]:
     }
 
 
-def broken(r: Results) -> DataFrame:
+def broken(r: Results, resolutions: list[dict] | None = None) -> DataFrame:
     """(rule, n) for all rules."""
     out = None
-    for name, found in rules(r).items():
+    for name, found in rules(r, resolutions).items():
         one = found.agg(F.count("*").alias("n")).select(F.lit(name).alias("rule"), "n")
         out = one if out is None else out.union(one)
     return out
 
 
-def check(r: Results) -> None:
-    bad = broken(r).where("n > 0").first()
+def check(r: Results, resolutions: list[dict] | None = None) -> None:
+    bad = broken(r, resolutions).where("n > 0").first()
     if bad:
         raise LedgerError(f"{bad['rule']}: {bad['n']}")

@@ -27,7 +27,7 @@ def build(books: Workbooks, plan: dict, generated_at: str | None = None, failure
     if not aware:
         raise LedgerError("生成时间必须为带时区的 ISO 8601")
     rows, tables, _ = assign(books, plan)
-    refuse_revisions(rows)
+    refuse_revisions(rows, books)
     done = finish(rows, tables, books.sources, books.sheets, resolutions)
     out = emit(rows, done, books, plan, timestamp, failures)
     if out.final.isEmpty() and out.review.isEmpty():

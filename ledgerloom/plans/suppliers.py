@@ -37,7 +37,7 @@ def supplier_ledger(spark: SparkSession, supplier: DataFrame, nation: DataFrame)
     plan = {"schema_version": 1, "sources": [{"file_name": "suppliers.xlsx", "sha256": digest, "sheets": [{"name": f"S{i}", "action": "parse", "tables": [table | {"data_end_row": ends[i]}]} for i in range(len(keys))]}]}
     books = Workbooks(
         spark.createDataFrame([(digest, "source_" + digest[:24], "suppliers.xlsx", 0, "xlsx", 0)], S.SOURCES),
-        spark.createDataFrame([(digest, i, f"S{i}", False) for i in range(len(keys))], S.SHEETS),
+        spark.createDataFrame([(digest, i, f"S{i}", False, [], []) for i in range(len(keys))], S.SHEETS),
         cells,
         spark.createDataFrame([], S.MERGES),
     )

@@ -188,9 +188,11 @@ def test_publish(batch, tmp_path):
 
 def test_revisions(spark):
     book, source = fixture("header", [["项目名称", "投标单位名称"], ["甲", "甲公司"], ["项目名称", "投标单位名称"]], project_mode="repeated")
-    rows, _, _ = assign(workbooks(spark, [book]), {"sources": [source]})
-    with pytest.raises(PlanRevision, match="新表头"):
-        refuse_revisions(rows)
+    books = workbooks(spark, [book])
+    rows, _, _ = assign(books, {"sources": [source]})
+    with pytest.raises(PlanRevision, match="台账 第 3 行疑似重复/新表头") as e:
+        refuse_revisions(rows, books)
+    assert e.value.evidence == {"source": "header.xlsx", "sheet": "台账", "row": 3, "row_values": {"A3": "项目名称", "B3": "投标单位名称"}}
     book, source = fixture("counts", [BIDS, ["甲", "甲公司", 2], ["甲", "乙公司", 2]], **ANCHOR)
     with pytest.raises(PlanRevision, match="每行重复"):
         assign(workbooks(spark, [book]), {"sources": [source]})
