@@ -12,7 +12,6 @@ from pyspark.sql import SparkSession
 
 from ledgerloom.functions.errors import LedgerError, PlanRevision
 from ledgerloom.operators import profile
-from ledgerloom.operators.collect import assign
 from ledgerloom.plans import mapping, publish, review
 from ledgerloom.plans.engine import build, now
 from ledgerloom.sources.scan import read_workbooks
@@ -70,8 +69,7 @@ def _finish(spark, books, failures, plan, output: str, generated_at: str, decisi
         _say({"kind": "award_review_required", "message": "请确认非精确中标名称对应的投标企业。", "state": str(path), "review_task_count": state[1]["review_task_count"] if state else total, "remaining_task_count": left, "questions": asked, "validation_errors": errors or [], "summary": results.summary.first().asDict()})
         return NEEDS_ANSWERS
     progress.to("publish")
-    rows, _, _ = assign(books, plan)
-    ledger = publish.ledger_of(results, rows, books, plan, generated_at, failures, decisions)
+    ledger = publish.ledger_of(results, results.rows, books, plan, generated_at, failures, decisions)
     result = publish.publish(output, results, ledger)
     progress.to(None)
     if state:
