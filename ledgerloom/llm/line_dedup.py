@@ -115,6 +115,35 @@ def common_lines(rows: DataFrame, min_docs: int) -> DataFrame:
     return dealt.mapInArrow(_common(dict(counts), min_docs), "doc_id long, v long, at binary")
 
 
+def keep_bitmaps(docs: DataFrame, min_docs: int, min_chars: int) -> DataFrame:
+    """(doc_id, v, keep) of the documents that lose lines: a bit a line up to the last one that goes, in little-endian order,
+    1 = keep, compressed with zlib. Later lines stay. docs: doc_id, text, v (xxhash64 of the text)."""
+    drops = common_lines(line_rows(docs, min_chars), min_docs).groupBy("doc_id", "v").agg(F.collect_set("at").alias("drops"))  # as many as the document has lines
+
+    def rows(batches):
+        for batch in batches:
+            keeps = []
+            for ats in batch.column(2).to_pylist():
+                gone = np.frombuffer(b"".join(ats), "<u4")
+                keep = np.ones(int(gone.max()) // 8 * 8 + 8, bool)  # the bits that fill the last byte keep what there may be
+                keep[gone] = False
+                keeps.append(zlib.compress(np.packbits(keep, bitorder="little").tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keeps, pa.binary())], names=["doc_id", "v", "keep"])
+
+    return drops.mapInArrow(trimmed(rows), "doc_id long, v long, keep binary")
+
+
+def kept_lines(text: bytes, keep: bytes | None) -> tuple[int, np.ndarray, bytes]:
+    """(lines, bits, text of the kept lines) of a text and its bitmap."""
+    lines = text.split(b"\n")
+    bits = np.ones(len(lines), bool)
+    if keep:
+        known = np.unpackbits(np.frombuffer(zlib.decompress(keep), np.uint8), bitorder="little")[: len(lines)]
+        bits[: len(known)] = known
+        text = b"\n".join([x for x, k in zip(lines, bits.tolist(), strict=True) if k])
+    return len(lines), bits, text
+
+
 def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """Marks the lines whose key stands in min_docs documents or more.
 
@@ -123,29 +152,22 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataF
     repeated rows count once, and each gets the same result. Null or empty text: one empty line, kept. A null doc_id
     is an id like any other. An empty table gives an empty result.
 
-    Returns doc_id, n_lines, n_dropped, keep (zlib-compressed bitmap, a bit a line in little-endian order, 1 = keep;
-    null where all lines stay), kept_text.
+    Returns doc_id, n_lines, n_dropped, keep (see keep_bitmaps(); null where all lines stay), kept_text.
     """
     docs = documents_of(docs).withColumn("v", F.xxhash64("text"))
-    drops = common_lines(line_rows(docs.select("doc_id", "text", "v"), min_chars), min_docs)
-    drops = drops.groupBy("doc_id", "v").agg(F.collect_set("at").alias("drops"))  # as many as the document has lines
+    bitmaps = keep_bitmaps(docs.select("doc_id", "text", "v"), min_docs, min_chars)
 
     def apply(batches):
         for batch in pieces(batches):
-            n_lines, n_dropped, keeps, kept = [], [], [], []
-            for text, ats in zip(utf8(batch), batch.column(2).to_pylist(), strict=True):
-                lines = text.split(b"\n")
-                keep = np.ones(len(lines), bool)
-                if ats:
-                    keep[np.frombuffer(b"".join(ats), "<u4")] = False
-                    text = b"\n".join([x for x, k in zip(lines, keep.tolist(), strict=True) if k])
-                n_lines.append(len(lines))
-                n_dropped.append(len(lines) - int(keep.sum()))
-                keeps.append(zlib.compress(np.packbits(keep, bitorder="little").tobytes()) if ats else None)
+            n_lines, n_dropped, kept = [], [], []
+            for raw, keep in zip(utf8(batch), batch.column(2).to_pylist(), strict=True):
+                n, bits, text = kept_lines(raw, keep)
+                n_lines.append(n)
+                n_dropped.append(n - int(bits.sum()))
                 kept.append(text)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(keeps, pa.binary()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_lines", "n_dropped", "keep", "kept_text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), batch.column(2), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_lines", "n_dropped", "keep", "kept_text"])
 
-    joined = docs.alias("d").join(drops.alias("k"), F.expr("d.doc_id <=> k.doc_id AND d.v = k.v"), "left").select("d.doc_id", "d.text", "k.drops")
+    joined = docs.alias("d").join(bitmaps.alias("k"), F.expr("d.doc_id <=> k.doc_id AND d.v = k.v"), "left").select("d.doc_id", "d.text", "k.keep")
     return joined.mapInArrow(trimmed(apply), "doc_id long, n_lines long, n_dropped long, keep binary, kept_text string")
 
 
@@ -155,19 +177,13 @@ def without_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1
     A null text stays null."""
     v = F.xxhash64(F.col("text").cast("string"))
     given = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), v.alias("hash"))
-    drops = common_lines(line_rows(documents_of(docs).withColumn("v", F.xxhash64("text")), min_chars), min_docs)
-    drops = drops.groupBy("doc_id", "v").agg(F.collect_set("at").alias("drops"))
-    joined = given.join(drops, F.expr("id <=> doc_id AND hash = v"), "left").select("row.*", F.col("drops").alias("__drops"))
+    bitmaps = keep_bitmaps(documents_of(docs).withColumn("v", F.xxhash64("text")), min_docs, min_chars)
+    joined = given.join(bitmaps, F.expr("id <=> doc_id AND hash = v"), "left").select("row.*", F.col("keep").alias("__keep"))
 
     def rows(batches):
         for batch in pieces(batches):
             columns = dict(zip(batch.schema.names, batch.columns, strict=True))
-            texts = []
-            for raw, text, ats in zip(utf8(batch), strings(batch), columns.pop("__drops").to_pylist(), strict=True):
-                if ats:
-                    gone = set(np.frombuffer(b"".join(ats), "<u4").tolist())
-                    text = b"\n".join([x for i, x in enumerate(raw.split(b"\n")) if i not in gone]).decode()
-                texts.append(text)
+            texts = [kept_lines(raw, keep)[2].decode() if keep else text for raw, text, keep in zip(utf8(batch), strings(batch), columns.pop("__keep").to_pylist(), strict=True)]
             columns["text"] = pa.array(texts, pa.string())
             if "n_chars" in columns:
                 columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
