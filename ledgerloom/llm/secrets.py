@@ -31,21 +31,51 @@ BANDS = (24, 32, 40, 64)  # lengths at which a band begins, after the first
 BINS = 20
 
 
-def _placed(text: Column, pattern: str, kind: str) -> Column:
-    """Array of (start, kind rank, end, match) of all matches, offsets in code points."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    pairs = F.arrays_zip(matches.alias("m"), F.slice(gaps, 1, F.size(matches)).alias("g"))
-    rank = KINDS.index(kind)
-    spot = "struct<start:int,rank:int,end:int,match:string>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{spot}>").alias("out"))
-
-    def step(acc, x):
-        begin = acc["at"] + x["g"]
-        end = begin + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), x["m"].alias("match")))).alias("out"))
-
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda a: a["out"])).otherwise(F.array().cast(f"array<{spot}>"))
+def _before(df: DataFrame, values: str, name: str, op) -> DataFrame:
+    """df with name: for each entry of the array `values` (numbers from 0 up) the op (a sum or a maximum) of those before it.
+
+    Arrays can only be grown by copying them, so the scan is done in blocks of about the square root of their length, then
+    over the blocks: the work is n times the root of n for n entries, instead of its square."""
+    n = F.size(values)
+    none = F.array().cast("array<bigint>")
+    start = F.struct(F.lit(0).cast("bigint").alias("all"), none.alias("out"))
+    step = lambda acc, x: F.struct(op(acc["all"], x).alias("all"), F.concat(acc["out"], F.array(acc["all"])).alias("out"))
+    side = F.greatest(F.lit(1), F.ceil(F.sqrt(n.cast("double"))).cast("int"))
+    cut_up = F.transform(F.sequence(F.lit(0), F.expr(f"cast((size({values}) - 1) div {_SIDE} as int)")), lambda k: F.slice(F.col(values), k * F.col(_SIDE) + 1, F.col(_SIDE)))
+    out = df.withColumn(_SIDE, side).withColumn("_blocks", F.when(n > 0, F.transform(cut_up, lambda b: F.aggregate(b, start, step))))
+    out = out.withColumn("_tops", F.aggregate(F.transform("_blocks", lambda b: b["all"]), start, step)["out"])
+    whole = F.flatten(F.zip_with("_tops", "_blocks", lambda t, b: F.transform(b["out"], lambda x: op(t, x))))
+    return out.withColumn(name, F.when(n > 0, whole).otherwise(none)).drop(_SIDE, "_blocks", "_tops")
+
+
+_SIDE = "_side"
+_SPOT = "array<struct<start:int,rank:int,end:int,match:string>>"
+
+
+def _placed(df: DataFrame, text: str, pattern: str, kind: str, name: str) -> DataFrame:
+    """df with name: array of (start, kind rank, end, match) of all matches in the column text, offsets in code points."""
+    there = F.col(text).rlike(pattern)
+    out = df.withColumn("_found", F.when(there, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    out = out.withColumn("_gaps", F.when(there, F.transform(F.split(F.col(text), pattern, -1), lambda g: F.length(g).cast("bigint"))).otherwise(F.array().cast("array<bigint>")))
+    out = out.withColumn("_gaps", F.slice("_gaps", 1, F.size("_found")))
+    out = out.withColumn("_steps", F.zip_with("_gaps", "_found", lambda g, m: g + F.length(m)))
+    out = _before(out, "_steps", "_ahead", lambda a, b: a + b)
+    begins = F.zip_with("_ahead", "_gaps", lambda a, g: a + g)
+    spot = lambda b, m: F.struct(b.cast("int").alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (b + F.length(m)).cast("int").alias("end"), m.alias("match"))
+    return out.withColumn(name, F.zip_with(begins, "_found", spot).cast(_SPOT)).drop("_found", "_gaps", "_steps", "_ahead")
+
+
+def _free(df: DataFrame, tokens: str, base: str) -> DataFrame:
+    """df, its tokens without those that overlap a span of base. Tokens (at their end) and base spans (at their start) are
+    sorted together; a token is free if no base span before it ends after the token's start."""
+    event = lambda at, kind, reach, t: F.struct(at.alias("at"), F.lit(kind).alias("kind"), reach.cast("bigint").alias("reach"), t.alias("t"))
+    none = F.lit(None).cast(_SPOT[6:-1])
+    events = F.array_sort(F.concat(F.transform(tokens, lambda t: event(t["end"], 0, F.lit(0), t)), F.transform(base, lambda b: event(b["start"], 1, b["end"], none))))
+    out = df.withColumn("_events", F.when(F.size(tokens) > 0, events).otherwise(F.array().cast(f"array<struct<at:int,kind:int,reach:bigint,t:{_SPOT[6:-1]}>>")))
+    out = out.withColumn("_reach", F.transform("_events", lambda e: e["reach"]))
+    out = _before(out, "_reach", "_reached", lambda a, b: F.greatest(a, b))
+    kept = F.filter(F.zip_with("_events", "_reached", lambda e, r: F.when((e["kind"] == 0) & (r <= e["t"]["start"]), e["t"])), lambda t: t.isNotNull())
+    return out.withColumn(tokens, kept).drop("_events", "_reach", "_reached")
 
 
 def _upper_tail(z: Column) -> Column:
@@ -100,19 +130,19 @@ def _band(length: Column) -> Column:
 
 def marked(docs: DataFrame) -> DataFrame:
     """row, doc_id, base spans and candidate tokens of every whole text."""
-    text = F.coalesce("text", F.lit(""))
-    given = documents_of(docs).select("doc_id", text.alias("text"))
-    assign = F.filter(_placed(F.col("text"), ASSIGN, "assign"), lambda s: F.length(F.regexp_extract(s["match"], ASSIGN, 2)) >= 8)
-    found = given.select("doc_id", assign.alias("assign"), _placed(F.col("text"), ACCESS, "access").alias("access"), _placed(F.col("text"), HEX, "hex").alias("hex"), _placed(F.col("text"), CANDIDATE, "random").alias("tokens"))
-    found = found.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
-    free = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return found.select(F.monotonically_increasing_id().alias("row"), "doc_id", *[F.size(c).cast("long").alias(f"n_{c}") for c in KINDS[:3]], F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"))).alias("base"), free.alias("tokens"))
+    found = documents_of(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    for kind, pattern in zip(KINDS, (ASSIGN, ACCESS, HEX, CANDIDATE), strict=True):
+        found = _placed(found, "text", pattern, kind, kind)
+    found = found.drop("text").withColumn("assign", F.filter("assign", lambda s: F.length(F.regexp_extract(s["match"], ASSIGN, 2)) >= 8))
+    found = found.withColumn("base", F.array_sort(F.concat(*KINDS[:3])))
+    found = _free(found, "random", "base").withColumnRenamed("random", "tokens")
+    return found.select(F.monotonically_increasing_id().alias("row"), "doc_id", *[F.size(c).cast("long").alias(f"n_{c}") for c in KINDS[:3]], F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"))).alias("base"), "tokens")
 
 
 def _parts(tokens: DataFrame, pattern: str) -> DataFrame:
     """tokens, those with signs of both families cut into the long runs of pattern that they hold."""
     mixed = F.col("match").rlike("[+/]") & F.col("match").rlike("[-_]")
-    cut_up = tokens.where(mixed).select("row", F.col("start").alias("from"), F.explode(_placed(F.col("match"), pattern, "random")).alias("t"))
+    cut_up = _placed(tokens.where(mixed), "match", pattern, "random", "parts").select("row", F.col("start").alias("from"), F.explode("parts").alias("t"))
     cut_up = cut_up.select("row", (F.col("from") + F.col("t.start")).alias("start"), "t.rank", (F.col("from") + F.col("t.end")).alias("end"), "t.match")
     return tokens.where(~mixed).union(cut_up)
 
