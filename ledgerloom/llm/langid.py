@@ -29,15 +29,14 @@ def _letter_table() -> np.ndarray:
     """Of each code point: is it a letter (general category L)?"""
     global _letters
     if _letters is None:
-        _letters = np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(0x30000)), bool, 0x30000)
+        _letters = np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)), bool, 0x110000)
     return _letters
 
 
 def trigram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, counts) of the trigrams of a whole text: letters lower-cased, all else one blank; none without letters."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
-    table = _letter_table()
-    letter = table[np.minimum(points, len(table) - 1)]
+    letter = _letter_table()[points]
     if not letter.any():
         return np.empty(0, np.int64), np.empty(0, np.int64)
     keep = letter | np.r_[True, letter[:-1]]
@@ -101,27 +100,37 @@ class Model:
             best[better], chosen[better], value[better] = pi[v > value[open_]], m, v[v > value[open_]]
         return best, chosen
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float, int]]:
-        out: list = [(UNDETERMINED, 0.0, 0)] * len(texts)
+    def _fitted(self, texts: list[str | None]):
+        """(places, trigrams, proportions, number of languages) of the texts that have trigrams, some at a time."""
         held, at, n = [], [], 0
-
-        def flush():
-            pi, chosen = self.mixtures(held)
-            top = pi.argmax(axis=1)
-            for i, t, s, m in zip(at, top.tolist(), pi[np.arange(len(at)), top].tolist(), chosen.tolist(), strict=True):
-                out[i] = (self.languages[t], min(1.0, max(0.0, s)), m)
-
         for i, text in enumerate(texts):
             found = trigram_counts(text) if text and self.languages else (np.empty(0), np.empty(0))
             if len(found[0]):
                 held.append(found)
                 at.append(i)
                 n += len(found[0])
-                if n >= _TOGETHER:
-                    flush()
-                    held, at, n = [], [], 0
+            if n >= _TOGETHER:
+                yield at, held, *self.mixtures(held)
+                held, at, n = [], [], 0
         if held:
-            flush()
+            yield at, held, *self.mixtures(held)
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, int]]:
+        out: list = [(UNDETERMINED, 0.0, 0)] * len(texts)
+        for at, _, pi, chosen in self._fitted(texts):
+            top = pi.argmax(axis=1)
+            for i, t, s, m in zip(at, top.tolist(), pi[np.arange(len(at)), top].tolist(), chosen.tolist(), strict=True):
+                out[i] = (self.languages[t], min(1.0, max(0.0, s)), m)
+        return out
+
+    def identified(self, texts: list[str | None]) -> list[bool]:
+        """Is a text's mixture not clearly less likely than trigrams at random?"""
+        out = [False] * len(texts)
+        for at, held, pi, _ in self._fitted(texts):
+            fit = _Fit(self.p, held)
+            random = -fit.total[:, 0] / _OVERLAP * np.log(len(self.p))
+            for i, good in zip(at, (fit.fitness(pi) > random - CLEARLY).tolist(), strict=True):
+                out[i] = good
         return out
 
 
@@ -185,16 +194,21 @@ def identify_held_out(docs: DataFrame, modulus: int = 3, remainder: int = 1, per
     return identify(marked, model, "held_out").select("doc_id", "held_out", "lang_pred", "score", "n_langs")
 
 
+CLEARLY = 30.0  # of log-likelihood, that "no language" must be ahead by
+
+
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, all columns, whose text has a language: those that identify() calls `und` go, which
-    have no letter. Where no language was learned, texts with a letter stay all the same."""
+    """The rows of docs, all columns, whose text is in the learned languages.
+
+    Rejected are texts without a letter, and texts for which "no language" (all trigrams equally likely) is clearly likelier
+    than the chosen mixture, as for other scripts or encoded data. Where no language was learned, texts with a letter stay."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches):
         for batch in pieces(batches):
             texts = strings(batch)
             if sent.value.languages:
-                kept = [f[0] != UNDETERMINED for f in sent.value.predict(texts)]
+                kept = sent.value.identified(texts)
             else:
                 kept = [len(trigram_counts(t or "")[0]) > 0 for t in texts]
             yield batch.filter(pa.array(kept))
