@@ -148,7 +148,7 @@ def _rising(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _sample(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int, per_class: int) -> DataFrame:
     """(text, toxic) of the training documents: per_class of each class on average, by a hash of the id, copies once."""
-    marks = labels.where("toxic is not null and doc_id is not null").where(~held_out(modulus, remainder)).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    marks = labels.where("toxic is not null and doc_id is not null").where(~held_out(modulus, remainder)).groupBy(F.col("doc_id").cast("long").alias("id")).agg((F.max(F.col("toxic").cast("double")) > 0).cast("int").alias("toxic"))
     rate = {r[0]: min(1.0, per_class / r[1]) for r in marks.groupBy("toxic").count().collect()}
     draw = F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1_000_000)) / 1_000_000
     wanted = marks.where(draw < F.coalesce(*[F.when(F.col("toxic") == k, F.lit(v)) for k, v in rate.items()], F.lit(0.0)))
@@ -168,11 +168,12 @@ def _sample(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int, pe
     return cut(marked.groupBy("sign", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"))
 
 
-def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0, per_class: int = 4000, max_words: int = 200_000) -> Scorer:
+def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0, per_class: int = 4000) -> Scorer:
     """Learns from labelled documents that are not held out.
 
-    per_class bounds the sample (documents of each class, on average; whole texts); max_words bounds the token table,
-    by significance. Words are counted on the executors. Without both classes all scores are alike.
+    per_class bounds the sample (documents of each class, on average; whole texts), and with it the table of its
+    significant words, which is not cut. A toxic value above 0 marks the class. Words are counted on the executors. Without
+    both classes all scores are alike.
     """
     sample = _sample(docs, labels, modulus, remainder, per_class)
 
@@ -196,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int =
     share = n1_all / (n0_all + n1_all)
     n, part = F.col("n0") + F.col("n1"), lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / ((F.col("n0") + F.col("n1")) * p))).otherwise(0.0)
     z = F.when(F.col("n1") > n * share, 1).otherwise(-1) * F.sqrt(F.greatest(F.lit(0.0), 2 * (part("n1", share) + part("n0", 1 - share))))
-    table = counts.select("word", "n0", delta.alias("delta"), z.alias("z")).where(F.abs("z") > math.sqrt(2 * math.log(max(2, sums[2])))).orderBy(F.desc(F.abs("z")), "word").limit(max_words).collect()
+    table = counts.select("word", "n0", delta.alias("delta"), z.alias("z")).where(F.abs("z") > math.sqrt(2 * math.log(max(2, sums[2])))).collect()  # significant words of the sample
     words = {r["word"]: (abs(r["z"]), max(-3.0, min(8.0, r["delta"]))) for r in table}
     found = np.zeros((1 << 12) + 1, np.int64)  # how often clean text has each token score, in steps
 
@@ -241,7 +242,7 @@ def toxicity(docs: DataFrame, scorer: Scorer, modulus: int = 5, remainder: int =
     Repeated rows get equal results. Returns doc_id, held_out, score, predicted, spans (token positions and excess of
     significant segments).
     """
-    sent = docs.sparkSession.sparkContext.broadcast(scorer)  # max_words entries at most
+    sent = docs.sparkSession.sparkContext.broadcast(scorer)  # significant words of the bounded sample
 
     def rows(batches):
         s = sent.value
