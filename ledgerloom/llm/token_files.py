@@ -56,7 +56,7 @@ class WordTokens:
         special = tuple(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values())
         described = self.tokenizer.to_str()
         safe = '"use_regex":true' in described and '"normalizer":null' in described
-        self.units = Units(self._learn, self._whole, special if safe else (b"",), limit=400_000)
+        self.units = Units(self._learn, self._whole, special if safe else (b"",), limit=1_000_000)
         self.starts = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.starts[[i for token, i in self.tokenizer.get_vocab().items() if token[0] == "\u0120"]] = True  # the byte-level sign for a blank
 
@@ -151,19 +151,18 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
 
 def pack(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, bytes]:
     """(payload, checkpoints) of one block."""
-    size = lengths[ids].astype(np.int64)
-    ends = np.cumsum(size)
+    aligned = codes << (np.uint64(64) - np.maximum(lengths, 1).astype(np.uint64))  # each code at the high end of a word
+    size = lengths[ids].astype(np.uint64)
+    ends = np.cumsum(size, dtype=np.uint64)
     starts = ends - size
     bits = int(ends[-1]) if len(ids) else 0
     words = np.zeros(bits // 64 + 2, np.uint64)
     if len(ids):
-        word, shift = starts >> 6, 64 - (starts & 63) - size  # below 0: the code's low bits go to the next word
-        code = codes[ids]
-        right = np.where(shift >= 0, code << np.maximum(shift, 0).astype(np.uint64), code >> np.maximum(-shift, 0).astype(np.uint64))
+        word, bit, code = (starts >> np.uint64(6)).astype(np.int64), starts & np.uint64(63), aligned[ids]
         first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-        words[word[first]] = np.bitwise_or.reduceat(right, first)
-        over = np.flatnonzero(shift < 0)
-        words[word[over] + 1] |= code[over] << (64 + shift[over]).astype(np.uint64)
+        words[word[first]] = np.bitwise_or.reduceat(code >> bit, first)
+        over = np.flatnonzero(bit + size > np.uint64(64))  # the code's low bits go to the next word
+        words[word[over] + 1] |= code[over] << (np.uint64(64) - bit[over])
     return words.astype(">u8").tobytes()[: (bits + 7) // 8], starts[::STEP].astype("<u4").tobytes()
 
 
@@ -175,25 +174,21 @@ class Decoder:
         used = np.flatnonzero(lengths)
         order = used[np.lexsort((used, lengths[used]))]
         sizes = lengths[order].astype(np.int64)
-        spread = 1 << (limit - sizes)
-        self.ids = np.zeros(1 << limit, np.uint32)
-        self.sizes = np.ones(1 << limit, np.uint8)
-        total = int(spread.sum())
-        self.ids[:total] = np.repeat(order, spread)
-        self.sizes[:total] = np.repeat(sizes, spread)
+        spread = np.repeat((order << 5 | sizes).astype(np.uint32), 1 << (limit - sizes))  # a code has 31 bits at most
+        self.table = np.ones(1 << limit, np.uint32)
+        self.table[: len(spread)] = spread
 
     def block(self, payload: bytes, checkpoints: bytes, n: int) -> np.ndarray:
-        at = np.frombuffer(checkpoints, "<u4").astype(np.int64)
-        raw = np.frombuffer(payload + bytes(16), np.uint8)
-        out = np.zeros((STEP, len(at)), np.uint32)
-        mask = np.int64((1 << self.limit) - 1)
-        wide = raw[:-4].astype(np.int64) << 24 | raw[1:-3].astype(np.int64) << 16 | raw[2:-2].astype(np.int64) << 8 | raw[3:-1]
-        last = len(wide) - 1
-        for k in range(min(STEP, n)):
-            look = (wide[np.minimum(at >> 3, last)] >> (32 - self.limit - (at & 7))) & mask
-            out[k] = self.ids[look]
-            at += self.sizes[look]
-        return out.T.reshape(-1)[:n]
+        at = np.frombuffer(checkpoints, "<u4").copy()
+        raw = np.frombuffer(payload + bytes(STEP * self.limit // 8 + 8), np.uint8).astype(np.uint32)  # lanes run on past the end
+        wide = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]
+        out = np.empty((min(STEP, n), len(at)), np.uint32)
+        low = np.uint32(32 - self.limit)
+        for k in range(len(out)):
+            found = self.table.take(wide.take(at >> 3) << (at & 7) >> low)
+            np.right_shift(found, 5, out=out[k])
+            at += found & 31
+        return np.ascontiguousarray(out.T).reshape(-1)[:n] if len(out) == STEP else out[:, 0]
 
 
 # ---------------------------------------------------------------- writing and reading
@@ -207,7 +202,7 @@ def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         units = remembered(path).units
         total = np.zeros(0, np.int64)
         pack = zstandard.ZstdCompressor(level=1).compress
-        for batch in pieces(batches, limit=1 << 20):
+        for batch in pieces(batches, limit=2 << 20):
             ids, ends = units.encode(*buffers(batch.column(1)))
             starts = np.r_[0, ends[:-1]]
             end = np.uint32(end_id)
