@@ -36,7 +36,7 @@ GRAM = 6
 ROWS = 2
 _SALTS = [np.uint64(0x9E3779B97F4A7C15 * (r + 1) % 2**64) for r in range(ROWS)]
 _TEXT = 1 << 20  # bytes of text hashed at a time
-_CHUNK = 1 << 20  # candidate windows that a task holds before it settles and sends them
+_CHUNK = 1 << 19  # candidate windows that a task holds before it settles and sends them
 
 
 class Sketch:
