@@ -219,7 +219,7 @@ def _count(cosine: float):
     return work
 
 
-def embedding_groups(embeddings: DataFrame, cosine: float = 0.98, limit: int = 2048, recall: float = 0.9999, fill: int = 1024) -> DataFrame:
+def embedding_groups(embeddings: DataFrame, cosine: float = 0.98, limit: int = 1024, recall: float = 0.9999, fill: int = 1024) -> DataFrame:
     """Links vectors of one label with a cosine of at least `cosine`.
 
     embeddings: vec_id, embedding (array of float or double), label; other columns are ignored. Null labels and vectors
