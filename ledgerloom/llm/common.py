@@ -18,16 +18,20 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only where none is named (tests)."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that the cluster names in spark.checkpoint.dir. Where none is named a session on one machine (tests) gets
+    a temporary one; on a cluster that would not be shared, so it is refused."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(_OWN, None)
     if not folder:
-        folder = spark.conf.get("ledgerloom.own.checkpoint.dir", None)
-        if not folder:
-            folder = tempfile.mkdtemp(prefix="ledgerloom-checkpoint-")
-            spark.conf.set("ledgerloom.own.checkpoint.dir", folder)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="ledgerloom-checkpoint-")
+        spark.conf.set(_OWN, folder)
     return folder
 
 
+_OWN = "ledgerloom.own.checkpoint.dir"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
@@ -40,9 +44,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that no later step reads, in whatever store it is."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Fewer rows in an Arrow batch than Spark's 10,000: texts are long, and each task holds a batch in two processes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    """Fewer rows in an Arrow batch than Spark's 10,000, where the session does not say how many: texts are long, and each
+    task holds a batch in two processes. Only the queries and the pipeline's stages ask for it, the operators don't."""
+    if _BATCH not in spark.conf.getAll:
+        spark.conf.set(_BATCH, rows)
+
+
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def trimmed(work: Callable) -> Callable:

@@ -1,10 +1,13 @@
 """Learned operators, embeddings, secrets and the pipeline."""
 
 import hashlib
+import math
 import random
 import re
+import time
 import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -221,6 +224,26 @@ def test_secrets(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_secrets_of_a_long_text(spark):
+    """A megabyte with 50,000 assignments and as many other tokens beside them, in time that does not grow with their square."""
+    text = " ".join(f"token=abcdefgh{i:05d}" if i % 2 else f"{i:x}-key_{i * 7919:020d}" for i in range(100_000))
+    began = time.perf_counter()
+    (r,) = secrets.secret_digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    took = time.perf_counter() - began
+    want = base_spans(text)
+    assert r.n_assign == len(want) == 50_000 and r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+    assert took < 60
+
+
+def test_tokens_beside_base_spans(spark):
+    """Tokens that a base span overlaps are no candidates; those that only touch one are."""
+    spans = lambda *x: [(a, 3, b, "t") for a, b in x]
+    cases = [(spans((0, 30), (40, 70), (80, 110)), [(30, 0, 40), (60, 0, 65), (100, 2, 200)], [0]), (spans((0, 30)), [], [0]), (spans((50, 80)), [(0, 0, 100)], []), (spans((50, 80), (90, 95)), [(0, 0, 50), (10, 1, 90)], [90]), ([], [(1, 0, 2)], [])]
+    ddl = "i int, tokens array<struct<start:int,rank:int,end:int,match:string>>, base array<struct<start:int,rank:int,end:int>>"
+    got = {r.i: [t.start for t in r.tokens] for r in secrets._free(spark.createDataFrame([(i, t, b) for i, (t, b, _) in enumerate(cases)], ddl), "tokens", "base").collect()}
+    assert got == {i: w for i, (*_, w) in enumerate(cases)}
+
+
 # ---------------------------------------------------------------- pipeline
 
 
@@ -228,25 +251,45 @@ def lower(text):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
 
 
-def plain_pipeline(docs, items):
-    """{doc_id: (ids digest, n)} of a list of (doc_id, text), rule by rule."""
-    import sentencepiece
+def plain_languages(rows):
+    """Trigram probabilities of each language, from dictionaries."""
+    counts = {}
+    for _, text, lang in rows:
+        if lang is not None and text is not None:
+            counts.setdefault(lang, Counter()).update(plain_trigrams(text))
+    return counts
+
+
+def plain_trigrams(text):
+    """Trigrams of a text, letters lower-cased, runs of other characters one blank; none without a letter."""
+    letters = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in text.lower())
+    line = " ".join(letters.split())
+    return [f" {line} "[k : k + 3] for k in range(len(line))] if line else []
+
 
-    from ledgerloom.llm import simhash
-    from ledgerloom.llm.queries import vocabulary
+def known_language(text, counts, buckets=1 << 14):
+    """Is some language likelier than trigrams at random, or not clearly less likely?"""
+    found = plain_trigrams(text or "")
+    totals = {lang: sum(c.values()) for lang, c in counts.items()}
+    best = max((sum(math.log((c[t] + 0.5) / (totals[lang] + 0.5 * buckets)) for t in found) for lang, c in counts.items()), default=0.0)
+    return bool(found) and (not counts or best / 3 > -len(found) / 3 * math.log(buckets) - 30)
 
-    docs = [(i, t) for i, t in docs if any(unicodedata.category(c)[0] == "L" for c in t or "")]
+
+def plain_pipeline(rows, items):
+    """{doc_id: (number of ids, their digest)} of a list of (doc_id, text, lang), rule by rule; shares nothing with the operators."""
+    import public_tokenizers
+    import sentencepiece
+
+    counts = plain_languages(rows)
+    docs = [(i, t) for i, t, _ in rows if known_language(t, counts)]
     strip = lambda x: lower(x.strip(" \t\n\x0b\x0c\r"))
     seen = {}
     for i, t in docs:
         for line in t.split("\n"):
             seen.setdefault(strip(line), set()).add(i)
     docs = [(i, "\n".join(x for x in t.split("\n") if not strip(x) or len(seen[strip(x)]) < 10)) for i, t in docs]
-    fps = [simhash.wide_fingerprint(t.encode(), 5) for _, t in docs]
-    bits = np.unpackbits(np.frombuffer(b"".join(fps), np.uint8).reshape(len(docs), -1), axis=1, bitorder="little")
-    bands = simhash.Bands(0.8, len(set(fps)), 0.97)
-    keys = np.stack([k for _, k in bands.keys(bits)], axis=1)
-    radius = round(256 * simhash.differing_bits(0.77))
+    words = [re.findall(r"[^\x20\x09-\x0D]+", lower(t)) for _, t in docs]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
     root = list(range(len(docs)))
 
     def top(x):
@@ -256,7 +299,7 @@ def plain_pipeline(docs, items):
 
     for i in range(len(docs)):
         for j in range(i):
-            if (keys[i] == keys[j]).any() and (bits[i] != bits[j]).sum() <= radius:
+            if sets[i] == sets[j] or 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
                 root[max(top(i), top(j))] = min(top(i), top(j))
     groups = {}
     for k, (i, _) in enumerate(docs):
@@ -266,7 +309,7 @@ def plain_pipeline(docs, items):
     windows = {tuple(w[k : k + 13]) for t in items for w in [word.findall(lower(t))] for k in range(max(1, len(w) - 12)) if w}
     sizes = {len(w) for w in windows}
     out = {}
-    lib = sentencepiece.SentencePieceProcessor(model_file=vocabulary("piece_bpe_32k.model"))
+    lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     for i, t in docs:
         w = word.findall(lower(t))
         hit = {k + d for n in sizes for k in range(len(w) - n + 1) if tuple(w[k : k + n]) in windows for d in range(n)}
@@ -277,10 +320,59 @@ def plain_pipeline(docs, items):
 
 
 def test_pipeline(spark):
-    docs = [(r.doc_id, r.text) for r in table(spark, "documents").collect()]
-    want = plain_pipeline(docs, [r.text for r in table(spark, "benchmark").collect()])
+    rows = [(r.doc_id, r.text, r.lang) for r in table(spark, "documents").collect()]
+    want = plain_pipeline(rows, [r.text for r in table(spark, "benchmark").collect()])
     out = {r.doc_id: (r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, DATA).collect()}
-    assert out == want and 100 < len(out) < len(docs)
+    assert out == want and 100 < len(out) < len(rows)
+
+
+def test_texts_in_no_learned_language_go(spark):
+    docs = table(spark, "documents", "sf0.01")
+    model = langid.learned_from(docs)
+    rng = random.Random(1)
+    odd = {1: "这是一个没有学过的语言的句子" * 20, 2: "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(4000)), 3: "Слово за словом идёт рассказ " * 20, 4: "the", 5: "42", 6: "\U00030000" * 50}
+    kept = {r.doc_id for r in langid.keep_identified(spark.createDataFrame(list(odd.items()), "doc_id long, text string"), model).collect()}
+    assert kept == {4}
+    assert model.predict([odd[6]])[0][0] in model.languages  # letters beyond the basic plane count as letters
+    texts = [r.text for r in docs.collect()]
+    assert model.identified(texts) == [bool(plain_trigrams(t or "")) for t in texts]  # documents of the learned languages all stay
+
+
+def test_mixtures_against_a_plain_version():
+    """Proportions and the chosen set for texts of one and of two languages, by loops over single trigrams."""
+    rng = np.random.default_rng(2)
+    counts = rng.integers(0, 40, (langid.BUCKETS, 3))
+    model = langid.Model(["a", "b", "c"], counts)
+    docs = []
+    for shares in ([1, 0, 0], [0, 0.5, 0.5], [0.9, 0.1, 0], [0.2, 0.3, 0.5]):
+        p = model.p @ np.array(shares)
+        b, n = np.unique(rng.choice(langid.BUCKETS, 600, p=p / p.sum()), return_counts=True)
+        docs.append((b, n))
+    got, chosen = model.mixtures(docs)
+
+    def em(b, n, pi, rounds):
+        for _ in range(rounds):
+            new = [0.0] * 3
+            for t, c in zip(b, n, strict=True):
+                total = sum(model.p[t, k] * pi[k] for k in range(3))
+                for k in range(3):
+                    new[k] += c * model.p[t, k] * pi[k] / total
+            pi = [x / sum(n) for x in new]
+        return pi
+
+    for (b, n), pi, m in zip(docs, got, chosen, strict=True):
+        full = em(b, n, [1 / 3] * 3, 12)
+        order = sorted(range(3), key=lambda k: -full[k])
+        best = None
+        for size in (1, 2, 3):
+            if size > 1 and full[order[size - 1]] <= 0.01:
+                break
+            start = [full[k] if k in order[:size] else 0.0 for k in range(3)]
+            fitted = em(b, n, [x / sum(start) for x in start], 6 if size > 1 else 0)
+            value = sum(c * math.log(sum(model.p[t, k] * fitted[k] for k in range(3))) for t, c in zip(b, n, strict=True)) / 3 - 0.5 * (2 * size - 1) * math.log(sum(n) / 3)
+            if best is None or value > best[0]:
+                best = (value, fitted, size)
+        assert m == best[2] and np.allclose(pi, best[1])
 
 
 def test_stages_on_awkward_tables(spark):

@@ -5,6 +5,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -59,7 +60,9 @@ def test_line_dedup(docs, none):
     assert line_dedup.line_digest(none).count() == 0
     for r in line_dedup.line_dedup(docs).where("keep is not null").collect():
         bits = np.unpackbits(np.frombuffer(zlib.decompress(bytes(r.keep)), np.uint8), bitorder="little")[: r.n_lines]
-        assert bits.sum() == r.n_lines - r.n_dropped
+        assert (bits == 0).sum() == r.n_dropped
+        lines = dict(TEXTS)[r.doc_id].split("\n")
+        assert r.kept_text == "\n".join(x for k, x in enumerate(lines) if k >= len(bits) or bits[k])
     kept = line_dedup.without_common_lines(docs)
     assert kept.columns == docs.columns and kept.count() == len(TEXTS)
 
@@ -242,9 +245,32 @@ def test_decontamination(spark, docs, none):
     text = dict(TEXTS[:3])
     for r in decontaminate.decontaminate(docs, bench).where("doc_id in (1, 3, 8)").collect():
         assert r.spans and all(WORDS[10] in text.get(r.doc_id, WORDS[10])[s.start : s.end] for s in r.spans if r.doc_id != 8)
-    with pytest.raises(ValueError, match="characters"):
-        decontaminate.decontaminate(docs, bench, max_chars=10)
+    whole = rows(decontaminate.decontaminate(docs, bench))
+    assert rows(decontaminate.decontaminate(docs, bench, max_bytes=60)) == whole  # in parts, whose hits are united
     assert decontaminate.drop_contaminated(docs, bench).columns == docs.columns
+    kept = decontaminate.drop_contaminated(docs, bench, max_bytes=60)
+    assert kept.count() == sum(not w[-1] for w in want)
+
+
+def test_blocks_find_every_window():
+    """Random texts over few words against all windows of random items, of all lengths about the size of a window."""
+    import random
+
+    rng = random.Random(6)
+    for size in (2, 3, 5, 13):
+        items = [(str(k), " ".join(rng.choice("abc") for _ in range(rng.randrange(1, 3 * size)))) for k in range(12)]
+        machine = decontaminate.Items(items, size)
+        patterns = [(tuple(w[i : i + size]), k) for k, t in items for w in [t.split()] for i in range(max(1, len(w) - size + 1))]
+        for _ in range(60):
+            words = [rng.choice("aaabcd") for _ in range(rng.randrange(0, 4 * size))]
+            hit, found = [False] * len(words), set()
+            for p, k in patterns:
+                for i in range(len(words) - len(p) + 1):
+                    if tuple(words[i : i + len(p)]) == p:
+                        hit[i : i + len(p)] = [True] * len(p)
+                        found.add(k)
+            got, ids = machine.hits([w.encode() for w in words])
+            assert got.tolist() == hit and ids == found
 
 
 def test_token_files(docs, none):
@@ -304,3 +330,13 @@ def test_sentencepiece(docs, none):
     assert rows(sentencepiece_ops.piece_digest(docs, path)) == sorted(want, key=repr)
     assert sentencepiece_ops.piece_digest(none, path).count() == 0
     assert {tuple(r.ids) for r in sentencepiece_ops.pieces_of(docs, path).where("doc_id = 8").collect()} == {tuple(lib.encode("one two"))}
+
+
+def test_the_library_counts_where_the_agenda_differs(monkeypatch):
+    agenda = sentencepiece_ops.Agenda(vocabulary("piece_bpe_32k.model"))
+    texts = ["some words", "two  blanks", "", None]
+    assert agenda.encode(pa.array(texts, pa.string()))[1].tolist() and agenda.differing == 0
+    odd = sentencepiece_ops.Agenda(vocabulary("piece_bpe_32k.model"))
+    monkeypatch.setattr(odd, "merge", lambda text: [0])
+    ids, ends = odd.encode(pa.array(texts, pa.string()))
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == [odd.library.encode(t or "") for t in texts] and odd.differing == 3
