@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import partitions, trimmed
+from ledgerloom.llm.common import cut, partitions, trimmed
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], salt: str, how: str = "inner", parts: int = 16) -> DataFrame:
@@ -20,11 +20,20 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], salt: str, how
     return dealt.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
+FEW = 100_000  # large groups that are sent to all tasks; more are joined
+
+
 def pair_blocks(rows: DataFrame, keys: list[str], salt: str, limit: int) -> DataFrame:
     """rows with i, j, sub: a group of over limit rows is cut into parts by a hash of salt; the block (i, j) holds the
     parts i and j, so that each pair of the group meets in one block (or, within a part i, in the block (i, i))."""
-    large = rows.groupBy(*keys).count().where(F.col("count") > limit).select(*keys, F.ceil(F.col("count") / limit).cast("int").alias("parts"))
-    dealt = salted_join(rows, large, keys, salt, "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("sub", F.pmod(F.xxhash64(salt, F.lit("part")), F.col("parts")).cast("int"))
+    large = cut(rows.groupBy(*keys).count().where(F.col("count") > limit).select(*keys, F.ceil(F.col("count") / limit).cast("int").alias("parts")))
+    n = large.count()
+    if n:
+        found = rows.join(F.broadcast(large), keys, "left") if n <= FEW else salted_join(rows, large, keys, salt, "left")
+        dealt = found.select(*rows.columns, F.coalesce("parts", F.lit(1)).alias("parts"))
+    else:
+        dealt = rows.withColumn("parts", F.lit(1))
+    dealt = dealt.withColumn("sub", F.pmod(F.xxhash64(salt, F.lit("part")), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     dealt = dealt.withColumn("other", other).withColumn("i", F.least("sub", "other")).withColumn("j", F.greatest("sub", "other"))
     return dealt.drop("parts", "other")

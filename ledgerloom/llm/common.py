@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -60,10 +61,30 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def trimmed(work: Callable) -> Callable:
-    """work, and then the memory that it has freed is given back: worker processes live on for other tasks."""
+_kept: dict = {}
+
+
+def kept(key: tuple, make: Callable):
+    """What make() gives, remembered in a worker process for its later tasks; a process keeps one such thing at a time."""
+    if key not in _kept:
+        drop_kept()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def drop_kept() -> None:
+    if _kept:
+        _kept.clear()
+        gc.collect()
+
+
+def trimmed(work: Callable, keeps: bool = False) -> Callable:
+    """work, and then the memory that it has freed is given back: worker processes live on for other tasks. What another
+    task has kept() is let go first, unless work keeps something itself."""
 
     def run(batches):
+        if not keeps:
+            drop_kept()
         try:
             yield from work(batches)
         finally:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import cut, documents_of, pieces, strings, trimmed, utf8
+from ledgerloom.llm.common import cut, documents_of, kept, pieces, strings, trimmed, utf8
 
 #: A-Z to a-z; other ASCII characters that are neither letter nor digit to a space.
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -90,18 +90,6 @@ class Items:
         return first - back + int(left), first - back + int(right)
 
 
-_kept: tuple[str, Items] | None = None
-
-
-def _items(key: str, sent, size: int) -> Items:
-    """The automaton of a broadcast, made once in a worker process."""
-    global _kept
-    if _kept is None or _kept[0] != key:
-        _kept = None
-        _kept = (key, Items(sent.value, size))
-    return _kept[1]
-
-
 def original_spans(text: str, hit: np.ndarray) -> list[dict]:
     """Runs of hit words as offsets (code points, end exclusive) in the original text."""
     out: list[dict] = []
@@ -139,7 +127,7 @@ def hit_words(docs: DataFrame, benchmark: DataFrame, size: int, max_bytes: int)
     for k, part in enumerate(parts_of(benchmark, max_bytes)):
 
         def rows(batches, sent=context.broadcast(part), name=f"{key}-{k}"):
-            items = _items(name, sent, size)
+            items = kept(("items", name, size), lambda: Items(sent.value, size))
             for batch in pieces(batches):
                 columns = dict(zip(batch.schema.names, batch.columns, strict=True))
                 bits, ids = [], []
@@ -153,7 +141,7 @@ def hit_words(docs: DataFrame, benchmark: DataFrame, size: int, max_bytes: int)
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
         before = cut(marked) if k else marked  # so that a worker holds one part's automaton
-        marked = before.mapInArrow(trimmed(rows), schema)
+        marked = before.mapInArrow(trimmed(rows, keeps=True), schema)
     return marked
 
 

@@ -12,13 +12,12 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ledgerloom.llm.common import documents_of, longs, pieces, trimmed
+from ledgerloom.llm.common import documents_of, kept, longs, pieces, trimmed
 from ledgerloom.llm.units import Units, buffers
 
 _BLANK = "▁"  # fixed value: the visible sign that stands for U+0020 in pieces
@@ -111,10 +110,9 @@ class Agenda:
         return self.units.encode(*buffers(column))
 
 
-@lru_cache(maxsize=1)
 def remembered(model: str) -> Agenda:
     """One per worker process: its units serve all tasks that the process runs."""
-    return Agenda(model)
+    return kept(("pieces", model), lambda: Agenda(model))
 
 
 def _lists(ids: np.ndarray, ends: np.ndarray) -> list[list[int]]:
@@ -137,7 +135,7 @@ def pieces_of(docs: DataFrame, model: str) -> DataFrame:
             decoded = agenda.library.decode(_lists(ids, ends), num_threads=1) if len(ends) else []
             yield pa.RecordBatch.from_arrays([batch.column(0), longs(np.diff(offsets)), pa.ListArray.from_arrays(offsets, ids.astype(np.int32)), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
-    return documents_of(docs).mapInArrow(trimmed(rows), "doc_id long, n_tokens long, ids array<int>, decoded string")
+    return documents_of(docs).mapInArrow(trimmed(rows, keeps=True), "doc_id long, n_tokens long, ids array<int>, decoded string")
 
 
 def piece_digest(docs: DataFrame, model: str) -> DataFrame:
@@ -152,4 +150,4 @@ def piece_digest(docs: DataFrame, model: str) -> DataFrame:
             spelled = [hashlib.sha256(b",".join(map(decimal.__getitem__, x))).hexdigest() for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), longs([len(x) for x in ids]), pa.array(spelled), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return documents_of(docs).mapInArrow(trimmed(rows), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return documents_of(docs).mapInArrow(trimmed(rows, keeps=True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -155,16 +155,12 @@ def simhash_digest(docs: DataFrame, size: int = 3, radius: int = 2, seed: int =
 
 # ---------------------------------------------------------------- shingle sets, for a similarity well below 1
 
-WORDS = 4  # 64-bit words of a wide fingerprint
-_BUCKETS = 1 << 20  # shingle hashes are counted by their first 20 bits, to tell common ones from rare ones
-
-
-def wide_fingerprint(text: bytes, size: int, seed: int = 42) -> bytes:
-    """Four fingerprints in a row: of the distinct shingle hashes and of three scramblings of them."""
-    return _wide(np.unique(shingle_hashes(text, size, seed)))
+WORDS = 2  # 64-bit words of a wide fingerprint
+BANDS, ROWS = 32, 4  # keys of a shingle set, and the smallest hashes that each is made of
 
 
 def _wide(hashes: np.ndarray) -> bytes:
+    """WORDS fingerprints in a row: of the distinct shingle hashes and of scramblings of them."""
     if not len(hashes):
         return bytes(8 * WORDS)
     counts = np.zeros(64 * WORDS, np.int64)
@@ -205,19 +201,26 @@ class Bands:
             yield t, bits[:, places].astype(np.int64) @ weights
 
 
-def shared_least(similarity: Fraction, n: int) -> int:
-    """Shingles that a set of n shares at least with any set of the similarity."""
-    return -(-n * similarity.numerator // similarity.denominator)
+_SALT, _FACTOR = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)).reshape(2, -1) | np.array([[0], [1]], np.uint64)
 
 
-def prefix(hashes: np.ndarray, common: np.ndarray, similarity: Fraction) -> np.ndarray:
-    """The rarest shingles of a set, so many that two sets of the similarity have one of them in common.
+def smallest(hashes: np.ndarray) -> np.ndarray:
+    """The smallest hash of a set under each of BANDS * ROWS scramblings; two sets agree in one with the probability of
+    their Jaccard similarity."""
+    out = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for k in range(0, len(hashes), 1 << 12):
+        np.minimum(out, ((hashes[k : k + (1 << 12), None] ^ _SALT) * _FACTOR).min(axis=0), out=out)
+    return out
 
-    common: how often each bucket of shingles was seen in a sample; any table of counts gives one order of all shingles,
-    which is all that the guarantee needs."""
-    n = len(hashes)
-    order = np.lexsort((hashes, common[(hashes >> np.uint64(44)).astype(np.int64)]))
-    return hashes[order[: n - shared_least(similarity, n) + 1]]
+
+def band_keys(smallests: np.ndarray) -> np.ndarray:
+    """A key for each band of ROWS smallest hashes, for the sets (rows) of smallest(). Sets of similarity 0.8 share none of
+    BANDS keys in (1 - 0.8 ** ROWS) ** BANDS of all cases, fewer than one in ten million."""
+    rows = smallests.reshape(len(smallests), BANDS, ROWS)
+    keys = np.broadcast_to(mix(np.arange(1, BANDS + 1, dtype=np.uint64)), rows.shape[:2])
+    for k in range(ROWS):
+        keys = mix(keys ^ rows[:, :, k])
+    return keys.astype(np.int64)
 
 
 def as_similar(a: np.ndarray, b: np.ndarray, similarity: Fraction) -> bool:
@@ -231,13 +234,14 @@ def _shingle_set(line: bytes, size: int) -> np.ndarray:
 
 
 def _stored(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, v, node, fp, n, z), dealt by node: node is a hash of the distinct shingles, so that texts of one set are
-    one node; n their number; z the words, lower-cased, blank-joined and compressed, sent once for a node and task."""
+    """(doc_id, v, node, fp, n, keys, z), dealt by node: node is a hash of the distinct shingles, so that texts of one set are
+    one node; n their number. keys (band_keys()) and z, the words, lower-cased, blank-joined and compressed, are sent once
+    for a node and task."""
 
     def rows(batches):
         pack, seen = zstandard.ZstdCompressor(level=3).compress, set()
         for batch in pieces(batches):
-            nodes, fps, ns, zs = [], [], [], []
+            nodes, fps, ns, zs, new, smallests = [], [], [], [], [], []
             for text in utf8(batch):
                 line = b" ".join(text.lower().split())
                 hashes = _shingle_set(line, size)
@@ -245,38 +249,18 @@ def _stored(docs: DataFrame, size: int) -> DataFrame:
                 nodes.append(node)
                 fps.append(_wide(hashes))
                 ns.append(len(hashes))
-                zs.append(None if node in seen else pack(line))
+                new.append(node not in seen)
+                zs.append(pack(line) if new[-1] else None)
+                if new[-1]:
+                    smallests.append(smallest(hashes))
                 seen.add(node)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), longs(nodes), pa.array(fps, pa.binary()), longs(ns), pa.array(zs, pa.binary())], names=["doc_id", "v", "node", "fp", "n", "z"])
+            keys = iter(band_keys(np.array(smallests)) if smallests else ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), longs(nodes), pa.array(fps, pa.binary()), longs(ns), pa.array([next(keys) if x else None for x in new], pa.list_(pa.int64())), pa.array(zs, pa.binary())], names=["doc_id", "v", "node", "fp", "n", "keys", "z"])
 
-    made = documents_of(docs).withColumn("v", F.xxhash64("text")).mapInArrow(trimmed(rows), "doc_id long, v long, node long, fp binary, n long, z binary")
+    made = documents_of(docs).withColumn("v", F.xxhash64("text")).mapInArrow(trimmed(rows), "doc_id long, v long, node long, fp binary, n long, keys array<long>, z binary")
     return cut(made.repartition(partitions(docs.sparkSession), "node").sortWithinPartitions("node"))
 
 
-def _sets(batch: pa.RecordBatch, size: int, column: str = "z"):
-    unpack = zstandard.ZstdDecompressor().decompress
-    for z in batch.column(batch.schema.get_field_index(column)).to_pylist():
-        yield _shingle_set(unpack(z), size)
-
-
-def _common(texts: DataFrame, size: int, sample: int = 10_000) -> np.ndarray:
-    """How often each bucket of shingles occurs in a bounded sample of the nodes. Only the order of prefixes depends on it."""
-    total = texts.count()
-    part = texts.where(F.pmod(F.xxhash64("node", F.lit("sample")), F.lit(1_000_000)) < 1_000_000 * sample / max(1, total)).select("z")
-
-    def count(batches):
-        counts = np.zeros(_BUCKETS, np.int64)
-        for batch in batches:
-            for hashes in _sets(batch, size):
-                np.add.at(counts, (hashes >> np.uint64(44)).astype(np.int64), 1)
-        yield pa.RecordBatch.from_arrays([pa.array([np.minimum(counts, 65535).astype("<u2").tobytes()], pa.binary())], names=["c"])
-
-    out = np.zeros(_BUCKETS, np.int64)
-    for (c,) in part.coalesce(8).mapInArrow(trimmed(count), "c binary").toLocalIterator():  # one row a task
-        out += np.frombuffer(bytes(c), "<u2")
-    return np.minimum(out, 65535).astype(np.uint16)
-
-
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: Fraction) -> DataFrame:
     """The pairs (a, b) whose shingle sets have the similarity, from the whole texts."""
 
@@ -322,23 +306,6 @@ def _first_pairs(nodes: DataFrame, bands: Bands, radius: int) -> DataFrame:
     return found.select(F.col("node").alias("a"), F.col("hub.node").alias("b"), "fp", F.col("hub.fp").alias("other")).mapInArrow(trimmed(near_hub), "a long, b long").distinct()
 
 
-def _shared_keys(texts: DataFrame, size: int, similarity: Fraction, common: np.ndarray) -> DataFrame:
-    """(key, node): the prefix shingles that two nodes or more have."""
-    sent = texts.sparkSession.sparkContext.broadcast(common)  # _BUCKETS numbers
-
-    def keyed(batches):
-        for batch in pieces(batches, "z", 4 << 20):
-            keys = [prefix(h, sent.value, similarity).astype(np.int64) for h in _sets(batch, size)]
-            yield pa.RecordBatch.from_arrays([longs(np.concatenate(keys)), longs(np.repeat(batch.column(0).to_numpy(), [len(k) for k in keys]))], names=["key", "node"])
-
-    def several(arrays, starts, ends):
-        chosen = np.concatenate([np.arange(a, b) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
-        yield pa.RecordBatch.from_arrays([longs(arrays["key"][chosen]), longs(arrays["node"][chosen])], names=["key", "node"])
-
-    rows = texts.where("n > 0").select("node", "z").mapInArrow(trimmed(keyed), "key long, node long")
-    return cut(grouped(rows, ["key"], several, "key long, node long", ["key", "node"]))
-
-
 def _compare_wide(radius: int, similarity: Fraction):
     """Pairs of different components and of like sizes whose fingerprints are near; they are still to be verified."""
 
@@ -364,9 +331,9 @@ def _compare_wide(radius: int, similarity: Fraction):
 def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, limit: int = 4096) -> DataFrame:
     """Groups documents whose sets of five-word shingles (size) have the Jaccard similarity or more, directly or in steps.
 
-    Every link is verified on the whole sets. Pairs meet by their rarest shingles, of which similar sets have one in
-    common (prefix()); among those that meet, the pivot table and popcount leave the ones with near fingerprints
-    (farthest()). Copies that a few band tables already join are not paired again.
+    Every link is verified on the whole sets. Pairs meet by equal band keys (band_keys()); among those that meet, the
+    pivot table and popcount leave the ones with near fingerprints (farthest()). Copies that a few tables of fingerprint bits
+    already join are not paired again.
 
     The bound on blocks, nulls, repeated rows and empty tables are as in simhash_groups(); texts without words are one
     group. Returns doc_id, v, fp (binary), component_id.
@@ -374,17 +341,17 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, limi
     exact = Fraction(str(similarity))
     radius = farthest(similarity)
     stored = _stored(docs, size)
-    texts = stored.where("z is not null").select("node", "fp", "n", "z").dropDuplicates(["node"])
-    classes = cut(stored.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("n").alias("n")))
+    texts = stored.where("z is not null").select("node", "fp", "n", "keys", "z").dropDuplicates(["node"])
+    classes = cut(stored.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp")))
     early = _verified(_first_pairs(classes, Bands(similarity, classes.count(), recall=0.25), radius), texts, size, exact)
     joined = components(early).withColumnRenamed("node", "member")
-    known = cut(classes.join(joined, classes.node == joined.member, "left").select("node", "fp", "n", F.coalesce("component", "node").alias("root")))
-    met = _shared_keys(texts, size, exact, _common(texts, size)).join(known, "node")
+    known = cut(texts.join(joined, texts.node == joined.member, "left").where("n > 0").select("node", "fp", "n", "keys", F.coalesce("component", "node").alias("root")))
+    met = known.select("node", "fp", "n", "root", F.explode("keys").alias("key"))
     dealt = pair_blocks(met, ["key"], "node", limit)
     pairs = grouped(dealt, ["key", "i", "j"], _compare_wide(radius, exact), "a long, b long", ["key", "i", "j", "sub", "node", "n", "root", "fp"]).distinct()
     linked = components(early.union(_verified(pairs, texts, size, exact))).withColumnRenamed("node", "member")
     of_class = smallest_ids(classes.join(linked, classes.node == linked.member, "left").select(F.col("node").alias("fp"), "first", F.col("component").alias("root")))
-    return stored.join(of_class, stored.node == of_class.f).select("doc_id", "v", "fp", "component_id")
+    return stored.join(of_class, stored.node == of_class.f).select("doc_id", "v", stored.fp, "component_id")
 
 
 def one_of_each_group(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:

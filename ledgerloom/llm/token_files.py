@@ -15,9 +15,7 @@ has blocks of its own: begun is how many of its tokens stand in earlier blocks,
 
 from __future__ import annotations
 
-import gc
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import cut, documents_of, longs, new_path, partitions, pieces, trimmed
+from ledgerloom.llm.common import cut, documents_of, kept, longs, new_path, partitions, pieces, trimmed
 from ledgerloom.llm.units import Units, buffers
 
 STEP = 256
@@ -85,19 +83,6 @@ class WordTokens:
         return np.split(ids, ends[:-1]) if texts else []
 
 
-@lru_cache(maxsize=1)
-def remembered(path: str) -> WordTokens:
-    """One per worker process: its units serve all tasks that the process runs."""
-    return WordTokens(path)
-
-
-def forget() -> None:
-    """Frees the tokenizer and the units of a worker process that goes on with other work."""
-    if remembered.cache_info().currsize:
-        remembered.cache_clear()
-        gc.collect()
-
-
 # ---------------------------------------------------------------- canonical, length-limited Huffman codes
 
 
@@ -199,7 +184,7 @@ def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     task, with n = -1, has the counts of its ids."""
 
     def rows(batches):
-        units = remembered(path).units
+        units = kept(("tokens", path), lambda: WordTokens(path)).units
         total = np.zeros(0, np.int64)
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in pieces(batches, limit=2 << 20):
@@ -216,7 +201,7 @@ def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), longs(ends - starts + 1), pa.array(np.full(n, w, np.int32)), pa.array([pack(raw[a:b]) for a, b in cuts], pa.binary())], names=["doc_id", "v", "n", "w", "z"])
         yield pa.RecordBatch.from_arrays([longs([None]), longs([None]), longs([-1]), pa.array([8], pa.int32()), pa.array([pack(total.astype("<i8").tobytes())], pa.binary())], names=["doc_id", "v", "n", "w", "z"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("v")).mapInArrow(trimmed(rows), "doc_id long, v long, n long, w int, z binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("v")).mapInArrow(trimmed(rows, keeps=True), "doc_id long, v long, n long, w int, z binary")
 
 
 def _ids(z: bytes, w: int) -> np.ndarray:
@@ -258,7 +243,6 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     def blocks(batches):
         from pyspark import TaskContext
 
-        forget()
         codes = canonical(lengths)
         part, block, before = TaskContext.get().partitionId(), 0, 0
         held: list[tuple[int, np.ndarray]] = []
@@ -305,7 +289,6 @@ def read_token_files(spark: SparkSession, folder: str, digest: bool = False) ->
 
     def decoded(batches):
         """(block as a dictionary, ids as little-endian unsigned 32-bit numbers) of each block."""
-        forget()
         decoder = Decoder(lengths, bits)
         for batch in batches:
             for k in range(batch.num_rows):
