@@ -282,7 +282,7 @@ def csv_escape(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", risky.alias("escaped"), F.md5(F.when(risky, F.concat(F.lit("'"), "text")).otherwise(F.col("text"))).alias("exported"))
 
 
-PROFILED = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")
+PROFILED = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
 
 
 @query("SELECT col, count(v) AS nonempty, count(*) FILTER (WHERE v IS NULL) AS empty, min(v) AS low, max(v) AS high FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS col, CAST({c} AS VARCHAR) AS v FROM lineitem" for c in PROFILED) + ") GROUP BY col")
