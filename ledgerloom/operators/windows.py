@@ -21,9 +21,22 @@ def sessions(df: DataFrame, keys: list[str], order: list, start: Column, name: s
 
 
 def islands(df: DataFrame, keys: list[str], position: str) -> DataFrame:
-    """Runs of consecutive positions: keys, start, end."""
-    w = Window.partitionBy(*keys).orderBy(position)
-    return df.select(*keys, position).distinct().withColumn("_i", F.col(position) - F.row_number().over(w)).groupBy(*keys, "_i").agg(F.min(position).alias("start"), F.max(position).alias("end")).drop("_i")
+    """Runs of consecutive positions: keys, start, end.
+
+    Rows are range-partitioned by key and position, so that a very common key takes many tasks; runs are found in each
+    partition, and those at the partitions' edges (two a partition) are put together."""
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = stored(df.select(*keys, position).distinct().repartitionByRange(n, *keys, position).withColumn("_part", F.spark_partition_id()))
+    within = Window.partitionBy("_part", *keys).orderBy(position)
+    runs = dealt.withColumn("_i", F.col(position) - F.row_number().over(within)).groupBy("_part", *keys, "_i").agg(F.min(position).alias("start"), F.max(position).alias("end"))
+    place = F.struct(*keys, "start")
+    edges = runs.groupBy("_part").agg(F.min(place).alias("_low"), F.max(place).alias("_high"))  # a row a partition
+    told = runs.join(edges, "_part").withColumn("_edge", (place == F.col("_low")) | (place == F.col("_high")))
+    at_edges = told.where("_edge").select(*keys, "start", "end")
+    ahead = Window.partitionBy(*keys).orderBy("start")
+    at_edges = at_edges.withColumn("_new", F.coalesce(F.lag("end").over(ahead) + 1 != F.col("start"), F.lit(True)))
+    joined = sessions(at_edges, keys, ["start"], F.col("_new"), "_run").groupBy(*keys, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return told.where("not _edge").select(*keys, "start", "end").union(joined.select(*keys, "start", "end"))
 
 
 def numbered(df: DataFrame, order: list[str], name: str, first: int = 1) -> DataFrame:

@@ -52,6 +52,14 @@ def test_numbering_is_dense_and_ordered(spark):
     assert windows.numbered(df.where("false"), ["k"], "n").count() == 0
 
 
+def test_runs_over_partition_edges(spark):
+    """One key with all rows, runs longer than a partition, runs of one, a repeated row."""
+    rows = [("a", k) for k in range(1000) if k % 400 != 399] + [("b", 3), ("b", 5), ("b", 5), ("c", 1), ("c", 2)]
+    got = {tuple(r) for r in windows.islands(spark.createDataFrame(rows, "k string, p int"), ["k"], "p").collect()}
+    assert got == {("a", 0, 398), ("a", 400, 798), ("a", 800, 999), ("b", 3, 3), ("b", 5, 5), ("c", 1, 2)}
+    assert windows.islands(spark.createDataFrame([], "k string, p int"), ["k"], "p").count() == 0
+
+
 @settings(max_examples=5, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 12), st.integers(1, 6), st.integers(0, 4), st.integers(0, 3)), max_size=6))
 def test_resolve_matches_a_plain_lookup(spark, areas):

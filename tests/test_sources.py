@@ -6,6 +6,7 @@ import pytest
 from helpers import xls, xlsx
 from ledgerloom import cli
 from ledgerloom.functions.errors import LedgerError, UnreadableSource
+from ledgerloom.plans import mapping
 from ledgerloom.sources import xls as X
 from ledgerloom.sources import xlsx as R
 from ledgerloom.sources.cells import cell_range
@@ -62,6 +63,59 @@ def test_hyperlink_targets_fill_empty_cells():
     assert sheet.cells[1, 2][0] == "a!A1"
 
 
+def sheet_part(change):
+    """A patch that changes the first sheet's part."""
+    return lambda parts: parts.update({"xl/worksheets/s1.xml": change(parts["xl/worksheets/s1.xml"])})
+
+
+def test_shared_formulas_read_as_they_are_in_their_cell():
+    def share(part):
+        return part.replace("<f>A1</f>", '<f t="shared" si="0" ref="B1:B2">A1</f>').replace("<f>x</f>", '<f t="shared" si="0"/>')
+
+    (sheet,) = R.decode(xlsx({"a": [[3, ("f", "A1")], [4, ("f", "x")]]}, patch=sheet_part(share)))
+    assert sheet.cells[2, 2][:2] == ("=A2", True) and sheet.cells[1, 2][:2] == ("=A1", True)
+
+
+@pytest.mark.parametrize(
+    ("formula", "rows", "cols", "moved"),
+    [("A1+$B$2*C$3", 2, 1, "B3+$B$2*D$3"), ('IF(Z9>1,"A1",LOG10(AA10))', 1, 1, 'IF(AA10>1,"A1",LOG10(AB11))'), ("'A1 x'!B2+Sheet1!C3", 1, 0, "'A1 x'!B3+Sheet1!C4"), ("SUM(A1:B2)", 0, 2, "SUM(C1:D2)")],
+)
+def test_moved_references(formula, rows, cols, moved):
+    assert R.shifted(formula, rows, cols) == moved
+
+
+def test_hidden_content_is_kept_and_told(spark, tmp_path):
+    def hide(part):
+        return part.replace("<sheetData>", '<cols><col min="2" max="40" hidden="1"/></cols><sheetData>').replace('<row r="2">', '<row r="2" hidden="1">')
+
+    data = xlsx({"a": [["项目名称", "公司名称"], [False, 0]]}, patch=sheet_part(hide))
+    (sheet,) = R.decode(data)
+    assert sheet.hidden_rows == [2] and sheet.hidden_columns == [2] and sheet.cells[2, 1][0] is False and sheet.cells[2, 2][0] == 0
+    (tmp_path / "h.xlsx").write_bytes(data)
+    seen = mapping.inspect(read_workbooks(spark, [str(tmp_path / "h.xlsx")])[0])
+    shown = seen["sources"][0]["sheets"][0]
+    assert shown["hidden_rows"] == [2] and shown["hidden_columns"] == [2] and shown["local_inspect_hint"] and seen["notice"]
+
+
+def test_array_formulas_and_merges_far_away_are_refused():
+    with pytest.raises(UnreadableSource, match="公式范围=A1:XFD1"):
+        R.decode(xlsx({"a": [[("f", "1")]]}, patch=sheet_part(lambda p: p.replace("<f>", '<f t="array" ref="A1:XFD1">'))))
+    with pytest.raises(UnreadableSource, match="合并=.*XFD"):
+        R.decode(xlsx({"a": [["x"]]}, {"a": ["A1:XFD1"]}))
+
+
+def test_blank_merges_do_not_draw_in_others():
+    (sheet,) = R.decode(xlsx({"a": [["首"], [], [], [None, "尾"]]}, {"a": ["B2:C2", "C3:D3", "XFC10:XFD20"]}))
+    assert sheet.merges == [(2, 2, 2, 3)]
+
+
+def test_overlapping_merges_hide_nothing():
+    (sheet,) = R.decode(xlsx({"a": [["x"], [None], ["y"]]}, {"a": ["A1:A2", "B1:B3"]}))
+    assert len(sheet.merges) == 1 and sheet.cells[3, 1][0] == "y"
+    with pytest.raises(UnreadableSource, match="非锚点.*A3"):
+        R.decode(xlsx({"a": [["x"], [None], ["y"]]}, {"a": ["A1:A3", "A3:B3"]}))
+
+
 def test_ranges():
     assert cell_range("B2") == (2, 2, 2, 2) and cell_range("$A$1:C3") == (1, 1, 3, 3)
     for bad in ("A0", "B2:A1", "XFE1", "1A"):
