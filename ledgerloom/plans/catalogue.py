@@ -56,7 +56,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     stated = F.when(F.col("l_returnflag") == "A", V.YES).when(F.col("l_returnflag") == "R", V.NO)
     out = bids(spark, sf_dir).groupBy("l_orderkey", "bidder_key").agg(
         F.min_by("bidder", place).alias("bidder"), F.min_by("l_extendedprice", place).alias("price"), F.min("l_linenumber").alias("first_line"), F.count("*").alias("mentions"),
-        F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"), F.min("l_quantity").alias("q_low"), F.max("l_quantity").alias("q_high"), F.min(stated).alias("s_low"), F.max(stated).alias("s_high"),
+        F.min(F.struct("l_extendedprice", *LINE[:3])).alias("cheapest"), F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"), F.min("l_quantity").alias("q_low"), F.max("l_quantity").alias("q_high"), F.min(stated).alias("s_low"), F.max(stated).alias("s_high"),
     )
     status = F.when(F.col("s_low") == F.col("s_high"), F.col("s_low")).otherwise("")
     return out.withColumns({"price_conflict": F.col("low") != F.col("high"), "quantity_conflict": F.col("q_low") != F.col("q_high"), "status_conflict": F.coalesce(F.col("s_low") != F.col("s_high"), F.lit(False)), "stated": F.coalesce(status, F.lit(""))})
@@ -73,7 +73,7 @@ rec AS (SELECT * EXCLUDE (ns, s), ns > 1 AS status_conflict, CASE WHEN ns = 1 TH
 @query(f"WITH {RECORDS} SELECT * FROM rec")
 def group_dedup(spark, sf_dir):
     """Participants of each order, once for each company."""
-    return records(spark, sf_dir).drop("low", "high", "q_low", "q_high", "s_low", "s_high")
+    return records(spark, sf_dir).drop("cheapest", "low", "high", "q_low", "q_high", "s_low", "s_high")
 
 
 @query(f"""WITH {RECORDS} SELECT l_orderkey, bidder_key, concat_ws(',', CASE WHEN status_conflict THEN 'award_status' END, CASE WHEN price_conflict THEN 'bidder_price' END, CASE WHEN quantity_conflict THEN 'quantity' END) AS fields
@@ -94,15 +94,12 @@ def count_mismatch(spark, sf_dir):
     return sizes(spark, sf_dir).where("declared <> actual")
 
 
-def awards(spark, sf_dir) -> DataFrame:
-    """The company of each order's cheapest bid."""
-    return bids(spark, sf_dir).groupBy("l_orderkey").agg(F.min_by(F.col("bidder_key"), F.struct("l_extendedprice", *LINE[:3])).alias("bidder_key"), F.min("l_extendedprice").alias("award_price"))
-
-
-def matched(spark, sf_dir) -> DataFrame:
-    """Awards, found among the participants of their order by the exact key."""
-    named = awards(spark, sf_dir).withColumnRenamed("bidder_key", "award_key")  # one for each order: joined where the order is
-    return records(spark, sf_dir).join(named, "l_orderkey").where("award_key <= bidder_key and award_key >= bidder_key")  # as an equality it would be dealt by both keys again
+def awarded(spark, sf_dir) -> DataFrame:
+    """Participants with the cheapest line of their order, and whether it is theirs. Rows are dealt by order already, so that
+    the window needs no exchange and no join."""
+    best = F.min(F.struct("cheapest", "bidder_key")).over(Window.partitionBy("l_orderkey"))
+    found = records(spark, sf_dir).withColumn("best", best)
+    return found.withColumns({"award_price": F.col("best.cheapest.l_extendedprice"), "won": F.col("best.bidder_key") == F.col("bidder_key")}).drop("best")
 
 
 AWARDS = """awards AS (SELECT l_orderkey, first(bidder_key ORDER BY l_extendedprice, l_linenumber, l_suppkey, l_partkey) AS bidder_key, min(l_extendedprice) AS award_price FROM bids GROUP BY l_orderkey)"""
@@ -111,14 +108,13 @@ AWARDS = """awards AS (SELECT l_orderkey, first(bidder_key ORDER BY l_extendedpr
 @query(f"WITH {RECORDS}, {AWARDS} SELECT l_orderkey, bidder_key, bidder, first_line, award_price FROM rec JOIN awards USING (l_orderkey, bidder_key)")
 def award_exact_match(spark, sf_dir):
     """Awards and the participants that carry exactly their name."""
-    return matched(spark, sf_dir).select("l_orderkey", "bidder_key", "bidder", "first_line", "award_price")
+    return awarded(spark, sf_dir).where("won").select("l_orderkey", "bidder_key", "bidder", "first_line", "award_price")
 
 
 def statuses(spark, sf_dir) -> DataFrame:
     """Award status: winners by match; losers only where the order is complete (status F); stated values override blanks."""
-    won = awards(spark, sf_dir).select("l_orderkey", F.col("bidder_key").alias("award_key"))
     complete = table(spark, sf_dir, "orders").groupBy(F.col("o_orderkey").alias("l_orderkey")).agg(F.max(F.col("o_orderstatus") == "F").alias("complete"))
-    out = records(spark, sf_dir).join(won, "l_orderkey", "left").join(complete, "l_orderkey", "left").withColumns({"won": F.coalesce(F.col("award_key") == F.col("bidder_key"), F.lit(False)), "complete": F.coalesce("complete", F.lit(False))})
+    out = awarded(spark, sf_dir).join(complete, "l_orderkey", "left").withColumn("complete", F.coalesce("complete", F.lit(False)))
     out = out.withColumn("derived", F.when(F.col("won"), V.YES).when(F.col("complete"), V.NO).otherwise(""))
     clash = (F.col("stated") != "") & (F.col("derived") != "") & (F.col("stated") != F.col("derived"))
     return out.withColumns({"clash": clash, "award_status": F.when(clash | F.col("status_conflict"), "").when(F.col("stated") != "", F.col("stated")).otherwise(F.col("derived"))})
