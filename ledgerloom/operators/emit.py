@@ -135,7 +135,7 @@ def emit(rows: DataFrame, done: Finished, books, plan: dict, timestamp: str, fai
     get = lambda k: F.get_json_object("extra", f"$.{k}")
     from_row = F.coalesce(F.col("source_row").cast("string"), F.col("anchor_row").cast("string"))
     place = F.concat_ws("；", F.concat(F.lit("Sheet="), F.coalesce(get("sheet"), "g_sheet")), F.when(get("start_row").isNotNull(), F.concat(F.lit("区域="), get("start_row"), F.lit(":"), F.coalesce(get("end_row"), get("start_row")))).otherwise(F.concat(F.lit("来源行="), from_row)), F.concat(F.lit("原因="), get("reason")))
-    alone = stored(numbered(alone.withColumn("where", place), ["order"], "review_sequence", first=n_linked + 1))
+    alone = numbered(alone.withColumn("where", place), ["order"], "review_sequence", first=n_linked + 1)
     text = F.concat("message", F.when(F.col("where") != "", F.concat(F.lit("\n"), "where")).otherwise(""))
     standalone = alone.select(F.col("review_sequence").alias("seq"), *_row(timestamp, 序号=F.col("review_sequence"), 项目名称=F.col("project_name"), 标段名称=F.col("lot_name"), 依据文件路径=F.coalesce("file_name", get("source_file")), 置信度=F.lit("0"), 复核状态=F.lit(V.PENDING), 证据文本=text))
     review = linked.unionByName(standalone)

@@ -123,7 +123,7 @@ def _row_issues(business: DataFrame, named: DataFrame) -> list[DataFrame]:
 def finish(rows: DataFrame, tables: DataFrame, sources: DataFrame, sheets: DataFrame, resolutions: dict[str, dict] | None = None) -> Finished:
     """Groups with their participants, awards, matches and issues."""
     business = stored(business_rows(rows, tables, sources))
-    named = stored(mentions(business))
+    named = mentions(business)
     records = stored(participants(named.where("valid")))
     awards = stored(awards_of(business))
     row_issues = _row_issues(business, named)
