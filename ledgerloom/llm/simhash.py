@@ -156,7 +156,7 @@ def simhash_digest(docs: DataFrame, size: int = 3, radius: int = 2, seed: int =
 # ---------------------------------------------------------------- shingle sets, for a similarity well below 1
 
 WORDS = 2  # 64-bit words of a wide fingerprint
-BANDS, ROWS = 32, 4  # keys of a shingle set, and the smallest hashes that each is made of
+BANDS, ROWS = 28, 4  # keys of a shingle set, and the smallest hashes that each is made of
 
 
 def _wide(hashes: np.ndarray) -> bytes:
@@ -183,24 +183,6 @@ def farthest(similarity: float, deviations: float = 8) -> int:
     return int(np.ceil(n * p + deviations * np.sqrt(n * p * (1 - p))))
 
 
-class Bands:
-    """Keys of `bits` random places of a wide fingerprint: as many tables as the recall at the limit needs; the keys
-    grow with the number of fingerprints, so that strangers seldom share one."""
-
-    def __init__(self, similarity: float, n: int, recall: float):
-        self.bits = max(16, int(np.ceil(np.log2(max(2, n)))) - 2)
-        meet = (1 - differing_bits(similarity)) ** self.bits
-        self.tables = int(np.ceil(np.log(1 - recall) / np.log(1 - meet)))
-        rng = np.random.Generator(np.random.PCG64(7))
-        self.places = [rng.choice(64 * WORDS, self.bits, replace=False) for _ in range(self.tables)]
-
-    def keys(self, bits: np.ndarray):
-        """(table, keys) for fingerprints as rows of bits."""
-        weights = np.left_shift(np.int64(1), np.arange(self.bits, dtype=np.int64))
-        for t, places in enumerate(self.places):
-            yield t, bits[:, places].astype(np.int64) @ weights
-
-
 _SALT, _FACTOR = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)).reshape(2, -1) | np.array([[0], [1]], np.uint64)
 
 
@@ -215,7 +197,7 @@ def smallest(hashes: np.ndarray) -> np.ndarray:
 
 def band_keys(smallests: np.ndarray) -> np.ndarray:
     """A key for each band of ROWS smallest hashes, for the sets (rows) of smallest(). Sets of similarity 0.8 share none of
-    BANDS keys in (1 - 0.8 ** ROWS) ** BANDS of all cases, fewer than one in ten million."""
+    BANDS keys in (1 - 0.8 ** ROWS) ** BANDS of all cases, fewer than one in two million."""
     rows = smallests.reshape(len(smallests), BANDS, ROWS)
     keys = np.broadcast_to(mix(np.arange(1, BANDS + 1, dtype=np.uint64)), rows.shape[:2])
     for k in range(ROWS):
@@ -281,29 +263,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: Fractio
     return cut(both.mapInArrow(trimmed(rows), "a long, b long"))
 
 
-def _first_pairs(nodes: DataFrame, bands: Bands, radius: int) -> DataFrame:
-    """(a, b): each node with the smallest one of its key in a few band tables, if their fingerprints are near. This
-    joins large groups of copies early, so that few of their pairs are left to check."""
+STARS = 8  # bands in which each set is first put to the smallest one of its key
 
-    def keyed(batches):
-        for batch in batches:
-            if batch.num_rows:
-                bits = np.unpackbits(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1), axis=1, bitorder="little")
-                for t, keys in bands.keys(bits):
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.full(batch.num_rows, t, np.int32)), longs(keys)], names=["node", "fp", "t", "key"])
-
-    rows = nodes.select("node", "fp").mapInArrow(trimmed(keyed), "node long, fp binary, t int, key long")
-    hubs = rows.groupBy("t", "key").agg(F.min(F.struct("node", "fp")).alias("hub"), F.max("node").alias("last")).where("hub.node <> last")
-    found = salted_join(rows, hubs.select("t", "key", "hub"), ["t", "key"], "node").where("node <> hub.node")
-
-    def near_hub(batches):
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u8").reshape(-1, WORDS) for k in (2, 3))
-                close = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int16) <= radius
-                yield batch.select(["a", "b"]).filter(pa.array(close))
 
-    return found.select(F.col("node").alias("a"), F.col("hub.node").alias("b"), "fp", F.col("hub.fp").alias("other")).mapInArrow(trimmed(near_hub), "a long, b long").distinct()
+def _star_pairs(texts: DataFrame) -> DataFrame:
+    """(a, b): each node with the smallest node of its key in a few bands: STARS pairs a node at most. This joins large groups
+    of near copies early, so that their pairs are not met again."""
+    rows = texts.where("n > 0").select("node", F.explode(F.slice("keys", 1, STARS)).alias("key"))
+    hubs = rows.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("key", "hub")
+    return salted_join(rows, hubs, ["key"], "node").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
 
 
 def _compare_wide(radius: int, similarity: Fraction):
@@ -332,8 +300,8 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, limi
     """Groups documents whose sets of five-word shingles (size) have the Jaccard similarity or more, directly or in steps.
 
     Every link is verified on the whole sets. Pairs meet by equal band keys (band_keys()); among those that meet, the
-    pivot table and popcount leave the ones with near fingerprints (farthest()). Copies that a few tables of fingerprint bits
-    already join are not paired again.
+    pivot table and popcount leave the ones with near fingerprints (farthest()). Copies that are joined already by the
+    smallest node of a key are not paired again.
 
     The bound on blocks, nulls, repeated rows and empty tables are as in simhash_groups(); texts without words are one
     group. Returns doc_id, v, fp (binary), component_id.
@@ -342,8 +310,8 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, limi
     radius = farthest(similarity)
     stored = _stored(docs, size)
     texts = stored.where("z is not null").select("node", "fp", "n", "keys", "z").dropDuplicates(["node"])
-    classes = cut(stored.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp")))
-    early = _verified(_first_pairs(classes, Bands(similarity, classes.count(), recall=0.25), radius), texts, size, exact)
+    classes = cut(stored.groupBy("node").agg(F.min("doc_id").alias("first")))
+    early = _verified(_star_pairs(texts), texts, size, exact)
     joined = components(early).withColumnRenamed("node", "member")
     known = cut(texts.join(joined, texts.node == joined.member, "left").where("n > 0").select("node", "fp", "n", "keys", F.coalesce("component", "node").alias("root")))
     met = known.select("node", "fp", "n", "root", F.explode("keys").alias("key"))

@@ -237,8 +237,7 @@ def _candidates(size: int, sketch: Sketch):
     Rows of a part whose answer from the sketch does not stand before them are searched without it: nothing is lost."""
 
     def rows(batches):
-        known = None  # the part whose counters are loaded
-        flagged: list[np.ndarray] = []
+        known, flagged = None, None  # the part whose counters are loaded, and they
         ids, vs, held, n = [], [], [], 0
 
         def load(answers):
@@ -254,15 +253,15 @@ def _candidates(size: int, sketch: Sketch):
                     known, flagged = part, load(answers)
                 ids.append(doc)
                 vs.append(v)
-                yield part == known, len(ids) - 1, _line(z)
+                yield flagged if part == known else None, len(ids) - 1, _line(z)
 
-        def repeated(w: Windows, filtered: bool) -> np.ndarray:
+        def repeated(w: Windows, twice: list[np.ndarray] | None) -> np.ndarray:
             chosen = np.ones(len(w.doc), bool)
-            for r in range(ROWS if filtered else 0):
+            for r, there in enumerate(twice or ()):
                 first, length = w.runs(r)
                 cells = sketch.counters(w.smallest[r][first])
-                place = np.minimum(np.searchsorted(flagged[r], cells), max(0, len(flagged[r]) - 1))
-                chosen &= np.repeat(flagged[r][place] == cells if len(flagged[r]) else np.zeros(len(first), bool), length)
+                place = np.minimum(np.searchsorted(there, cells), max(0, len(there) - 1))
+                chosen &= np.repeat(there[place] == cells if len(there) else np.zeros(len(first), bool), length)
             return np.flatnonzero(chosen)
 
         def settle():
@@ -282,11 +281,11 @@ def _candidates(size: int, sketch: Sketch):
                 chosen = order[edges[s] : edges[s + 1]]
                 yield _found(s, ids_, vs_, row[chosen], at[chosen], h[chosen])
 
-        def searched(texts_, filtered):
+        def searched(texts_, twice):
             nonlocal n
             digest = xxhash.xxh3_128_digest
             for w in windows_of(texts_, size):
-                chosen = repeated(w, filtered)
+                chosen = repeated(w, twice)
                 if len(chosen):
                     found = b"".join([digest(w.raw[a:b]) for a, b in zip(w.start[chosen].tolist(), w.end[chosen].tolist(), strict=True)])
                     shard = (sketch.counters(w.smallest[0][chosen]) // np.uint64(sketch.width)).astype(np.int64)
@@ -295,11 +294,11 @@ def _candidates(size: int, sketch: Sketch):
 
         for batch in pieces(batches, "z", 2 << 20):
             same, block = None, []  # texts that are searched with one set of counters
-            for filtered, number, line in texts(batch):
-                if block and (filtered != same or same and batch.column(4)[len(block)].is_valid):
+            for twice, number, line in texts(batch):
+                if block and twice is not same:
                     searched(block, same)
                     block = []
-                same = filtered
+                same = twice
                 block.append((number, line))
             searched(block, same)
             if n >= _CHUNK:

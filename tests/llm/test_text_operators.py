@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+import zstandard
 
 from ledgerloom.llm import decontaminate, line_dedup, sentencepiece_ops, simhash, substring_dedup, token_files
 from ledgerloom.llm.queries import vocabulary
@@ -198,6 +199,24 @@ def test_counters_overestimate():
     assert len(by) == 11 and all(len(x) == 1 for x in by.values())
 
 
+def test_parts_that_come_mixed_lose_nothing():
+    """Rows of several parts in one task, with and without an answer before them: every window that two documents have is
+    sent or settled, whichever counters are loaded."""
+    words = [f"w{k}" for k in range(40)]
+    shared, other = " ".join(words[:20]), " ".join(words[20:])
+    sketch = substring_dedup.Sketch(1000, 2, 1000)
+    z = zstandard.ZstdCompressor().compress
+    counters = []
+    for line in (shared, other):  # an answer: the counters of one passage
+        (w,) = substring_dedup.windows_of([(0, line.encode())], 13)
+        counters.append([{"shard": 0, "row": r, "cells": substring_dedup.packed(np.unique(sketch.counters(w.smallest[r])))} for r in range(substring_dedup.ROWS)])
+    rows = [(1, shared, 7, counters[0]), (2, other, 8, counters[1]), (3, shared, 7, None), (4, other, 8, None), (5, shared, 9, None)]
+    batch = pa.RecordBatch.from_pylist([{"doc_id": i, "v": i, "z": z(t.encode()), "part": part, "answers": a} for i, t, part, a in rows])
+    out = [x for b in substring_dedup._candidates(13, sketch)(iter([batch])) for x in b.to_pylist()]
+    seen = {(x["ids"][k], at) for x in out for k, at in zip(np.frombuffer(x["row"], "<u4").tolist(), np.frombuffer(x["at"], "<u4").tolist(), strict=True)}
+    assert seen >= {(i, at) for i in (1, 2, 4, 5) for at in range(8)}
+
+
 def test_pieces_of_a_text_hold_all_its_windows():
     words = [f"w{k * 31 % 997}".encode() for k in range(5000)]
     line = b" ".join(words)
