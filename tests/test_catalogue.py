@@ -1,5 +1,7 @@
 """Every query with SQL against DuckDB; operators of their own against plain Python."""
 
+import difflib
+import hashlib
 import os
 
 import duckdb
@@ -45,6 +47,32 @@ def test_query(spark, duck, name):
         assert got == want
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables are not here")
+def test_likeliest_names_against_all_pairs(spark, duck):
+    """top3_candidates by plain loops over the names of each nation."""
+    rows = duck.sql("select s_nationkey, s_suppkey, s_name, s_acctbal from supplier").fetchall()
+    want = set()
+    for nation in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == nation]
+        award = max(mine, key=lambda r: (r[3], r[1]))[2]
+
+        def likeness(name, award=award):
+            a, b = (x.lower().replace(" ", "") for x in (award, name))
+            full = difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+            return round(0.65 * full + 0.35 * full, 6)  # no common company words in these names
+
+        ranked = sorted(mine, key=lambda r: (-likeness(r[2]), r[1]))[:3]
+        want |= {(nation, r[1], r[2], award, likeness(r[2]), k) for k, r in enumerate(ranked, 1)}
+    got = {(r.s_nationkey, r.s_suppkey, r.s_name, r.award, r.score, r.place) for r in catalogue.QUERIES["top3_candidates"](spark, DATA).collect()}
+    assert got == want
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables are not here")
+def test_source_scan_against_the_files(spark):
+    want = {(f, os.path.getsize(f"{DATA}/{f}"), hashlib.sha256(open(f"{DATA}/{f}", "rb").read()).hexdigest()) for f in os.listdir(DATA) if f.endswith(".parquet")}
+    assert {tuple(r) for r in catalogue.QUERIES["source_scan"](spark, DATA).select("file_name", "length", "sha256").collect()} == want
+
+
 def test_numbering_is_dense_and_ordered(spark):
     df = spark.range(1000).selectExpr("(id * 7919) % 1000 as k")
     rows = windows.numbered(df, ["k"], "n", first=5).collect()
