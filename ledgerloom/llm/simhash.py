@@ -267,15 +267,23 @@ STARS = 8  # bands in which each set is first put to the smallest one of its key
 
 
 def _star_pairs(texts: DataFrame) -> DataFrame:
-    """(a, b): each node with the smallest node of its key in a few bands: STARS pairs a node at most. This joins large groups
-    of near copies early, so that their pairs are not met again."""
+    """(a, b): each node with the most central node of its key in a few bands: STARS pairs a node at most. Central is a node
+    that shares its keys with many others, as the text that near copies were made from does: it is similar to all of them,
+    while two of them may differ more. So a large group is joined early, and its pairs are not met again."""
     rows = texts.where("n > 0").select("node", F.explode(F.slice("keys", 1, STARS)).alias("key"))
-    hubs = rows.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("key", "hub")
-    return salted_join(rows, hubs, ["key"], "node").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    met = cut(salted_join(rows, shared, ["key"], "node"))
+    central = met.groupBy("node").agg(F.sum("size").alias("score"))
+    hubs = met.join(central, "node").groupBy("key").agg(F.max(F.struct("score", "node")).alias("hub")).select("key", F.col("hub.node").alias("hub"))
+    return salted_join(met.select("key", "node"), hubs, ["key"], "node").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+
+
+DENSE = 8  # pairs that are still open, for each set of a block, beyond which a block is dense
 
 
 def _compare_wide(radius: int, similarity: Fraction):
-    """Pairs of different components and of like sizes whose fingerprints are near; they are still to be verified."""
+    """Pairs (a, b) of different components and of like sizes whose fingerprints are near; they are still to be verified. A
+    block that has very many of them gives itself instead: a row (node, null, key, i, j) for each of its sets."""
 
     def work(arrays, starts, ends):
         s = float(similarity) - 1e-9
@@ -285,23 +293,68 @@ def _compare_wide(radius: int, similarity: Fraction):
             same = arrays["i"][a] == arrays["j"][a]
             if (root == root[0]).all():
                 continue
+            held, total = [], 0
             for x, y in near(group, radius, pivots=4):
                 open_ = (root[x] != root[y]) & (np.minimum(n[x], n[y]) >= s * np.maximum(n[x], n[y]))
                 if not same:
                     open_ &= sub[x] != sub[y]
-                x, y = node[x[open_]], node[y[open_]]
-                if len(x):
-                    yield pa.RecordBatch.from_arrays([longs(np.maximum(x, y)), longs(np.minimum(x, y))], names=["a", "b"])
+                held.append((node[x[open_]], node[y[open_]]))
+                total += int(open_.sum())
+                if total > DENSE * (b - a):
+                    break
+            if total > DENSE * (b - a):
+                place = [longs(np.full(b - a, arrays[c][a])) for c in ("key", "i", "j")]
+                yield pa.RecordBatch.from_arrays([longs(node), longs([None] * (b - a)), *place, longs(sub)], names=["a", "b", "key", "i", "j", "sub"])
+            elif total:
+                x, y = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([longs(np.maximum(x, y)), longs(np.minimum(x, y)), *[longs([None] * total)] * 4], names=["a", "b", "key", "i", "j", "sub"])
+
+    return work
+
+
+def _within(similarity: Fraction, size: int):
+    """A spanning forest of the links of dense blocks, from the whole sets: what two sets share is counted for all pairs at
+    once, as the product of the sets by shingles with itself."""
+
+    def work(arrays, starts, ends):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+            node, sub = arrays["node"][a:b], arrays["sub"][a:b]
+            same = arrays["i"][a] == arrays["j"][a]
+            sets = [_shingle_set(unpack(z), size) for z in arrays["z"][a:b]]
+            n = np.array([len(x) for x in sets])
+            owner = np.repeat(np.arange(b - a), n)
+            _, shingle, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            common = often > 1  # shingles of one set alone are shared by no pair
+            order = np.argsort(shingle, kind="stable")
+            order = order[common[shingle[order]]]
+            shingle, owner = (np.cumsum(common) - 1)[shingle[order]], owner[order]
+            shared, step, last = np.zeros((b - a, b - a), np.float32), max(1, (1 << 23) // (b - a)), int(common.sum())
+            for k in range(0, last, step):
+                at = slice(*np.searchsorted(shingle, [k, k + step]))
+                has = np.zeros((b - a, min(step, last - k)), np.float32)
+                has[owner[at], shingle[at] - k] = 1
+                shared += has @ has.T
+            union = n[:, None] + n[None, :] - shared
+            close = shared.astype(np.int64) * similarity.denominator >= union.astype(np.int64) * similarity.numerator
+            if not same:
+                close &= sub[:, None] != sub[None, :]
+            local = Local(b - a)
+            local.add(*np.nonzero(np.triu(close, 1)))
+            linked = np.flatnonzero(local.root != np.arange(b - a))
+            if len(linked):
+                yield pa.RecordBatch.from_arrays([longs(node[linked]), longs(node[local.root[linked]])], names=["a", "b"])
 
     return work
 
 
-def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, limit: int = 4096) -> DataFrame:
+def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, limit: int = 1024) -> DataFrame:
     """Groups documents whose sets of five-word shingles (size) have the Jaccard similarity or more, directly or in steps.
 
-    Every link is verified on the whole sets. Pairs meet by equal band keys (band_keys()); among those that meet, the
+    Every link is verified on the whole sets, pair by pair or, in blocks with very many open pairs, all of a block at once
+    (their pairs are never written out). Pairs meet by equal band keys (band_keys()); among those that meet, the
     pivot table and popcount leave the ones with near fingerprints (farthest()). Copies that are joined already by the
-    smallest node of a key are not paired again.
+    central node of a key are not paired again.
 
     The bound on blocks, nulls, repeated rows and empty tables are as in simhash_groups(); texts without words are one
     group. Returns doc_id, v, fp (binary), component_id.
@@ -316,8 +369,11 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, limi
     known = cut(texts.join(joined, texts.node == joined.member, "left").where("n > 0").select("node", "fp", "n", "keys", F.coalesce("component", "node").alias("root")))
     met = known.select("node", "fp", "n", "root", F.explode("keys").alias("key"))
     dealt = pair_blocks(met, ["key"], "node", limit)
-    pairs = grouped(dealt, ["key", "i", "j"], _compare_wide(radius, exact), "a long, b long", ["key", "i", "j", "sub", "node", "n", "root", "fp"]).distinct()
-    linked = components(early.union(_verified(pairs, texts, size, exact))).withColumnRenamed("node", "member")
+    found = cut(grouped(dealt, ["key", "i", "j"], _compare_wide(radius, exact), "a long, b long, key long, i long, j long, sub long", ["key", "i", "j", "sub", "node", "n", "root", "fp"]))
+    dense = found.where("b is null").select(F.col("a").alias("node"), "key", "i", "j", "sub").join(texts.select("node", "z"), "node")
+    inside = grouped(dense, ["key", "i", "j"], _within(exact, size), "a long, b long", ["key", "i", "j", "sub", "node", "z"])
+    pairs = found.where("b is not null").select("a", "b").distinct()
+    linked = components(early.union(inside).union(_verified(pairs, texts, size, exact))).withColumnRenamed("node", "member")
     of_class = smallest_ids(classes.join(linked, classes.node == linked.member, "left").select(F.col("node").alias("fp"), "first", F.col("component").alias("root")))
     return stored.join(of_class, stored.node == of_class.f).select("doc_id", "v", stored.fp, "component_id")
 

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from ledgerloom.llm import simhash
 
 
@@ -76,3 +78,22 @@ def test_no_link_below_the_limit(spark):
     want, _ = exact_groups(texts)
     assert want == list(range(len(texts)))
     assert got_groups(spark, texts) == want
+
+
+@pytest.mark.parametrize("limit", [1024, 40])
+def test_dense_groups(spark, limit):
+    """Many variants of one text, pairs of which are about as far apart as the limit, with and without the text itself."""
+    rng = random.Random(11)
+    texts = []
+    for n, changes, with_base in ((40, 1, True), (40, 2, False), (60, 2, True), (120, 4, False)):
+        base = [word(rng) for _ in range(n)]
+        texts += [" ".join(base)] * with_base
+        for _ in range(70):
+            variant = list(base)
+            for _ in range(rng.randrange(changes + 1)):
+                variant[rng.randrange(n)] = word(rng)
+            texts.append(" ".join(variant))
+    want, pairs = exact_groups(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = {r.doc_id: r.component_id for r in simhash.similar_groups(docs, limit=limit).collect()}
+    assert [found[k] for k in range(len(texts))] == want and len(pairs) > 1000
