@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import values as V
 from ledgerloom.functions.text import clean_udf, confidence_text, id_column, name_key_udf, needs_escape, similarity_udf
 from ledgerloom.operators import windows
+from ledgerloom.sources.scan import digests
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -297,8 +298,7 @@ def stable_ids(spark, sf_dir):
 @query()
 def source_scan(spark, sf_dir):
     """Files of all tables with size and digest, without decoding them."""
-    files = spark.read.format("binaryFile").load(f"{sf_dir}/*.parquet")
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), "length", F.sha2("content", 256).alias("sha256"))
+    return digests(spark, f"{sf_dir}/*.parquet").select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), "length", "sha256")
 
 
 @query(f"""WITH {RECORDS} SELECT 'record without order' AS rule, count(*) AS broken FROM rec WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)

@@ -1,4 +1,5 @@
-"""Reading workbooks through Spark: any store that Spark reads, one file decoded at a time on the executors."""
+"""Reading workbooks through Spark: any store that Spark reads, one file decoded at a time on the executors. Digests of files
+of any size, which no task holds whole."""
 
 from __future__ import annotations
 
@@ -91,3 +92,65 @@ def read_workbooks(spark: SparkSession, paths: list[str]) -> tuple[Workbooks, li
         raise LedgerError("同一内容文件重复输入")
     sources = spark.createDataFrame([(b.sha, "source_" + b.sha[:24], b.file_name, b.size, b.format, k) for k, b in enumerate(books)], S.SOURCES)
     return Workbooks(sources, *(of_kind(found, k, ddl) for k, ddl in (("sheet", S.SHEETS), ("cell", S.CELLS), ("merge", S.MERGES)))), failures
+
+
+_CHUNK = 1 << 14  # bytes of a file, about, that are sent on in one row
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of a split (file, start, line) in their order as chunks (file, start, k, bytes), each line with its end."""
+    file, start, k, held, size = None, None, 0, [], 0
+
+    def chunk():
+        return pa.RecordBatch.from_arrays([pa.array([file]), pa.array([start], pa.int64()), pa.array([k], pa.int64()), pa.array([b"".join(held)], pa.binary())], names=["file", "start", "k", "bytes"])
+
+    for batch in batches:
+        for f, at, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (f, at) != (file, start):
+                if held:
+                    yield chunk()
+                file, start, k, held, size = f, at, 0, [], 0
+            held += (line, b"\n")
+            size += len(line) + 1
+            if size >= _CHUNK:
+                yield chunk()
+                k, held, size = k + 1, [], 0
+    if held:
+        yield chunk()
+
+
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, sha256) of chunks (file, size, bytes) sorted by file and place. The end of the last line is only there if the
+    file is as long."""
+    file, left, made = None, 0, None
+
+    def result():
+        if left:
+            raise ValueError(f"{file}: {left} bytes were not read")
+        return pa.RecordBatch.from_arrays([pa.array([file]), pa.array([made.hexdigest()])], names=["file", "sha256"])
+
+    for batch in batches:
+        for f, size, part in zip(*(batch.column(n) for n in ("file", "size", "bytes")), strict=True):
+            if (f := f.as_py()) != file:
+                if made:
+                    yield result()
+                file, left, made = f, size.as_py(), hashlib.sha256()
+            part = part.as_py()[:left]
+            made.update(part)
+            left -= len(part)
+    if made:
+        yield result()
+
+
+def digests(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, length, sha256) of files of any size; Spark's readers leave out empty ones.
+
+    A file is read in splits, cut at line feeds, which are in any bytes; the pieces come together in their order in one task a
+    file, as the digest is made of one byte after the other, and pass it as a stream. Files that Spark's text reader does not
+    give byte for byte (compressed ones by their suffix, UTF-8 with a mark) and runs of 2 GB without a line feed raise."""
+    files = spark.read.format("binaryFile").load(paths).select("path", "length", F.col("_metadata.file_path").alias("file"))
+    lines = spark.read.option("lineSep", "\n").text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("line"))
+    chunks = lines.mapInArrow(_chunks, "file string, start long, k long, bytes binary")
+    sized = chunks.join(F.broadcast(files.select("file", F.col("length").alias("size"))), "file")
+    made = sized.repartition("file").sortWithinPartitions("file", "start", "k").select("file", "size", "bytes").mapInArrow(_digested, "file string, sha256 string")
+    return files.join(F.broadcast(made), "file", "left").select("path", "length", "sha256")

@@ -1,4 +1,6 @@
+import hashlib
 import json
+import random
 from datetime import datetime
 
 import pytest
@@ -10,7 +12,7 @@ from ledgerloom.plans import mapping
 from ledgerloom.sources import xls as X
 from ledgerloom.sources import xlsx as R
 from ledgerloom.sources.cells import cell_range
-from ledgerloom.sources.scan import read_workbooks
+from ledgerloom.sources.scan import digests, read_workbooks
 
 ROWS = [["项目名称", "投标单位名称", "中标单位"], ["甲项目", "甲公司", "甲公司"], [None, "乙公司", None]]
 
@@ -171,3 +173,20 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["validate", str(tmp_path)]) == cli.FAILED
     (tmp_path / "twice.json").write_text('{"a": 1, "a": 2}')
     assert cli.main(["run", str(path), "--plan", str(tmp_path / "twice.json")], spark) == cli.FAILED
+
+
+def test_digests_of_files_that_are_too_large_for_one_row(spark, tmp_path):
+    """The limit of 2 GB a row is lowered; splits are small, so that files are cut inside lines, at line ends and in runs of them."""
+    rng = random.Random(5)
+    files = {"a": b"", "b": b"\n", "c": b"no end", "d": b"\n" * 40_000 + b"x\r\n\r", "e": rng.randbytes(90_000), "f": b"y" * 50_000 + b"\n"}
+    for name, data in files.items():
+        (tmp_path / f"{name}.parquet").write_bytes(data)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.sources.binaryFile.maxLength", "spark.sql.files.maxPartitionBytes")}
+    try:
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", 1000)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 20_000)
+        got = {r.path.rpartition("/")[2][0]: (r.length, r.sha256) for r in digests(spark, f"{tmp_path}/*.parquet").collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {name: (len(data), hashlib.sha256(data).hexdigest()) for name, data in files.items() if data}
