@@ -3,8 +3,9 @@
 Encoding is a score-ordered agenda of adjacent symbol pairs: the pair whose joined piece scores best (leftmost on
 ties) is merged first, and pairs that a merge has made stale are skipped. Merges can't cross a place that no piece of
 the vocabulary spans, so a text is cut before each blank run and its units are merged on their own and remembered.
-In each Arrow batch the units that are new are checked against the sentencepiece library, whose ids count where they
-should differ; decoding is the library's.
+The agenda's ids are the result. A model is taken only if the agenda gives the library's ids for each piece of its
+vocabulary and for odd characters, and new units are checked to be spelled by their ids; where they are not, or hold a
+character that the model doesn't know, the library's ids count. Decoding is the library's.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from ledgerloom.llm.common import documents_of, kept, longs, pieces, trimmed
 from ledgerloom.llm.units import Units, buffers
 
 _BLANK = "▁"  # fixed value: the visible sign that stands for U+0020 in pieces
+#: Characters that normalisations change, white space and controls, characters that few models know.
+_ODD = "\ufb01 \u212b e\u0301 \u2460 \u3000 \uff71 \u00a0 \u00ad a\u200bb \t \n a\r\nb \x00 \x7f \u0130 \u00df \u1e9e \u0378 \U0001f600 \U00030000 \ue000"
 _RUNS = re.compile(f"{_BLANK}+[^{_BLANK}]+|{_BLANK}+|[^{_BLANK}]+")
 
 
@@ -50,6 +53,13 @@ class Agenda:
             raise ValueError("a piece spans a blank between words; units can't be merged on their own")
         if "".join(lib.encode(" a  b ", out_type=str)) != f"{_BLANK * 2}a{_BLANK * 2}b{_BLANK}":
             raise ValueError("only models with a leading blank and no other normalisation are supported")
+        spelled = {lib.piece_to_id(p): p.encode() for p in rank} | ({i: bytes([b]) for b, i in enumerate(self.bytes)} if self.fallback else {})
+        self.spelled = [spelled.get(i) for i in range(n)]
+        known = [p.replace(_BLANK, " ").strip(" ") for p in rank]
+        probes = [p for p in [*known, *_ODD.split(" "), "".join(_ODD.split(" "))] if p]
+        for text, ids in zip(probes, lib.encode(probes, num_threads=1), strict=True):
+            if [i for u in _RUNS.findall(_BLANK + text.replace(" ", _BLANK)) for i in self.merge(u)] != ids:
+                raise ValueError(f"this model encodes {text!r} by other rules than merges")
         self.differing = 0  # units and texts for which the library's ids were taken
         self.units = Units(self._learn, self._whole, (_BLANK.encode(),), limit=500_000)
 
@@ -90,20 +100,27 @@ class Agenda:
                     out.append(self.unknown)
         return out
 
-    def _settled(self, made: list[list[int]], theirs: list[list[int]]) -> list[list[int]]:
-        """The agenda's ids, checked against the library's; where they differ the library's count, and the case is counted."""
-        self.differing += sum(a != b for a, b in zip(made, theirs, strict=True))
-        return theirs
+    def _settled(self, made: list[list[int]], units: list[str], texts: list[str]) -> list[list[int]]:
+        """The agenda's ids of units, their blanks in visible form. Those that don't spell their unit are replaced by the
+        library's for the text, and the case is counted."""
+        spelled = self.spelled
+        odd = [k for k, (ids, u) in enumerate(zip(made, units, strict=True)) if None in (parts := [spelled[i] for i in ids]) or b"".join(parts) != u.encode()]
+        if odd:
+            self.differing += len(odd)
+            for k, ids in zip(odd, self.library.encode([texts[k] for k in odd], num_threads=1), strict=True):
+                made[k] = ids
+        return made
 
     def _learn(self, units: list[str], first: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Merges new units (without their leading blank) and checks them against the library."""
-        made = self._settled([self.merge(_BLANK + u) for u in units], self.library.encode(units, num_threads=1))
+        """Merges new units (without their leading blank)."""
+        visible = [_BLANK + u for u in units]
+        made = self._settled([self.merge(u) for u in visible], visible, units)
         return np.array([i for x in made for i in x], np.uint32), np.array([len(x) for x in made], np.int64)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
-        """Texts with runs of blanks or with the visible sign, cut before each run and checked as a whole."""
-        made = [[i for u in _RUNS.findall(_BLANK + t.replace(" ", _BLANK)) for i in self.merge(u)] if t else [] for t in texts]
-        return self._settled(made, self.library.encode(texts, num_threads=1))
+        """Texts with runs of blanks or with the visible sign, cut before each run."""
+        visible = [_BLANK + t.replace(" ", _BLANK) if t else "" for t in texts]
+        return self._settled([[i for u in _RUNS.findall(v) for i in self.merge(u)] for v in visible], visible, texts)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends) of whole texts, one after the other."""

@@ -359,3 +359,13 @@ def test_the_library_counts_where_the_agenda_differs(monkeypatch):
     monkeypatch.setattr(odd, "merge", lambda text: [0])
     ids, ends = odd.encode(pa.array(texts, pa.string()))
     assert [x.tolist() for x in np.split(ids, ends[:-1])] == [odd.library.encode(t or "") for t in texts] and odd.differing == 3
+
+
+def test_the_agenda_gives_the_ids(monkeypatch):
+    """Not the library beside it: other merges give other ids, and units that it spells are not encoded a second time."""
+    agenda = sentencepiece_ops.Agenda(vocabulary("piece_bpe_32k.model"))
+    merge = agenda.merge
+    monkeypatch.setattr(agenda, "merge", lambda text: [i for c in text for i in merge(c)])
+    ids, _ = agenda.encode(pa.array(["some words", "two  blanks"], pa.string()))
+    assert ids.tolist() == [i for c in "▁some▁words▁two▁▁blanks" for i in merge(c)] and agenda.differing == 0
+    assert len(ids) > len(agenda.library.encode("some words") + agenda.library.encode("two  blanks"))
