@@ -370,10 +370,12 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, limi
     met = known.select("node", "fp", "n", "root", F.explode("keys").alias("key"))
     dealt = pair_blocks(met, ["key"], "node", limit)
     found = cut(grouped(dealt, ["key", "i", "j"], _compare_wide(radius, exact), "a long, b long, key long, i long, j long, sub long", ["key", "i", "j", "sub", "node", "n", "root", "fp"]))
-    dense = found.where("b is null").select(F.col("a").alias("node"), "key", "i", "j", "sub").join(texts.select("node", "z"), "node")
-    inside = grouped(dense, ["key", "i", "j"], _within(exact, size), "a long, b long", ["key", "i", "j", "sub", "node", "z"])
     pairs = found.where("b is not null").select("a", "b").distinct()
-    linked = components(early.union(inside).union(_verified(pairs, texts, size, exact))).withColumnRenamed("node", "member")
+    links = early.union(_verified(pairs, texts, size, exact))
+    dense = found.where("b is null").select(F.col("a").alias("node"), "key", "i", "j", "sub")
+    if not dense.isEmpty():  # else the texts need not be sent for them
+        links = links.union(grouped(dense.join(texts.select("node", "z"), "node"), ["key", "i", "j"], _within(exact, size), "a long, b long", ["key", "i", "j", "sub", "node", "z"]))
+    linked = components(links).withColumnRenamed("node", "member")
     of_class = smallest_ids(classes.join(linked, classes.node == linked.member, "left").select(F.col("node").alias("fp"), "first", F.col("component").alias("root")))
     return stored.join(of_class, stored.node == of_class.f).select("doc_id", "v", stored.fp, "component_id")
 

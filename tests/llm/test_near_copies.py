@@ -1,9 +1,11 @@
 """The pipeline's near-copy stage against all pairs: Jaccard similarity of five-word shingle sets, in whole numbers."""
 
 import random
+import time
 
 import pytest
 
+import corpus_pipeline
 from ledgerloom.llm import simhash
 
 
@@ -97,3 +99,19 @@ def test_dense_groups(spark, limit):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     found = {r.doc_id: r.component_id for r in simhash.similar_groups(docs, limit=limit).collect()}
     assert [found[k] for k in range(len(texts))] == want and len(pairs) > 1000
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for k in range(files.size()) if (name := files.apply(k).getName()).startswith("shuffle_")}
+
+
+def test_the_stage_leaves_no_shuffle_files(spark, tmp_path):
+    """They would lie on disk beside those of later steps, until the driver collects garbage."""
+    before = shuffle_files(spark)
+    docs = spark.createDataFrame([(k, f"a text of some words with the number {k // 2} in it") for k in range(40)], "doc_id long, text string")
+    corpus_pipeline.simhash_stage(spark, docs, "").write.parquet(f"{tmp_path}/out")
+    until = time.time() + 20
+    while (left := shuffle_files(spark) - before) and time.time() < until:
+        time.sleep(0.5)
+    assert not left and spark.read.parquet(f"{tmp_path}/out").count() == 20
