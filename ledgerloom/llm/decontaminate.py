@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from collections.abc import Callable
 
 import ahocorasick
 import numpy as np
@@ -107,26 +108,29 @@ MAX_BYTES = 8 << 20  # of the items that are put to the texts together: an autom
 
 
 def parts_of(benchmark: DataFrame, max_bytes: int):
-    """The distinct items, in as many parts as the bound asks for; one part at a time is on the driver. A single item that
-    is larger than the bound is a part of its own, of its own size."""
+    """The distinct items, in as many parts as the bound asks for, each with whether it is the last (which may be empty); one
+    part at a time is on the driver. A single item that is larger than the bound is a part of its own, of its own size."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-2 * total // max_bytes)) if total > max_bytes else 1  # parts by hash: half full on average
     for k in range(n):
         part = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).toLocalIterator()]
-        if part or n == 1:
-            yield part
+        if part or k == n - 1:
+            yield part, k == n - 1
 
 
-def hit_words(docs: DataFrame, benchmark: DataFrame, size: int, max_bytes: int) -> DataFrame:
-    """docs (with text; other columns stay) with __hit, a bit for each word of the text that stands in a window (packed and
-    compressed, null for none), and __items, the ids found."""
+def with_hits(docs: DataFrame, benchmark: DataFrame, size: int, max_bytes: int, finish: Callable, schema) -> DataFrame:
+    """What finish makes of each batch of docs (with text; other columns stay) with __hit, a bit for each word of the text that
+    stands in a window (packed and compressed, null for none), and __items, the ids found.
+
+    The last pass over the items calls finish itself: two Python steps in a row would take two workers a task, which live
+    on in the executor for the steps that follow and each hold what those keep."""
     context, key = docs.sparkSession.sparkContext, uuid.uuid4().hex
     marked = docs.withColumn("__hit", F.lit(None).cast("binary")).withColumn("__items", F.array().cast("array<string>"))
-    schema = marked.schema
-    for k, part in enumerate(parts_of(benchmark, max_bytes)):
+    between = marked.schema
+    for k, (part, last) in enumerate(parts_of(benchmark, max_bytes)):
 
-        def rows(batches, sent=context.broadcast(part), name=f"{key}-{k}"):
+        def rows(batches, sent=context.broadcast(part), name=f"{key}-{k}", last=last):
             items = kept(("items", name, size), lambda: Items(sent.value, size))
             for batch in pieces(batches):
                 columns = dict(zip(batch.schema.names, batch.columns, strict=True))
@@ -138,10 +142,11 @@ def hit_words(docs: DataFrame, benchmark: DataFrame, size: int, max_bytes: int)
                     bits.append(z)
                     ids.append(sorted({*found, *(x for x in more if x is not None)}))
                 columns |= {"__hit": pa.array(bits, pa.binary()), "__items": pa.array(ids, pa.list_(pa.string()))}
-                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+                found = pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+                yield finish(found) if last else found
 
         before = cut(marked) if k else marked  # so that a worker holds one part's automaton
-        marked = before.mapInArrow(trimmed(rows, keeps=True), schema)
+        marked = before.mapInArrow(trimmed(rows, keeps=True), schema if last else between)
     return marked
 
 
@@ -163,20 +168,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, one_in:
     of the hit passages in the original text).
     """
 
-    def rows(batches):
-        for batch in pieces(batches):
-            n_words, n_hit, flags, spans = [], [], [], []
-            for raw, text, z in zip(utf8(batch), strings(batch), batch.column(2).to_pylist(), strict=True):
-                words = len(normal_words(raw))
-                hit = _bits(z, words)
-                n = int(hit.sum())
-                n_words.append(words)
-                n_hit.append(n)
-                flags.append(n > 0 and one_in * n >= words)
-                spans.append(original_spans(text, hit) if n else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), batch.column(3), pa.array(flags, pa.bool_()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["doc_id", "n_words", "n_hit", "items", "contaminated", "spans"])
+    def told(batch):
+        n_words, n_hit, flags, spans = [], [], [], []
+        for raw, text, z in zip(utf8(batch), strings(batch), batch.column(2).to_pylist(), strict=True):
+            words = len(normal_words(raw))
+            hit = _bits(z, words)
+            n = int(hit.sum())
+            n_words.append(words)
+            n_hit.append(n)
+            flags.append(n > 0 and one_in * n >= words)
+            spans.append(original_spans(text, hit) if n else [])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), batch.column(3), pa.array(flags, pa.bool_()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["doc_id", "n_words", "n_hit", "items", "contaminated", "spans"])
 
-    return hit_words(documents_of(docs), benchmark, size, max_bytes).mapInArrow(rows, "doc_id long, n_words long, n_hit long, items array<string>, contaminated boolean, spans array<struct<start:long,end:long>>")
+    return with_hits(documents_of(docs), benchmark, size, max_bytes, told, "doc_id long, n_words long, n_hit long, items array<string>, contaminated boolean, spans array<struct<start:long,end:long>>")
 
 
 def contamination_digest(docs: DataFrame, benchmark: DataFrame, size: int = 13, one_in: int = 20) -> DataFrame:
@@ -187,13 +191,12 @@ def contamination_digest(docs: DataFrame, benchmark: DataFrame, size: int = 13,
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 13, one_in: int = 20, max_bytes: int = MAX_BYTES) -> DataFrame:
     """The rows of docs, all columns, that decontaminate() does not call contaminated."""
 
-    def rows(batches):
-        for batch in pieces(batches):
-            keep = []
-            for raw, z in zip(utf8(batch), batch.column(batch.schema.get_field_index("__hit")).to_pylist(), strict=True):
-                words = len(normal_words(raw)) if z else 0
-                keep.append(not (z and one_in * int(_bits(z, words).sum()) >= words))
-            yield batch.select(names).filter(pa.array(keep, pa.bool_()))
+    def kept_rows(batch):
+        keep = []
+        for raw, z in zip(utf8(batch), batch.column(batch.schema.get_field_index("__hit")).to_pylist(), strict=True):
+            words = len(normal_words(raw)) if z else 0
+            keep.append(not (z and one_in * int(_bits(z, words).sum()) >= words))
+        return batch.select(names).filter(pa.array(keep, pa.bool_()))
 
     names = docs.columns
-    return hit_words(docs, benchmark, size, max_bytes).mapInArrow(rows, docs.schema)
+    return with_hits(docs, benchmark, size, max_bytes, kept_rows, docs.schema)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import langid, secrets
+from ledgerloom.llm import decontaminate, langid, secrets
 from ledgerloom.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
@@ -43,6 +43,18 @@ def test_keys_in_paths_and_of_one_case(spark):
     assert found[5000] == found[5001] == found[5002] == []
 
 
+def test_decontamination_takes_one_worker_a_task(spark):
+    """Two Python steps in a row hold two workers a task, which stay in the executor for all later steps."""
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(k, " ".join(words[k : k + 20])) for k in range(15)] + [(99, "nothing of it"), (100, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(f"b{k}", " ".join(words[k : k + 13])) for k in range(0, 27, 9)], "item_id string, text string")
+    for max_bytes in (1 << 20, 60):  # in one part and in several
+        for df in (decontaminate.drop_contaminated(docs, bench, max_bytes=max_bytes), decontaminate.decontaminate(docs, bench, max_bytes=max_bytes)):
+            assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+        clean = [k for k in range(15) if not any(k <= at and at + 13 <= k + 20 for at in range(0, 27, 9))]
+        assert [r.doc_id for r in decontaminate.drop_contaminated(docs, bench, max_bytes=max_bytes).orderBy("doc_id").collect()] == [*clean, 99, 100]
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables are not here")
 def test_every_source_file_is_scanned(spark):
     got = {r.file_name: r.length for r in catalogue.source_scan(spark, DATA).collect()}
