@@ -64,7 +64,8 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 def tidy_shuffles(spark: SparkSession) -> None:
     """Shuffle files go as soon as the job that they were written for has ended, where the session does not say otherwise.
     Without it they stay until the driver happens to collect garbage, so that those of all steps lie on disk at once. Steps
-    read checkpoints and written folders, never an earlier job's shuffle; if one did, Spark would make it again."""
+    read checkpoints and written folders, never an earlier job's shuffle; toLocalIterator() outlives its action, so what it
+    reads is cut() first."""
     if _TIDY not in spark.conf.getAll:
         spark.conf.set(_TIDY, "true")
 

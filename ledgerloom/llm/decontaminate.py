@@ -110,7 +110,8 @@ MAX_BYTES = 8 << 20  # of the items that are put to the texts together: an autom
 def parts_of(benchmark: DataFrame, max_bytes: int):
     """The distinct items, in as many parts as the bound asks for, each with whether it is the last (which may be empty); one
     part at a time is on the driver. A single item that is larger than the bound is a part of its own, of its own size."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+    # cut, because toLocalIterator() reads on when its action has ended and tidy_shuffles() takes the shuffle away
+    items = cut(benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("text is not null").distinct())
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-2 * total // max_bytes)) if total > max_bytes else 1  # parts by hash: half full on average
     for k in range(n):

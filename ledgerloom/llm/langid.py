@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import documents_of, longs, pieces, strings, trimmed
+from ledgerloom.llm.common import cut, documents_of, longs, pieces, strings, trimmed
 
 BUCKETS = 1 << 14
 UNDETERMINED = "und"
@@ -146,7 +146,8 @@ def train(labelled: DataFrame, per_language: int = 1500) -> Model:
         return Model([], np.zeros((BUCKETS, 0)))
     draw = F.pmod(F.xxhash64("text", F.lit("langid")), F.lit(1_000_000)) / 1_000_000
     cases = [F.when(F.col("lang") == k, F.lit(v)) for k, v in rate.items()]
-    sample = labelled.where(draw < F.coalesce(*cases)).select("lang", "text").distinct()
+    # toLocalIterator() reads on when its action has ended and tidy_shuffles() takes the shuffle away: it must read none
+    sample = cut(labelled.where(draw < F.coalesce(*cases)).select("lang", "text").distinct())
 
     def count(batches):
         total: dict[str, np.ndarray] = {}

@@ -55,6 +55,19 @@ def test_decontamination_takes_one_worker_a_task(spark):
         assert [r.doc_id for r in decontaminate.drop_contaminated(docs, bench, max_bytes=max_bytes).orderBy("doc_id").collect()] == [*clean, 99, 100]
 
 
+def test_streamed_rows_come_from_no_shuffle(spark, monkeypatch):
+    """toLocalIterator() goes on reading after its action's end, when the pipeline's sessions delete the shuffles."""
+    frame, plans = type(spark.range(0)), []
+    streamed = frame.toLocalIterator
+    monkeypatch.setattr(frame, "toLocalIterator", lambda self, *a, **b: plans.append(self._jdf.queryExecution().executedPlan().toString()) or streamed(self, *a, **b))
+    model = langid.train(spark.createDataFrame([("en", "some words"), ("de", "andere Worte"), ("en", "some words")], "lang string, text string"))
+    bench = spark.createDataFrame([(f"b{k % 5}", f"item number {k % 5}") for k in range(10)], "item_id string, text string")
+    parts = list(decontaminate.parts_of(bench, 20))
+    assert model.languages == ["de", "en"]
+    assert sorted(i for part, _ in parts for i, _ in part) == [f"b{k}" for k in range(5)] and [last for _, last in parts] == [False] * (len(parts) - 1) + [True]
+    assert len(plans) > 1 and not any("Exchange" in p for p in plans)
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables are not here")
 def test_every_source_file_is_scanned(spark):
     got = {r.file_name: r.length for r in catalogue.source_scan(spark, DATA).collect()}
